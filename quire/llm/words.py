@@ -51,7 +51,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its k-word shingles; a shorter text is one shingle; without words empty."""
     h, of = word_hashes(texts)
-    cut = np.searchsorted(of, np.arange(len(texts) + 1))
+    cut = np.searchsorted(of, np.arange(len(texts) + 1)).tolist()
     n = len(h) - k + 1
     if n > 0:
         s = h[:n] * _COEF[0]
