@@ -1,4 +1,300 @@
 """The registered queries of the document-digitisation operators and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .functions import text as t
+from .operators import assembly, layout, library, tasks as ops
+from .plans.relations import BOOKS, SLUG, TASKS, books, conversation_pages, read, tasks
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_COUNTS = """count(*) AS total, count_if(status = 'DONE') AS done, count_if(status = 'FAILED') AS failed, count_if(status = 'PENDING') AS pending, count_if(status = 'IN_PROGRESS') AS in_progress,
+ coalesce(round(avg(CASE WHEN status = 'DONE' THEN processing_time_ms END)::DECIMAL(30, 8), 2)::DOUBLE, 0.0::DOUBLE) AS avg_time_ms, coalesce(round(avg(CASE WHEN status = 'DONE' THEN confidence END)::DECIMAL(30, 8), 4)::DOUBLE, 0.0::DOUBLE) AS avg_confidence"""
+_BOOK = "CASE WHEN contains(file_path, '/') THEN split_part(file_path, '/', 1) ELSE '[root]' END"
+
+
+@query(f"WITH {TASKS}, a AS (SELECT {_COUNTS} FROM tasks) SELECT *, CASE WHEN total > 0 THEN round(done / total * 100, 2) ELSE 0.0 END::DOUBLE AS percent FROM a")
+def task_stats_global(spark, d):
+    return ops.stats(tasks(spark, d))
+
+
+@query(f"WITH {TASKS}, a AS (SELECT {_BOOK} AS book, {_COUNTS} FROM tasks GROUP BY 1) SELECT *, CASE WHEN total > 0 THEN round(done / total * 100, 1) ELSE 0.0 END::DOUBLE AS percent FROM a WHERE NOT starts_with(book, '.')")
+def task_stats_by_book(spark, d):
+    return ops.stats_by_book(tasks(spark, d))
+
+
+@query(f"WITH {TASKS} SELECT id, file_path, file_size FROM tasks WHERE status = 'PENDING' AND starts_with(file_path, 'src1/') ORDER BY id LIMIT 100")
+def pending_fifo(spark, d):
+    return ops.pending(tasks(spark, d), 100, "src1")
+
+
+@query(f"WITH {TASKS}, c AS (SELECT id FROM tasks WHERE status = 'PENDING' ORDER BY id LIMIT 50) SELECT id, file_path, CASE WHEN id IN (SELECT id FROM c) THEN 'IN_PROGRESS' ELSE status END AS status FROM tasks")
+def claim_batch(spark, d):
+    return ops.claim(tasks(spark, d), 50)[1].select("id", "file_path", "status")
+
+
+@query(f"WITH {TASKS}, old AS (SELECT * FROM tasks WHERE id % 3 <> 0), new AS (SELECT file_path, file_size, row_number() OVER (ORDER BY file_path) + (SELECT max(id) FROM old) AS id FROM tasks t WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.file_path = t.file_path)) SELECT id, file_path, file_size, status FROM old UNION ALL SELECT id, file_path, file_size, 'PENDING' FROM new")
+def register_new_files(spark, d):
+    every = tasks(spark, d)
+    old = every.filter("id % 3 <> 0").select("id", "file_path", "file_size", "status")
+    return ops.register(old, every.select("file_path", "file_size"))
+
+
+@query(f"WITH {TASKS} SELECT id, CASE WHEN status = 'IN_PROGRESS' AND starts_with(file_path, 'src2/') THEN 'PENDING' ELSE status END AS status FROM tasks")
+def reset_hanging(spark, d):
+    return ops.reset_hanging(tasks(spark, d), "src2").select("id", "status")
+
+
+@query(f"WITH {TASKS} SELECT id, CASE WHEN status = 'FAILED' THEN 'PENDING' ELSE status END AS status, CASE WHEN status <> 'FAILED' THEN error_msg END AS error_msg, confidence FROM tasks")
+def retry_failed(spark, d):
+    return ops.retry_failed(tasks(spark, d)).select("id", "status", "error_msg", "confidence")
+
+
+@query(f"WITH {TASKS}, r AS (SELECT file_path, id % 2 = 0 AS ok, id / 7.0::DOUBLE AS ms FROM tasks WHERE id % 4 = 0) SELECT t.id, CASE WHEN r.ok IS NULL THEN status WHEN r.ok THEN 'DONE' ELSE 'FAILED' END AS status, CASE WHEN r.ok IS NULL THEN processing_time_ms ELSE ms END AS processing_time_ms FROM tasks t LEFT JOIN r USING (file_path)")
+def apply_results(spark, d):
+    every = tasks(spark, d)
+    r = every.filter("id % 4 = 0").select("file_path", (F.col("id") % 2 == 0).alias("success"), F.lit(0.9).alias("confidence"), (F.col("id") / F.lit(7.0).cast("double")).alias("processing_time_ms"), F.lit(None).cast("string").alias("error_msg"), F.lit(1).alias("seq"))
+    return ops.apply_results(every, r.union(r.withColumn("success", ~F.col("success")).withColumn("seq", F.lit(0)))).select("id", "status", "processing_time_ms")
+
+
+@query(f"WITH {TASKS} SELECT file_path, file_size AS file_size_bytes, error_msg AS error_message FROM tasks WHERE status = 'FAILED'")
+def failed_report(spark, d):
+    return ops.failed_report(tasks(spark, d))
+
+
+@query(f"WITH {TASKS}, a AS (SELECT {_BOOK} AS book, {_COUNTS} FROM tasks GROUP BY 1), r AS (SELECT DISTINCT source AS book, CASE WHEN source = 'src1' THEN 'processing' ELSE 'paused' END AS state FROM documents WHERE source IN ('src1', 'src2')) SELECT book, total, done, failed, CASE WHEN state = 'processing' THEN 'processing' WHEN done = total AND total > 0 THEN 'completed' WHEN failed > 0 AND pending = 0 AND in_progress = 0 THEN 'has_failed' WHEN state = 'paused' OR done > 0 THEN 'paused' ELSE 'idle' END AS status FROM a LEFT JOIN r USING (book)")
+def job_status(spark, d):
+    running = spark.createDataFrame([("src1", "processing"), ("src2", "paused")], "book string, state string")
+    return ops.job_status(ops.stats_by_book(tasks(spark, d)), running)
+
+
+@query(f"WITH {BOOKS} SELECT id, slug, title, total_pages FROM books WHERE is_public = 1 AND category = 'nhóm 1' ORDER BY total_pages DESC, id DESC LIMIT 20 OFFSET 5")
+def list_books_page(spark, d):
+    return library.list_books(books(spark, d), "nhóm 1", None, "pages_desc", 20, 5).select("id", "slug", "title", "total_pages")
+
+
+@query(f"WITH {BOOKS} SELECT id, title FROM books WHERE is_public = 1 AND (translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%th_n%' OR translate(tags, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%th_n%' OR translate(summary, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%th_n%')")
+def search_books(spark, d):
+    return library.select_books(books(spark, d), "all", " TH_n ").select("id", "title")
+
+
+@query(f"WITH {BOOKS} SELECT count(*) AS total FROM books WHERE is_public = 1 AND category = 'nhóm 2'")
+def list_books_total(spark, d):
+    return library.count_books(books(spark, d), "nhóm 2")
+
+
+@query(f"WITH {BOOKS} SELECT category, count(*) AS count FROM books WHERE is_public = 1 GROUP BY 1")
+def category_stats(spark, d):
+    return library.categories(books(spark, d))
+
+
+@query(f"WITH {BOOKS}, c AS (SELECT * FROM books WHERE status = 'COMPLETED'), q AS (SELECT id AS qid, title, source_id, slug FROM books), m AS (SELECT qid, 1 AS rank, c.id FROM q JOIN c ON q.source_id = c.source_id WHERE q.source_id <> '' UNION ALL SELECT qid, 2, c.id FROM q JOIN c ON q.slug = c.slug OR q.title = c.title) SELECT q.qid, arg_min(m.id, m.rank * 1000000000 + m.id) AS duplicate_id FROM q LEFT JOIN m USING (qid) GROUP BY q.qid")
+def find_duplicate(spark, d):
+    b = books(spark, d)
+    return library.find_duplicates(b, b.select(F.col("id").alias("qid"), "title", "source_id"))
+
+
+@query(f"WITH {BOOKS} SELECT id, title, slug FROM books WHERE slug = (SELECT min(slug) FROM books) ORDER BY id LIMIT 1")
+def book_by_slug(spark, d):
+    b = books(spark, d)
+    first = b.agg(F.min("slug").alias("slug"))
+    return b.join(F.broadcast(first), "slug").orderBy("id").limit(1).select("id", "title", "slug")
+
+
+@query(f"""WITH {BOOKS}, old AS (SELECT * FROM books WHERE id = (SELECT min(b.id) FROM books b WHERE b.slug = books.slug)), u AS (SELECT slug, arg_max(title, id) AS title, arg_max(total_pages, id) FILTER (WHERE total_pages > 0) AS total_pages, arg_max(curator_notes, id) FILTER (WHERE curator_notes <> '') AS curator_notes, arg_max(exhibition_hall, id) FILTER (WHERE exhibition_hall <> 'Khu Trưng Bày Chung') AS exhibition_hall FROM books WHERE id % 2 = 1 GROUP BY slug)
+SELECT o.id, o.slug, coalesce(u.title, o.title) AS title, coalesce(u.total_pages, o.total_pages) AS total_pages, coalesce(u.curator_notes, o.curator_notes) AS curator_notes, coalesce(u.exhibition_hall, o.exhibition_hall) AS exhibition_hall, o.category FROM old o LEFT JOIN u USING (slug)""")
+def upsert_books(spark, d):
+    b = books(spark, d)
+    old = b.join(b.groupBy("slug").agg(F.min("id").alias("id")).select("id"), "id", "left_semi").select("id", "slug", "title", "total_pages", "curator_notes", "exhibition_hall", "category")
+    delta = b.filter("id % 2 = 1").select(F.col("id").alias("seq"), "slug", "title", "total_pages", "curator_notes", "exhibition_hall", F.lit("other").alias("category"))
+    return library.upsert(old, delta)
+
+
+@query(f"WITH {BOOKS} SELECT id, CASE WHEN slug = (SELECT max(slug) FROM books) THEN 'mới' ELSE category END AS category, title FROM books")
+def patch_metadata(spark, d):
+    b = books(spark, d)
+    return library.patch(b, b.agg(F.max("slug")).first()[0], category="mới", title=None).select("id", "category", "title")
+
+
+@query(f"WITH {BOOKS}, s AS (SELECT DISTINCT slug FROM books WHERE id % 5 = 0) SELECT id, CASE WHEN s.slug IS NOT NULL AND artifact_code = '' THEN 'SEED' ELSE artifact_code END AS artifact_code, CASE WHEN s.slug IS NOT NULL AND exhibition_hall = 'Khu Trưng Bày Chung' THEN 'Hall' ELSE exhibition_hall END AS exhibition_hall FROM books b LEFT JOIN s USING (slug)")
+def seed_metadata(spark, d):
+    b = books(spark, d)
+    s = b.filter("id % 5 = 0").select("slug").distinct().select("slug", F.lit("SEED").alias("artifact_code"), *(F.lit("x").alias(c) for c in ("period_era", "provenance", "material_condition", "curator_notes")), F.lit("Hall").alias("exhibition_hall"))
+    return library.seed(b, s).select("id", "artifact_code", "exhibition_hall")
+
+
+_PAGES = "pg AS (SELECT conv_id AS book, 'p' || turn || '.txt' AS filename, turn, text, role FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY turn) AS page_num, count(*) OVER (PARTITION BY book) AS total_pages FROM pg)"
+
+
+@query(f"WITH {_PAGES} SELECT book, filename, page_num::INTEGER AS page_num, total_pages FROM n")
+def page_numbering(spark, d):
+    return assembly.number_pages(conversation_pages(spark, d)).select("book", "filename", "page_num", "total_pages")
+
+
+@query(f"WITH {_PAGES} SELECT book, md5(string_agg('=== [Trang ' || page_num || '/' || total_pages || '] ' || filename || ' ===' || chr(10) || chr(10) || trim(text) || chr(10) || chr(10), '' ORDER BY page_num)) AS digest FROM n GROUP BY book")
+def merge_book_text(spark, d):
+    return assembly.merge_pages(conversation_pages(spark, d)).select("book", F.md5("text").alias("digest"))
+
+
+@query(f"WITH {_PAGES} SELECT book, page_num, filename, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS digest FROM n")
+def split_merged_text(spark, d):
+    merged = assembly.merge_pages(conversation_pages(spark, d))
+    return assembly.split_merged(merged).select("book", "page_num", "filename", F.md5("text").alias("digest"))
+
+
+@query("SELECT source AS book, count(*) AS pages, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT AS words, sum(length(trim(text)))::BIGINT AS chars, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1")
+def word_counts(spark, d):
+    return read(spark, d, "documents").groupBy(F.col("source").alias("book")).agg(F.count("*").alias("pages"), F.sum(t.word_count("text")).alias("words"), F.sum(F.length(F.trim("text"))).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query("WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '===')) AS l FROM documents) SELECT doc_id, CASE WHEN len(l) > 0 THEN left(array_to_string(l[1:5], ' '), 300) || '...' ELSE '' END AS summary FROM l")
+def book_summary(spark, d):
+    return read(spark, d, "documents").select("doc_id", t.summary("text").alias("summary"))
+
+
+@query("WITH u AS (SELECT conv_id AS book, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user'), a AS (SELECT conv_id AS book, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant') SELECT u.book, u.n::INTEGER AS page_num, 'p' || a.turn || '.txt' AS image, a.turn IS NOT NULL AS has_image FROM u LEFT JOIN a ON u.book = a.book AND u.n = a.n")
+def positional_join(spark, d):
+    c = conversation_pages(spark, d)
+    return assembly.align_scans(c.filter("role = 'user'"), c.filter("role = 'assistant'")).select("book", "page_num", "image", "has_image")
+
+
+@query(f"""WITH {BOOKS} SELECT id, coalesce(nullif(artifact_code, ''), printf('HERITAGE-%04d', id)) AS artifact_code, coalesce(nullif(curator_notes, ''), nullif(summary, ''), 'Tư liệu quý được số hóa.') AS curator_notes, title || '. (2026). Thư viện số. https://library.example/exhibit/' || slug AS apa, title || '. Thư viện số, 2026.' AS national FROM books""")
+def dossier_defaults(spark, d):
+    return assembly.dossier(books(spark, d)).select("id", "artifact_code", "curator_notes", "citations.apa", "citations.national")
+
+
+@query(f"""WITH {BOOKS}, g AS (SELECT coalesce(nullif(exhibition_hall, ''), 'Khu Trưng Bày Chung') AS hall, count(*) AS n_books, string_agg(slug, ',' ORDER BY created_at DESC, id DESC) AS slugs FROM books WHERE is_public = 1 GROUP BY 1),
+h(hall, hall_id) AS (VALUES {', '.join(f"('{n}', '{i}')" for n, i in assembly.HALLS)})
+SELECT coalesce(g.hall, h.hall) AS hall, coalesce(hall_id, 'khu-trung-bay-chung') AS hall_id, coalesce(n_books, 0) AS n_books, coalesce(slugs, '') AS slugs FROM g FULL JOIN h ON g.hall = h.hall WHERE n_books IS NOT NULL OR h.hall <> 'Khu Trưng Bày Chung'""")
+def museum_halls(spark, d):
+    return assembly.halls(books(spark, d))
+
+
+@query(f"WITH {BOOKS} SELECT count(*) AS artifacts, coalesce(sum(total_pages), 0)::BIGINT AS pages, coalesce(sum(word_count), 0)::BIGINT AS words, count(DISTINCT exhibition_hall) AS halls FROM books WHERE is_public = 1")
+def museum_totals(spark, d):
+    return assembly.museum_totals(books(spark, d))
+
+
+@query(f"WITH {_PAGES}, k AS (SELECT book, text, row_number() OVER (PARTITION BY book ORDER BY turn) AS k FROM n WHERE trim(text) <> '') SELECT book, md5(left(string_agg('[Trang ' || k || '] ' || text, chr(10) ORDER BY k), 6000)) AS digest FROM k WHERE k <= 12 GROUP BY book")
+def chat_context(spark, d):
+    return assembly.chat_context(conversation_pages(spark, d)).select("book", F.md5("context").alias("digest"))
+
+
+@query("SELECT user_id, max_by(event_type, (ts, event_id)) AS last_message, max(ts) AS ts FROM events GROUP BY 1".replace("max_by(event_type, (ts, event_id))", "arg_max(event_type, (epoch_us(ts), event_id))"))
+def latest_preview(spark, d):
+    e = read(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
+    return library.latest(e.select("user_id", "event_type", "ts", "at"), "user_id", "at").select("user_id", F.col("event_type").alias("last_message"), "ts")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 100")
+def last_100_logs(spark, d):
+    return assembly.last_logs(read(spark, d, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type")
+def log_change_only(spark, d):
+    return assembly.changed_logs(read(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT doc_id, printf('page_%04d.jpg', row_number() OVER (PARTITION BY source ORDER BY doc_id)) AS new_name FROM documents")
+def sequential_rename(spark, d):
+    f = read(spark, d, "documents").select("doc_id", F.col("source").alias("book"), F.concat(F.lit("scan"), F.col("doc_id"), F.lit(".JPG")).alias("filename"))
+    return assembly.sequential_names(f).select("doc_id", "new_name")
+
+
+@query("WITH f AS (SELECT doc_id, source || '/' || doc_id % 100 || '.png' AS path, doc_id % 100 || '.png' AS name, source FROM documents) SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY path, doc_id) > 1 THEN source || '_' || name ELSE name END AS flat_name FROM f WHERE doc_id IN (SELECT min(doc_id) FROM f GROUP BY path)")
+def name_collisions(spark, d):
+    f = read(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id") % 100, F.lit(".png")).alias("path"))
+    return assembly.flatten_names(f.groupBy("path").agg(F.min("doc_id").alias("doc_id"))).select("doc_id", "flat_name")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'F_' || page_id WHEN page_id % 3 = 0 THEN 'x-' || page_id WHEN page_id % 5 = 0 THEN 'D' || page_id END AS drive_id FROM pages")
+def drive_id_extract(spark, d):
+    i = F.col("page_id")
+    url = F.when(i % 2 == 0, F.concat(F.lit("https://drive/folders/F_"), i, F.lit("?id=zz"))).when(i % 3 == 0, F.concat(F.lit("https://drive/open?id=x-"), i, F.lit("&a=b"))).when(i % 5 == 0, F.concat(F.lit("https://drive/file/d/D"), i, F.lit("/view"))).otherwise("https://drive/")
+    return read(spark, d, "pages").select("page_id", t.drive_id(url).alias("drive_id"))
+
+
+@query(f"WITH {BOOKS} SELECT id, slug FROM books")
+def slugify_titles(spark, d):
+    return books(spark, d).select("id", t.slugify_exact("title").alias("slug"))
+
+
+@query("SELECT doc_id, md5(replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'D')) AS digest FROM documents")
+def strip_accents(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(t.strip_accents("text")).alias("digest"))
+
+
+@query("SELECT page_id, coalesce(nullif(trim(translate('Sach: ' || page_id || '?', '<>:\"/\\|?*', '')), ''), 'Untitled_Book') AS name FROM pages")
+def sanitize_names(spark, d):
+    return read(spark, d, "pages").select("page_id", t.sanitize_name(F.concat(F.lit("Sach: "), "page_id", F.lit("?-20240101T010203Z-1-001"))).alias("name"))
+
+
+@query("SELECT o_orderkey, CASE WHEN v < 1024 THEN printf('%.1f B', v) WHEN v < 1048576 THEN printf('%.1f KB', v / 1024) WHEN v < 1073741824 THEN printf('%.1f MB', v / 1048576) ELSE printf('%.1f GB', v / 1073741824) END AS size FROM (SELECT o_orderkey, o_totalprice * (o_orderkey % 1000) + 0.013 AS v FROM orders)")
+def format_bytes(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", t.format_bytes(F.col("o_totalprice") * (F.col("o_orderkey") % 1000) + F.lit(0.013).cast("double")).alias("size"))
+
+
+@query("SELECT p_partkey, w > h * 1.15 AS is_double_page, 0::BIGINT AS left_from, least(w, w // 2 + floor(w * 0.03)::BIGINT) AS left_to, greatest(0, w // 2 - floor(w * 0.03)::BIGINT) AS right_from, w AS right_to FROM (SELECT p_partkey, (p_partkey * 37 % 4000 + 100)::BIGINT AS w, (p_partkey * 53 % 3000 + 100)::BIGINT AS h FROM part)")
+def spread_split_bounds(spark, d):
+    k = F.col("p_partkey")
+    return read(spark, d, "part").select("p_partkey", *layout.split_bounds(k * 37 % 4000 + 100, k * 53 % 3000 + 100))
+
+
+@query("SELECT p_partkey, CASE WHEN m > 2560 THEN floor(w * (2560.0::DOUBLE / m))::BIGINT ELSE w END AS width, CASE WHEN m > 2560 THEN floor(h * (2560.0::DOUBLE / m))::BIGINT ELSE h END AS height, m > 2560 AS resized FROM (SELECT *, greatest(w, h) AS m FROM (SELECT p_partkey, (p_partkey * 37 % 4000 + 100)::BIGINT AS w, (p_partkey * 53 % 3000 + 100)::BIGINT AS h FROM part))")
+def downscale_sizes(spark, d):
+    k = F.col("p_partkey")
+    return read(spark, d, "part").select("p_partkey", *layout.scaled_size(k * 37 % 4000 + 100, k * 53 % 3000 + 100))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(lower(text), 'the'))::INTEGER AS hits, md5(regexp_replace(text, '(the)', '<mark>\\1</mark>', 'gi')) AS marked FROM documents")
+def in_book_search(spark, d):
+    return read(spark, d, "documents").select("doc_id", t.search_count("text", "the").alias("hits"), F.md5(t.highlight("text", "the")).alias("marked"))
+
+
+@query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')) AS digest FROM pages")
+def escape_html(spark, d):
+    return read(spark, d, "pages").select("page_id", F.md5(t.escape_html("html")).alias("digest"))
+
+
+@query("SELECT DISTINCT source AS book FROM documents UNION SELECT DISTINCT 'src' || label FROM embeddings WHERE label IS NOT NULL")
+def book_folder_union(spark, d):
+    a, b = read(spark, d, "documents").select(F.col("source").alias("book")), read(spark, d, "embeddings").filter("label is not null").select(F.concat(F.lit("src"), "label"))
+    return a.union(b).filter("not startswith(book, '.')").distinct()
+
+
+@query(f"WITH {BOOKS}, f AS (SELECT title || CASE WHEN id % 2 = 0 THEN '!' ELSE '' END AS folder FROM books WHERE id % 3 = 0), s AS (SELECT folder, {SLUG.format('folder')} AS slug FROM f), m AS (SELECT slug, 0 AS r, f.folder FROM books JOIN f ON title = f.folder UNION ALL SELECT b.slug, 1, s.folder FROM books b JOIN s ON b.slug = s.slug) SELECT slug, min((r, folder)).folder AS folder FROM m GROUP BY slug".replace("min((r, folder)).folder", "substr(min(r || folder), 2)"))
+def resolve_folders(spark, d):
+    b = books(spark, d)
+    f = b.filter("id % 3 = 0").select(F.concat("title", F.when(F.col("id") % 2 == 0, "!").otherwise("")).alias("folder"))
+    return library.resolve_folders(b, f)
+
+
+@query("SELECT page_id, 'quota' AS kind, (page_id % 50 + 3.5)::DOUBLE AS delay FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'overload', 10 + page_id % 4 * 5.0 FROM pages WHERE page_id % 2 = 1")
+def retry_delays(spark, d):
+    i = F.col("page_id")
+    m = F.when(i % 2 == 0, F.concat(F.lit("429 please retry in "), i % 50, F.lit(".5s"))).otherwise("503 UNAVAILABLE")
+    return read(spark, d, "pages").select("page_id", t.error_class(m).alias("kind"), t.retry_delay(m, i % 4).alias("delay"))
+
+
+@query()
+def reading_order(spark, d):
+    k = F.col("l_partkey") % 600
+    y = F.col("l_suppkey") % 900
+    at = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    box = F.array(at(k, y), at(k + 300, y), at(k + 300, y + F.col("l_quantity")), at(k, y + F.col("l_quantity")))
+    return layout.sort_pages(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("string").alias("text"), box.alias("box")))
