@@ -69,11 +69,17 @@ def reading_order(b: np.ndarray) -> list[int]:
 def sort_pages(lines: DataFrame) -> DataFrame:
     """lines(page_id, text, box) with their place in the reading order; a page is a task's unit, never more."""
 
-    def order(pdf):
-        b = np.array([[min(p[0] for p in x), max(p[0] for p in x), min(p[1] for p in x), max(p[1] for p in x)] for x in pdf["box"]])
-        place = np.empty(len(pdf), int)
-        place[reading_order(b)] = np.arange(len(pdf))
-        return pdf.assign(place=place)[["page_id", "text", "place"]]
-
     kind = dict(lines.dtypes)["page_id"]
-    return lines.select("page_id", "text", "box").groupBy("page_id").applyInPandas(order, f"page_id {kind}, text string, place int")
+    packed = lines.select("page_id", F.struct("text", *bounds(F.col("box"))).alias("line")).groupBy("page_id").agg(F.collect_list("line").alias("lines"))
+
+    def order(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for page, items in zip(pdf["page_id"], pdf["lines"], strict=True):
+                b = np.array([[x["xmin"], x["xmax"], x["ymin"], x["ymax"]] for x in items], float)
+                rows += [(page, items[i]["text"], k) for k, i in enumerate(reading_order(b))]
+            yield pd.DataFrame(rows, columns=["page_id", "text", "place"])
+
+    return packed.mapInPandas(order, f"page_id {kind}, text string, place int")
