@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .shared import BROADCAST_IDS, pinned_splits, small_side, staged
 
 ORDER = 5
-BLOCK = 24_000_000
-PIECE = 3_000_000
+BLOCK = 18_000_000
+PIECE = 2_000_000
 KEEP = 0.99
 LEAST = 30
 HELD_OUT = 10
