@@ -27,6 +27,8 @@ SLOTS, ROWS, SHINGLE = 128, 4, 5
 BANDS = SLOTS // ROWS
 ESTIMATE = 0.5
 CHUNK = 2_000_000
+#: Members of a bucket that are compared at once.
+BLOCK = 1_024
 _U = np.uint64
 
 
@@ -120,13 +122,72 @@ def _estimate(x, y):
     return F.pandas_udf(run, "double")(x, y)
 
 
+def _shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rid, shingles) of the documents with the given ids, from their whole texts."""
+    return docs.join(small_side(staged(ids, "ids")), "doc_id", "left_semi").mapInArrow(_sets, "rid long, shingles array<long>")
+
+
+def _in_blocks(members: DataFrame, columns: list[str]):
+    """members grouped by pairs of blocks of their bucket, so that any two members of a bucket meet in a group."""
+    size = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    dealt = members.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
+    dealt = dealt.select(*columns, "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    return dealt.select(*columns, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).groupBy("bucket", "lo", "hi")
+
+
+def _close(group, percent: int) -> np.ndarray:
+    """Which members of a group may link: apart so far, of fitting size, and of fitting estimate."""
+    sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), -1)
+    same = np.zeros((len(group), len(group)), np.uint8)
+    for column in np.ascontiguousarray(sig.T):
+        same += column[:, None] == column[None, :]
+    n, comp = group["n_shingles"].to_numpy(), group["comp"].to_numpy()
+    fit = np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * percent
+    return (same >= ESTIMATE * SLOTS) & fit & (comp[:, None] != comp[None, :])
+
+
+def _plausible(percent: int):
+    def run(group):
+        return group.loc[_close(group, percent).any(axis=1), ["bucket", "rid"]]
+
+    return run
+
+
+def _joined(percent: int):
+    """Links between members in different components, as many as it takes to join them."""
+
+    def run(group):
+        import pandas as pd
+
+        rid, comp = group["rid"].to_numpy(), group["comp"].tolist()
+        sets = list(group["shingles"])
+        parent = {c: c for c in comp}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(_close(group, percent))), strict=True):
+            x, y = root(comp[i]), root(comp[j])
+            if x == y:
+                continue
+            inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if inter * 100 >= (len(sets[i]) + len(sets[j]) - inter) * percent:
+                parent[x] = y
+                out.append((rid[i], rid[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, sigs: DataFrame, percent: int, tag: str) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     one = lambda c: sigs.select(F.col("rid").alias(c), F.col("sig").alias(f"sig_{c}")).dropDuplicates([c])
     near = pairs.join(one("a"), "a").join(one("b"), "b").withColumn("est", _estimate("sig_a", "sig_b"))
     near = staged(near.filter(F.col("est") >= ESTIMATE).select("a", "b"), f"{tag}-near")
-    ids = staged(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), f"{tag}-ids")
-    sets = docs.join(small_side(ids), "doc_id", "left_semi").mapInArrow(_sets, "rid long, shingles array<long>")
+    sets = _shingles(docs, near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
     sets = staged(sets, f"{tag}-sets").dropDuplicates(["rid"])
     side = lambda c: sets.select(F.col("rid").alias(c), F.col("shingles").alias(f"s_{c}"))
     both = near.join(side("a"), "a").join(side("b"), "b")
@@ -153,16 +214,22 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     links = staged(_verified(docs, stars, firsts, percent, "star"), "links")
     found = connected_components(links)
 
-    # Round 2: pairs of a bucket that are still apart, without the first, which all were held against.
-    m = rows.join(found.withColumnRenamed("node", "rid"), "rid", "left")
-    m = staged(m.select("bucket", "a", "rid", "n_shingles", F.coalesce("component", "rid").alias("comp")), "members")
-    apart = m.filter("rid > a").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    m = m.filter("rid > a").join(apart.select("bucket"), "bucket", "left_semi").select("bucket", "rid", "n_shingles", "comp")
-    x, y = m.toDF("bucket", "a", "na", "ca"), m.toDF("bucket", "b", "nb", "cb")
-    ratio = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    rest = x.join(y, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ratio).select("a", "b").distinct()
-    more = _verified(docs, staged(rest, "rest"), firsts, percent, "rest")
-    found = connected_components(found.toDF("a", "b").union(more))
+    # Round 2: buckets whose other members are still apart. Members are compared in blocks within tasks; what leaves a
+    # task is members and links of a spanning forest, never pairs.
+    m = rows.filter("rid > a").join(found.withColumnRenamed("node", "rid"), "rid", "left")
+    m = staged(m.select("bucket", "rid", "n_shingles", F.coalesce("component", "rid").alias("comp")).distinct(), "members")
+    apart = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("who")).filter("lo < hi")
+    apart = apart.groupBy("size", "who").agg(F.min("bucket").alias("bucket"))  # bands that hold the same members once
+    m = m.join(apart.select("bucket"), "bucket", "left_semi")
+    sigs = firsts.select("rid", "sig").dropDuplicates(["rid"])
+    near = _in_blocks(m.join(sigs, "rid"), ["bucket", "rid", "n_shingles", "comp", "sig"]).applyInPandas(_plausible(percent), "bucket long, rid long")
+    near = staged(near.distinct(), "plausible")
+    sets = staged(_shingles(docs, near.select(F.col("rid").alias("doc_id")).distinct()), "rest-sets").dropDuplicates(["rid"])
+    m = m.join(near, ["bucket", "rid"], "left_semi").join(sigs, "rid").join(sets, "rid")
+    more = _in_blocks(m, ["bucket", "rid", "n_shingles", "comp", "sig", "shingles"]).applyInPandas(_joined(percent), "a long, b long")
+    more = staged(more.distinct(), "more")
+    if not more.isEmpty():
+        found = connected_components(found.toDF("a", "b").union(more))
 
     out = base.select("doc_id", "n_shingles", "text_key").join(classes, "text_key", "left")
     out = out.join(found.withColumnRenamed("node", "rid"), "rid", "left")
