@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import chunks
+from .words import chunks, lean
 
 VOCABULARY = "byte_bpe_50k.json"
 CACHE = 250_000
@@ -197,6 +197,7 @@ def encoder(path: str) -> Encoder:
 
 
 def _encoded(path: str):
+    @lean
     def run(batches):
         e = encoder(path)
         for batch in batches:
@@ -215,11 +216,12 @@ def _encoded(path: str):
 
 
 def _ids(path: str):
+    @lean
     def run(batches):
         e = encoder(path)
         for batch in batches:
             keys, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in chunks([len(t) for t in texts], BATCH // 4):
+            for a, b in chunks([len(t) for t in texts], BATCH // 8):
                 n, all_ids, decoded = [], [], []
                 for row in e.numbers(texts[a:b]):
                     codes = list(map(e.codes.__getitem__, row))
@@ -278,6 +280,7 @@ _pieces: dict[str, dict[str, int]] = {}
 
 
 def _counts(path: str, limit: int):
+    @lean
     def run(batches):
         cut, pieces = _library(path)
         known = _pieces.setdefault(path, {})

@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import connected_components, small_side, staged
-from .words import chunks, mix, shingle_sets, text_key
+from .words import chunks, lean, mix, shingle_sets, text_key
 
 SLOTS, ROWS, SHINGLE = 128, 4, 5
 BANDS = SLOTS // ROWS
 ESTIMATE = 0.5
-CHUNK = 2_000_000
+#: Characters of neighbouring texts that are hashed at once.
+CHUNK = 500_000
 #: Members of a bucket that are compared at once.
 BLOCK = 1_024
 _U = np.uint64
@@ -78,6 +79,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+@lean
 def _signatures(batches):
     for batch in batches:
         ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
@@ -100,6 +102,7 @@ def _signatures(batches):
             )
 
 
+@lean
 def _sets(batches):
     for batch in batches:
         ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import staged
+from .words import lean
 
 TREES, PSI, SAMPLE, BINS, GOOD_LOSS, SEED = 100, 256, 8_192, 1_000, 0.005, 11
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -73,6 +74,7 @@ def statistics(text: str | None) -> tuple:
 _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{x} double" for x in FEATURES)
 
 
+@lean
 def _statistics(batches):
     kinds = [pa.int64()] * 5 + [pa.float64()] * len(FEATURES)
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
