@@ -221,7 +221,7 @@ def _ids(path: str):
         e = encoder(path)
         for batch in batches:
             keys, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in chunks([len(t) for t in texts], BATCH // 8):
+            for a, b in chunks([len(t) for t in texts], BATCH // 16):
                 n, all_ids, decoded = [], [], []
                 for row in e.numbers(texts[a:b]):
                     codes = list(map(e.codes.__getitem__, row))
