@@ -22,7 +22,7 @@ def query(sql: str | None = None):
     return add
 
 
-_COUNTS = """count(*) AS total, count_if(status = 'DONE') AS done, count_if(status = 'FAILED') AS failed, count_if(status = 'PENDING') AS pending, count_if(status = 'IN_PROGRESS') AS in_progress,
+_COUNTS = """count(*) AS total, count_if(status = 'DONE')::BIGINT AS done, count_if(status = 'FAILED')::BIGINT AS failed, count_if(status = 'PENDING')::BIGINT AS pending, count_if(status = 'IN_PROGRESS')::BIGINT AS in_progress,
  coalesce(round(avg(CASE WHEN status = 'DONE' THEN processing_time_ms END)::DECIMAL(30, 8), 2)::DOUBLE, 0.0::DOUBLE) AS avg_time_ms, coalesce(round(avg(CASE WHEN status = 'DONE' THEN confidence END)::DECIMAL(30, 8), 4)::DOUBLE, 0.0::DOUBLE) AS avg_confidence"""
 _BOOK = "CASE WHEN contains(file_path, '/') THEN split_part(file_path, '/', 1) ELSE '[root]' END"
 
