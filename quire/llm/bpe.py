@@ -6,7 +6,8 @@ order from a heap, and every merge updates the lists of the pairs it makes. A me
 parts' merges, so one ascending pass is the same as repeated lowest-rank merging in each pre-token.
 
 Codes of pre-tokens are kept for a worker's lifetime in a table of at most CACHE entries, which is emptied when full:
-memory is bounded and results don't depend on it. No shuffle; a lost executor only repeats its own partitions.
+memory is bounded and results don't depend on it. Encoding has no shuffle; a lost executor only repeats its own
+partitions.
 
 Edge cases: null text is empty: no tokens, and digests of the empty string; repeated rows are returned as often as they
 come; rows without doc_id keep it null; an empty table gives no rows; other columns are not read.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import io
 import json
 import re
 from array import array
@@ -24,15 +26,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import staged
 from .words import chunks, lean
 
 VOCABULARY = "byte_bpe_50k.json"
 CACHE = 250_000
 #: Characters of neighbouring texts whose new pre-tokens share one pair occurrence index.
 BATCH = 32_000_000
+#: Characters of neighbouring texts whose pre-token frequencies are packed together for token counts.
+BLOCK = 16_000_000
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Letters and numbers up to U+00FF, where the standard module is faster than Unicode properties.
@@ -276,27 +282,73 @@ def _library(path: str):
     return cut, lambda words: [len(x.ids) for x in model.encode_batch(words, add_special_tokens=False)]
 
 
-_pieces: dict[str, dict[str, int]] = {}
+def _postings(path: str):
+    """Blocks of neighbouring texts of up to BLOCK characters: a row for each distinct pre-token, numbered by slot, and
+    one with the block's documents, packed: doc_id, n_bytes, and the slots and frequencies of their pre-tokens."""
+
+    @lean
+    def run(batches):
+        cut, _ = _library(path)
+        base, seq = TaskContext.get().partitionId() << 32, 0
+        slot, ids, sizes, ends, slots, times, total = Index(), [], [], [0], array("i"), array("i"), 0
+
+        def block() -> pa.RecordBatch:
+            lists = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(x, np.int32))) for x in (slots, times))
+            t = pa.table([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *lists], ["doc_id", "n_bytes", "slots", "times"])
+            out = io.BytesIO()
+            with pa.ipc.new_stream(out, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+                w.write_table(t)
+            n = len(slot)
+            columns = np.full(n + 1, base + seq), np.arange(n + 1, dtype=np.int32), pa.array([*slot, None], pa.string()), pa.array([*[None] * n, out.getvalue()], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "slot", "word", "blob"])
+
+        for batch in batches:
+            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                text = text or ""
+                if ids and total + len(text) > BLOCK:
+                    yield block()
+                    seq += 1
+                    slot, ids, sizes, ends, slots, times, total = Index(), [], [], [0], array("i"), array("i"), 0
+                found = Counter(cut(text))
+                slots.extend(map(slot.__getitem__, found))
+                times.extend(found.values())
+                ends.append(len(slots))
+                ids.append(key)
+                sizes.append(len(text.encode("utf-8", "replace")))
+                total += len(text)
+        if ids:
+            yield block()
+
+    return run
 
 
-def _counts(path: str, limit: int):
+def _sized(path: str):
     @lean
     def run(batches):
-        cut, pieces = _library(path)
-        known = _pieces.setdefault(path, {})
+        _, pieces = _library(path)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in chunks([len(t) for t in texts], BATCH // 4):
-                rows = [Counter(cut(t)) for t in texts[a:b]]
-                words = set().union(*rows)
-                new = [w for w in words if w not in known]
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                    new = list(words)
-                known.update(zip(new, pieces(new), strict=True))
-                n = [sum([known[w] * c for w, c in r.items()]) for r in rows]
-                size = [len(t.encode("utf-8", "replace")) for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            words = batch.column("word").to_pylist()
+            for a, b in chunks([len(w) for w in words], BATCH // 4):
+                yield pa.RecordBatch.from_arrays([pa.array(words[a:b], pa.string()), pa.array(pieces(words[a:b]), pa.int64())], ["word", "n"])
+
+    return run
+
+
+def _summed(limit: int):
+    def run(blobs, sized):
+        import pandas as pd
+
+        n = np.zeros(len(sized), np.int64)
+        n[sized["slot"].to_numpy()] = sized["n"].to_numpy()
+        out = []
+        for blob in blobs["blob"]:
+            t = pa.ipc.open_stream(blob).read_all().combine_chunks()
+            slots, times = (t.column(c).combine_chunks() for c in ("slots", "times"))
+            total = np.r_[0, np.cumsum(n[slots.values.to_numpy()] * times.values.to_numpy())]
+            ends = slots.offsets.to_numpy()
+            tokens = total[ends[1:]] - total[ends[:-1]]
+            out.append(pd.DataFrame({"doc_id": t.column("doc_id").to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), "n_bytes": t.column("n_bytes").to_numpy(), "n_tokens": tokens, "over_limit": tokens > limit}))
+        return pd.concat(out)
 
     return run
 
@@ -304,8 +356,14 @@ def _counts(path: str, limit: int):
 def token_counts(documents: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of documents(doc_id, text).
 
-    Each distinct pre-token of a batch is counted once by the library; the counts meet the pre-token frequencies of each
-    document in a hash join within the task, and are summed. No ids are made. Pre-tokens are distinct within a task and
-    not over the corpus: a corpus-wide table would shuffle every (document, pre-token) pair to save less work than that.
+    One scan packs the pre-token frequencies of the documents of a block and names the block's distinct pre-tokens. The
+    library counts each pre-token that is distinct over all documents once; the counts are joined to the blocks'
+    pre-tokens and, by block, to the frequencies, and summed. No ids are made. A pre-token is one row a block however
+    often it occurs, so frequent ones don't weigh more; what is shuffled grows with distinct pre-tokens a block.
     """
-    return _two(documents).mapInArrow(_counts(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    blocks = staged(_two(documents).mapInArrow(_postings(path), "block long, slot int, word string, blob binary"), "postings")
+    words = blocks.filter("word is not null").select("block", "slot", "word")
+    pieces = words.select("word").distinct().mapInArrow(_sized(path), "word string, n long")
+    sized = words.join(pieces, "word").select(F.col("block").alias("home"), "slot", "n")
+    blobs = blocks.filter("blob is not null").select("block", "blob")
+    return blobs.groupBy("block").cogroup(sized.groupBy("home")).applyInPandas(_summed(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
