@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import pinned_splits, staged
 from .words import chunks, lean
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -282,54 +282,67 @@ def _library(path: str):
     return cut, lambda words: [len(x.ids) for x in model.encode_batch(words, add_special_tokens=False)]
 
 
-def _postings(path: str):
-    """Blocks of neighbouring texts of up to BLOCK characters: a row for each distinct pre-token, numbered by slot, and
-    one with the block's documents, packed: doc_id, n_bytes, and the slots and frequencies of their pre-tokens."""
+def _frequencies(cut, batches):
+    """(block number, slots by pre-token, rows) of one scan partition; a row is doc_id, n_bytes, slots and frequencies."""
+    block, slot, rows, total = TaskContext.get().partitionId() << 32, Index(), [], 0
+    for batch in batches:
+        for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            text = text or ""
+            if rows and total + len(text) > BLOCK:
+                yield block, slot, rows
+                block, slot, rows, total = block + 1, Index(), [], 0
+            found = Counter(cut(text))
+            rows.append((key, len(text.encode("utf-8", "replace")), array("i", map(slot.__getitem__, found)), array("i", found.values())))
+            total += len(text)
+    if rows:
+        yield block, slot, rows
 
+
+def _named(path: str):
     @lean
     def run(batches):
-        cut, _ = _library(path)
-        base, seq = TaskContext.get().partitionId() << 32, 0
-        slot, ids, sizes, ends, slots, times, total = Index(), [], [], [0], array("i"), array("i"), 0
+        for block, slot, _ in _frequencies(_library(path)[0], batches):
+            words = sorted(slot)  # neighbours are alike, which compresses well
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array([slot[w] for w in words], pa.int32()), pa.array(words, pa.string())], ["home", "slot", "word"])
+
+    return run
 
-        def block() -> pa.RecordBatch:
-            lists = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(x, np.int32))) for x in (slots, times))
-            t = pa.table([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *lists], ["doc_id", "n_bytes", "slots", "times"])
+
+def _packed(path: str):
+    @lean
+    def run(batches):
+        for block, slot, rows in _frequencies(_library(path)[0], batches):
+            ends = pa.array(np.r_[0, np.cumsum([len(r[2]) for r in rows])].astype(np.int32))
+            lists = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.frombuffer(r[i], np.int32) for r in rows]))) for i in (2, 3))
+            t = pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *lists], ["doc_id", "n_bytes", "slots", "times"])
             out = io.BytesIO()
-            with pa.ipc.new_stream(out, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+            with pa.ipc.new_stream(out, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as w:
                 w.write_table(t)
-            n = len(slot)
-            columns = np.full(n + 1, base + seq), np.arange(n + 1, dtype=np.int32), pa.array([*slot, None], pa.string()), pa.array([*[None] * n, out.getvalue()], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "slot", "word", "blob"])
-
-        for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                text = text or ""
-                if ids and total + len(text) > BLOCK:
-                    yield block()
-                    seq += 1
-                    slot, ids, sizes, ends, slots, times, total = Index(), [], [], [0], array("i"), array("i"), 0
-                found = Counter(cut(text))
-                slots.extend(map(slot.__getitem__, found))
-                times.extend(found.values())
-                ends.append(len(slots))
-                ids.append(key)
-                sizes.append(len(text.encode("utf-8", "replace")))
-                total += len(text)
-        if ids:
-            yield block()
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(slot)]), pa.array([out.getvalue()], pa.binary())], ["block", "n_slots", "blob"])
 
     return run
 
 
 def _sized(path: str):
+    """Rows sorted by pre-token: each distinct one is counted once, and its count goes to all its rows."""
+
     @lean
     def run(batches):
         _, pieces = _library(path)
+        last, count = None, 0
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            for a, b in chunks([len(w) for w in words], BATCH // 4):
-                yield pa.RecordBatch.from_arrays([pa.array(words[a:b], pa.string()), pa.array(pieces(words[a:b]), pa.int64())], ["word", "n"])
+            column = batch.column("word").to_pylist()
+            for a, b in chunks([len(w) for w in column], BATCH // 4):
+                words, at, k = [], [], -1
+                for w in column[a:b]:
+                    if w != last:
+                        words.append(w)
+                        last, k = w, k + 1
+                    at.append(k)
+                found = np.array([*pieces(words), count], np.int64)  # at -1 is the pre-token of the rows before
+                n = found[at]
+                count = int(n[-1])
+                yield pa.RecordBatch.from_arrays([batch.column("home").slice(a, b - a), batch.column("slot").slice(a, b - a), pa.array(n.astype(np.int32))], ["home", "slot", "n"])
 
     return run
 
@@ -338,6 +351,8 @@ def _summed(limit: int):
     def run(blobs, sized):
         import pandas as pd
 
+        if blobs["n_slots"].sum() != len(sized):
+            raise RuntimeError("the two scans were cut differently; stage the documents first")
         n = np.zeros(len(sized), np.int64)
         n[sized["slot"].to_numpy()] = sized["n"].to_numpy()
         out = []
@@ -356,14 +371,15 @@ def _summed(limit: int):
 def token_counts(documents: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of documents(doc_id, text).
 
-    One scan packs the pre-token frequencies of the documents of a block and names the block's distinct pre-tokens. The
-    library counts each pre-token that is distinct over all documents once; the counts are joined to the blocks'
-    pre-tokens and, by block, to the frequencies, and summed. No ids are made. A pre-token is one row a block however
-    often it occurs, so frequent ones don't weigh more; what is shuffled grows with distinct pre-tokens a block.
+    One scan names the distinct pre-tokens of each block of documents. They are dealt out and sorted by pre-token, and
+    the library counts each that is distinct over all documents once. A second scan packs the pre-token frequencies of
+    the documents of a block; the counts are joined to them by block and summed. No ids are made. A pre-token is one row
+    a block however often it occurs, so frequent ones weigh no more; what is shuffled grows with distinct pre-tokens a
+    block. Both scans must meet the rows in the same order: documents is a table, or staged.
     """
-    blocks = staged(_two(documents).mapInArrow(_postings(path), "block long, slot int, word string, blob binary"), "postings")
-    words = blocks.filter("word is not null").select("block", "slot", "word")
-    pieces = words.select("word").distinct().mapInArrow(_sized(path), "word string, n long")
-    sized = words.join(pieces, "word").select(F.col("block").alias("home"), "slot", "n")
-    blobs = blocks.filter("blob is not null").select("block", "blob")
-    return blobs.groupBy("block").cogroup(sized.groupBy("home")).applyInPandas(_summed(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    docs = _two(documents)
+    with pinned_splits(documents.sparkSession):
+        words = docs.mapInArrow(_named(path), "home long, slot int, word string")
+        sized = words.repartition("word").sortWithinPartitions("word").mapInArrow(_sized(path), "home long, slot int, n int")
+        blobs = docs.mapInArrow(_packed(path), "block long, n_slots long, blob binary")
+        return staged(blobs.groupBy("block").cogroup(sized.groupBy("home")).applyInPandas(_summed(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean"), "counts")
