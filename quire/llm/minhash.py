@@ -135,7 +135,9 @@ def _in_blocks(members: DataFrame, columns: list[str]):
     size = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     dealt = members.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
     dealt = dealt.select(*columns, "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    return dealt.select(*columns, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).groupBy("bucket", "lo", "hi")
+    dealt = dealt.select(*columns, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    # Rows dealt by bucket would satisfy this grouping too, and leave all blocks of a large bucket to one task.
+    return dealt.repartition("bucket", "lo", "hi").groupBy("bucket", "lo", "hi")
 
 
 def _close(group, percent: int) -> np.ndarray:
