@@ -28,7 +28,7 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs, table(spark, sf_dir, "labels"), low=1.0)
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"), low=0.0, spare_clean=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import staged
@@ -79,7 +79,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w, b
 
 
-def _rate(history: list[list[float]], low: float):
+def _rate(history: list[list[float]], low: float | Column):
     """The rate after the rounds in history as a column of the posteriors."""
     p = [F.col(f"p_{d}") for d in DOMAINS]
     if not history:
@@ -108,7 +108,7 @@ def _posteriors(documents: DataFrame, labels: DataFrame, columns: list[str]) ->
     return staged(base.select(*columns, "tokens", *((v / total).alias(f"p_{d}") for d, v in zip(DOMAINS, e, strict=True))), "posteriors"), fitted
 
 
-def fit_rates(t: DataFrame, targets: dict[str, float], low: float = 0.0) -> list[list[float]]:
+def fit_rates(t: DataFrame, targets: dict[str, float], low: float | Column = 0.0) -> list[list[float]]:
     """The residual history that gives the rates of the staged table t(tokens, p_<domain>...)."""
     sums = t.agg(F.sum("tokens"), *(F.sum(F.col("tokens") * F.col(f"p_{d}")) for d in DOMAINS)).first()
     if not sums[0]:
@@ -145,18 +145,21 @@ def source_weights(mixture: DataFrame) -> DataFrame:
     return by.join(F.broadcast(total)).select("source", "tokens", "expected_tokens", (F.col("expected_tokens") / F.col("all")).alias("weight"))
 
 
-def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, low: float = 1.0) -> DataFrame:
+def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, low: float = 1.0, spare_clean: bool = False) -> DataFrame:
     """documents with each row repeated by its rate: the whole part, and one more with the rest as probability by hash.
 
-    With low = 1 no document goes; what is short of its target is repeated, up to MOST times.
+    With low = 1 no document goes, and what is above its target stays above; with low = 0 such documents go,
+    but with spare_clean none that is more likely clean than not.
+    What is short of its target is repeated, up to MOST times. Rows without doc_id draw by their text.
     """
     own = documents.withColumnsRenamed({c: f"c{i}" for i, c in enumerate(documents.columns)})
     of = {c: f"c{i}" for i, c in enumerate(documents.columns)}
     at = own.withColumns({"doc_id": F.col(of["doc_id"]).cast("long"), "text": F.col(of["text"]).cast("string")})
     t, fitted = _posteriors(at, labels, list(of.values()))
-    history = fit_rates(t, targets, low) if fitted else []
-    rate = F.when(F.col("tokens") > 0, _rate(history, low)).otherwise(F.lit(1.0))
-    chance = F.pmod(F.xxhash64(F.col(of["doc_id"]), F.lit(29)), F.lit(1_000_003)) / 1_000_003
+    floor = F.when(F.col("p_clean") > 0.5, F.lit(max(low, 1.0))).otherwise(F.lit(low)) if spare_clean else F.lit(low)
+    history = fit_rates(t, targets, floor) if fitted else []
+    rate = F.when(F.col("tokens") > 0, _rate(history, floor)).otherwise(F.lit(1.0))
+    chance = F.pmod(F.xxhash64(F.coalesce(F.col(of["doc_id"]).cast("long"), F.xxhash64(of["text"])), F.lit(29)), F.lit(1_000_003)) / 1_000_003
     copies = (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("int")
-    out = t.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))) if low >= 1 else t.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    out = t.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies)))
     return out.select(*(F.col(n).alias(c) for c, n in of.items()))
