@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: soft memberships from labelled rows, rates by projected-gradient least squares.
+"""Mixing sources to target weights: soft memberships from labelled rows, rates by least squares projected on r >= low.
 
 Domains are the four label states: quality good or poor, toxic or not. A multinomial logistic regression, fitted on the
 driver on up to SAMPLE labelled documents (smallest hash of doc_id), gives each document a posterior over domains from
@@ -6,9 +6,11 @@ statistics that DataFrame functions compute, among them the hits of a lexicon of
 
 Rates r >= 0 minimise  sum_k (sum_d w_d p_dk r_d - t_k)**2 / m_k + RIDGE sum_d w_d (r_d - 1)**2  where w_d is a document's
 share of all tokens, t_k the target share and m_k the share of domain k: expected token totals of the domains meet the
-targets with rates as near 1 as they can be. A document's rate depends on its posterior and on the residuals of earlier
-rounds only, so a round is one scan of a staged narrow table with the residual history (ROUNDS x domains numbers) in the
-plan: no shuffle but a global sum, no state to lose, nothing that grows on the driver.
+targets with rates as near 1 as they can be. At the minimum r_d = max(low, 1 - p_d . c / RIDGE), where c_k is the residual
+of domain k over m_k, so the fit looks for one number a domain, by Newton steps that are halved until the error falls. A
+step is one scan of a staged narrow table with these numbers in the plan: no shuffle but a global sum, no state to lose,
+nothing that grows on the driver. low is 0 by default and rates have no upper bound. What RIDGE and soft posteriors leave
+unmet of a scarce domain's target stays unmet, as does the target of a domain that no document belongs to.
 
 Native: DataFrame functions only on the documents' path.
 
@@ -29,7 +31,7 @@ from .shared import staged
 
 DOMAINS = ("clean", "toxic", "poor", "poor_toxic")
 TARGETS = {"clean": 0.9, "toxic": 0.04, "poor": 0.05, "poor_toxic": 0.01}
-SAMPLE, LEXICON, ROUNDS, RIDGE, MOST, TOLERANCE = 4_000, 24, 15, 0.02, 4.0, 1e-6
+SAMPLE, LEXICON, ROUNDS, RIDGE, TOLERANCE = 4_000, 24, 60, 0.02, 1e-6
 
 
 def _domain(labels: DataFrame) -> DataFrame:
@@ -79,13 +81,11 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w, b
 
 
-def _rate(history: list[list[float]], low: float | Column):
-    """The rate after the rounds in history as a column of the posteriors."""
-    p = [F.col(f"p_{d}") for d in DOMAINS]
-    if not history:
+def _rate(c: list[float], low: float | Column):
+    """The rate as a column of the posteriors, from the scaled residuals c; 1 without any."""
+    if not c:
         return F.lit(1.0)
-    rounds = F.array(*(F.array(*map(F.lit, g)) for g in history))
-    return F.aggregate(rounds, F.lit(1.0), lambda r, g: F.greatest(F.lit(low), F.least(F.lit(MOST), r - sum((x * g[i] for i, x in enumerate(p)), (r - 1) * RIDGE))))
+    return F.greatest(F.lit(low), 1 - sum((F.col(f"p_{d}") * F.lit(v / RIDGE) for d, v in zip(DOMAINS, c, strict=True)), F.lit(0.0)))
 
 
 def _posteriors(documents: DataFrame, labels: DataFrame, columns: list[str]) -> tuple[DataFrame, bool]:
@@ -108,33 +108,48 @@ def _posteriors(documents: DataFrame, labels: DataFrame, columns: list[str]) ->
     return staged(base.select(*columns, "tokens", *((v / total).alias(f"p_{d}") for d, v in zip(DOMAINS, e, strict=True))), "posteriors"), fitted
 
 
-def fit_rates(t: DataFrame, targets: dict[str, float], low: float | Column = 0.0) -> list[list[float]]:
-    """The residual history that gives the rates of the staged table t(tokens, p_<domain>...)."""
+def fit_rates(t: DataFrame, targets: dict[str, float], low: float | Column = 0.0) -> list[float]:
+    """The scaled residuals that give the rates of the staged table t(tokens, p_<domain>...)."""
     sums = t.agg(F.sum("tokens"), *(F.sum(F.col("tokens") * F.col(f"p_{d}")) for d in DOMAINS)).first()
     if not sums[0]:
         return []
-    mass = np.array(sums[1:], float) / sums[0]
+    k = len(DOMAINS)
     goal = np.array([targets[d] for d in DOMAINS])
-    scale = np.maximum(mass, 1e-6)
-    history: list[list[float]] = []
-    now = mass
-    while len(history) < ROUNDS:
-        history.append(((now - goal) / scale).tolist())
-        r = _rate(history, low)
-        after = t.withColumn("r", r).agg(*(F.sum(F.col("tokens") * F.col("r") * F.col(f"p_{d}")) for d in DOMAINS)).first()
-        after = np.array(after, float) / sums[0]
-        if np.abs(after - now).max() < TOLERANCE:
-            break
-        now = after
-    return history
+    scale = np.maximum(np.array(sums[1:], float) / sums[0], 1e-6)
+    p = [F.col("tokens") * F.col(f"p_{d}") for d in DOMAINS]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def error(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far c is from the residuals of its own rates, and the derivative of that by c."""
+        free = F.when(F.col("r") > low, 1.0).otherwise(0.0)
+        row = t.withColumn("r", _rate(c.tolist(), low)).agg(*(F.sum(x * F.col("r")) for x in p), *(F.sum(p[i] * F.col(f"p_{DOMAINS[j]}") * free) for i, j in pairs)).first()
+        slope = np.diag(-scale)
+        for (i, j), v in zip(pairs, row[k:], strict=True):
+            slope[i, j] -= v / sums[0] / RIDGE
+            slope[j, i] = slope[i, j]
+        return np.array(row[:k], float) / sums[0] - goal - scale * c, slope
+
+    c = np.zeros(k)
+    e, slope = error(c)
+    size, rounds = 1.0, 1
+    while np.abs(e).max() >= TOLERANCE and rounds < ROUNDS:
+        step = np.linalg.solve(slope, -e)
+        at = c + size * step
+        after, bend = error(at)
+        rounds += 1
+        if (after * after / scale).sum() < (e * e / scale).sum() or size < 1e-3:
+            c, e, slope, size = at, after, bend, 1.0
+        else:
+            size /= 2
+    return c.tolist()
 
 
 def rates(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, low: float = 0.0) -> DataFrame:
     """doc_id, source, tokens, p_<domain>..., rate, expected_tokens for every row of documents(doc_id, text, source)."""
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     t, fitted = _posteriors(own, labels, ["doc_id", "source"])
-    history = fit_rates(t, targets, low) if fitted else []
-    rate = F.when(F.col("tokens") > 0, _rate(history, low)).otherwise(F.lit(1.0))
+    residuals = fit_rates(t, targets, low) if fitted else []
+    rate = F.when(F.col("tokens") > 0, _rate(residuals, low)).otherwise(F.lit(1.0))
     return t.withColumn("rate", rate).withColumn("expected_tokens", F.col("rate") * F.col("tokens"))
 
 
@@ -150,15 +165,15 @@ def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = T
 
     With low = 1 no document goes, and what is above its target stays above; with low = 0 such documents go,
     but with spare_clean none that is more likely clean than not.
-    What is short of its target is repeated, up to MOST times. Rows without doc_id draw by their text.
+    Rows without doc_id draw by their text.
     """
     own = documents.withColumnsRenamed({c: f"c{i}" for i, c in enumerate(documents.columns)})
     of = {c: f"c{i}" for i, c in enumerate(documents.columns)}
     at = own.withColumns({"doc_id": F.col(of["doc_id"]).cast("long"), "text": F.col(of["text"]).cast("string")})
     t, fitted = _posteriors(at, labels, list(of.values()))
     floor = F.when(F.col("p_clean") > 0.5, F.lit(max(low, 1.0))).otherwise(F.lit(low)) if spare_clean else F.lit(low)
-    history = fit_rates(t, targets, floor) if fitted else []
-    rate = F.when(F.col("tokens") > 0, _rate(history, floor)).otherwise(F.lit(1.0))
+    residuals = fit_rates(t, targets, floor) if fitted else []
+    rate = F.when(F.col("tokens") > 0, _rate(residuals, floor)).otherwise(F.lit(1.0))
     chance = F.pmod(F.xxhash64(F.coalesce(F.col(of["doc_id"]).cast("long"), F.xxhash64(of["text"])), F.lit(29)), F.lit(1_000_003)) / 1_000_003
     copies = (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("int")
     out = t.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies)))

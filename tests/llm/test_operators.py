@@ -266,3 +266,18 @@ def test_mixing_meets_targets(spark):
     out = mixing.mixed(documents(spark, texts), labels, goal)
     assert out.columns == documents(spark, texts).columns and {r[0] for r in out.select("doc_id").collect()} == set(range(len(texts)))
     assert mixing.rates(documents(spark, texts), labels.limit(0)).agg(F.min("rate"), F.max("rate")).first()[:] == (1.0, 1.0)
+
+
+def test_mixing_reaches_scarce_targets_and_the_minimum(spark):
+    # 4 of 400 documents are toxic: the target asks for ten times their share, so no cap on rates may bind
+    texts = [" ".join(("house", "tree", "river")[(i * 7 + k * k) % 3] for k in range(50)) + (" moron" * 3 if i % 100 == 0 else "") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 100 == 0)) for i in range(400)], LABELS)
+    goal = {"clean": 0.9, "toxic": 0.1, "poor": 0.0, "poor_toxic": 0.0}
+    m = mixing.rates(documents(spark, texts), labels, goal).collect()
+    p, w = np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in m]), np.array([r["tokens"] for r in m], float)
+    w /= w.sum()
+    rate, t, mass = np.array([r["rate"] for r in m]), np.array([goal[d] for d in mixing.DOMAINS]), np.maximum(w @ p, 1e-6)
+    got = (w * rate) @ p
+    assert all(abs(x - goal[d]) <= 0.1 * goal[d] + 1e-3 for x, d in zip(got, mixing.DOMAINS, strict=True)) and rate.max() > 4
+    slope = p @ ((got - t) / mass) + mixing.RIDGE * (rate - 1)  # the objective's, by a document's rate
+    assert np.abs(slope[rate > 0]).max() < 1e-3 and (slope[rate == 0] > -1e-3).all()
