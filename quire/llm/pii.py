@@ -2,7 +2,8 @@
 
 Base spans are those of four patterns with their checks. The field works on islands (neighbouring chunks of text that
 hold a digit, an at sign or a bracketed `at`): tokens outside can't start a segment, so decoding an island alone is exact.
-A segment is a whole candidate of up to LONGEST tokens between alphanumeric borders; its features are those of the whole
+A segment is a whole candidate of up to LONGEST tokens between alphanumeric borders, and of at most 24 digits if it has no
+colon (a full IPv6 address can have 32); its features are those of the whole
 span (digit groups, checksums, separators, domain shape, borders, the word before). Bounded-entity dynamic programming
 chooses boundaries and kinds jointly. Weights come from maximum likelihood (forward-backward over segmentations) on
 SENTENCES seeded synthetic sentences with and without personal data, since no table labels spans. A predicted span that
@@ -175,7 +176,7 @@ def candidates(text: str, start: int, end: int):
                 continue
             if "\n" in text[a:b]:
                 break
-            if digits[j] - digits[i] < 7 and marks[j] == marks[i] and colons[j] - colons[i] < 2 or digits[j] - digits[i] > 24:
+            if digits[j] - digits[i] < 7 and marks[j] == marks[i] and colons[j] - colons[i] < 2 or digits[j] - digits[i] > 24 and colons[j] == colons[i]:
                 continue
             word = text[start:a].split()
             word = (word[-1] if word else before).strip(".,:;()\"'=").lower()

@@ -281,3 +281,13 @@ def test_mixing_reaches_scarce_targets_and_the_minimum(spark):
     assert all(abs(x - goal[d]) <= 0.1 * goal[d] + 1e-3 for x, d in zip(got, mixing.DOMAINS, strict=True)) and rate.max() > 4
     slope = p @ ((got - t) / mass) + mixing.RIDGE * (rate - 1)  # the objective's, by a document's rate
     assert np.abs(slope[rate > 0]).max() < 1e-3 and (slope[rate == 0] > -1e-3).all()
+
+
+def test_pii_finds_addresses_of_many_digits(spark):
+    full = ["1234:5678:9012:3456:7890:1234:5678:90ab", "2001:0db8:1234:5678:9012:3456:7890:1234"]
+    assert all(sum(map(str.isdigit, a)) > 24 for a in full)
+    for a in full:
+        tokens, found = pii.candidates(a, 0, len(a))
+        assert (0, len(tokens)) in {(i, j) for i, j, _ in found}
+    rows = pii.detect(documents(spark, [f"write to server {a} and see" for a in full])).collect()
+    assert [r["spans"] for r in rows] == [f"ip:16:{16 + len(a)}" for a in full]
