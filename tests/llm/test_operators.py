@@ -97,17 +97,58 @@ def test_perplexity_equals_brute_force(spark):
     assert len(out) == len(texts) and all(r["kept"] for r in out)
 
 
+WRAPPED_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including the rights\nto use, copy and sell it."
+WRAPPED_GPL = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n * More."
+
+
+def license_rows(text, model):
+    """(paragraph, family, probability, match) by plain Python."""
+    import regex
+
+    out = []
+    for p in regex.split(license.BREAK, text) if text else []:
+        if not any(c in p for c in license.CUES):
+            continue
+        g = license.grams(p)
+        z = np.array(model.intercepts) + sum((np.array(model.weights[x]) for x in g if x in model.weights), np.zeros(len(model.intercepts)))
+        if z.max() <= z[-1]:
+            continue
+        best = int(z[: license.UNKNOWN].argmax())
+        e = np.exp((z - z.max()) / model.temperature)
+        prob, m = e[best] / e.sum(), license.match(g, model.templates[license.FAMILIES[best]])
+        sure = z[best] == z.max() and prob >= model.bar and m >= license.CONFIRM
+        out.append((p, license.FAMILIES[best] if sure else "unknown", prob, m))
+    return out
+
+
 def test_licenses(spark):
-    model = license.Model(["the quick fox of the hill", "a version of the work in this file"] * 20)
-    texts = ["x\nLicensed under the Apache License, Version 2.0.\ny", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "the work of this version is under the hill", "This text is licensed under the Zorblax Frobnicate License", *ODD]
-    got = [r["families"] for r in license.scan(documents(spark, texts), model).orderBy("doc_id").collect()]
-    assert got[:6] == ["apache-2.0", "mit", "cc-by-nc", "gpl-3.0", "", "unknown"]
-    assert got[6:] == [""] * len(ODD) and model.held_accuracy > 0.9
-    names, other = license._FAMILIES, len(license._FAMILIES)
-    for t in texts[4:5] + ["of the and in", "file work terms"]:  # screened out texts have no family by a full score either
-        if not re.search("(?i)" + "|".join(model.anchors), t):
-            z = np.array(model.intercepts) + sum((np.array(model.weights[g]) for g in license.grams(t) if g in model.weights), np.zeros(len(names) + 1))
-            assert z.argmax() == other
+    prose = ["das haus mit dem garten und der MIT war da.", "er kam mit dem License Server an", "he lost the license of the car"] * 5
+    model = license.train(documents(spark, [*prose, *ODD]))
+    want = {
+        "x\nLicensed under the Apache License, Version 2.0.\ny": "apache-2.0", "word word\nReleased under the MIT License.": "mit", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0",
+        "Licensed under the Apache License,\nVersion 2.0": "apache-2.0", WRAPPED_MIT: "mit", WRAPPED_GPL: "gpl-3.0", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:": "bsd", "All rights reserved.": "all-rights-reserved",
+        "This text is licensed under the Zorblax Frobnicate License": "unknown", "Released under the Quux License.": "unknown", "LICENSED UNDER THE MIT LICENSE.": "mit",
+        "the work of this version is under the hill": "", "Der Mann mit dem Hut kam mit.": "", "MIT": "", "ER!! KAM!! MIT!! DEM!! HUT!!": "", "Mit.": "", "he has a license to kill": "",
+    }
+    texts = [*want, *prose, *ODD, "Released under the MIT License.\n\n" + "Licensed under CC0-1.0.\n" * 3 + "word " * 30000]
+    rows = [r for r in license.scan(documents(spark, texts), model).orderBy("doc_id").collect()]
+    assert [r["families"] for r in rows[: len(want)]] == list(want.values())
+    assert rows[-1]["families"] == "cc0,mit" and rows[-1]["n_licenses"] == 4 and rows[-1]["n_paragraphs"] == 5
+    assert all(r["families"] == "" for r in rows[len(want) : -1])
+    for t, r in zip(texts, rows, strict=True):
+        brute = license_rows(t, model)
+        assert [tuple(x)[:2] for x in r["licenses"]] == [x[:2] for x in brute]
+        assert np.allclose([tuple(x)[2:] for x in r["licenses"]], [x[2:] for x in brute], atol=1e-9) if brute else True
+        assert r["n_paragraphs"] == (len(__import__("regex").split(license.BREAK, t)) if t else 0)
+    assert model.held_accuracy > 0.5  # on names, licences and folds that the fit hasn't seen
+
+
+def test_license_edges(spark):
+    model = license.Model([])
+    assert license.train(documents(spark, []).limit(0)).weights == model.weights
+    assert license.scan(documents(spark, [""]).limit(0), model).count() == 0
+    twice = documents(spark, ["Released under the MIT License."]).withColumn("doc_id", F.lit(None).cast("long")).withColumn("paragraph", F.lit(1)).withColumn("licenses", F.lit(2))
+    assert [(r["doc_id"], r["families"]) for r in license.scan(twice.union(twice), model).collect()] == [(None, "mit")] * 2
 
 
 def test_pii(spark):
