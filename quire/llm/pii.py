@@ -2,15 +2,18 @@
 
 Base spans are those of four patterns with their checks. The field works on islands (neighbouring chunks of text that
 hold a digit, an at sign or a bracketed `at`): tokens outside can't start a segment, so decoding an island alone is exact.
-A segment is a whole candidate of up to LONGEST tokens between alphanumeric borders, and of at most 24 digits if it has no
-colon (a full IPv6 address can have 32); its features are those of the whole
-span (digit groups, checksums, separators, domain shape, borders, the word before). Bounded-entity dynamic programming
-chooses boundaries and kinds jointly. Weights come from maximum likelihood (forward-backward over segmentations) on
+Entities are bounded, as the dynamic programming needs: a segment is a whole candidate of up to LONGEST tokens between
+alphanumeric borders (a spelled-out address of eight groups has 15, of four labels with `[dot]` about 25); with neither
+colon nor at sign it has 7 to DIGITS digits (cards have at most 19). Longer runs hold no entity of these kinds. Its
+features are those of the whole span (digit groups, checksums, separators, domain shape, borders, the word before).
+Dynamic programming over the last LONGEST tokens chooses boundaries and kinds jointly, in time linear in the text and
+with 18 bytes a token of an island. Weights come from maximum likelihood (forward-backward over segmentations) on
 SENTENCES seeded synthetic sentences with and without personal data, since no table labels spans. A predicted span that
 meets a base span is dropped, so base spans stay as they are.
 
 Edge cases: null text is empty and has no spans; repeated rows are returned as often as they come; rows without doc_id
-keep it null; an empty table gives no rows; other columns are not read (masked() returns them as they are).
+keep it null; an empty table gives no rows; of equal scores the shorter path and the kind first in order win; other
+columns are not read (masked() returns them as they are).
 """
 
 from __future__ import annotations
@@ -18,20 +21,27 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections import defaultdict
+from array import array
+from bisect import bisect_left
+from collections import defaultdict, deque
+from collections.abc import Iterator
 from functools import lru_cache
 from math import exp, log, sqrt
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST, SENTENCES, EPOCHS, RATE, PENALTY, SEED = 40, 900, 4, 0.5, 1e-4, 17
+LONGEST, DIGITS, SENTENCES, EPOCHS, RATE, PENALTY, SEED = 40, 24, 900, 4, 0.5, 1e-4, 17
+#: Scores of candidates that a worker remembers.
+REMEMBERED = 100_000
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: The base patterns with possessive runs and a start at a run's border: the same matches, in linear time.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile("[0-9]")
@@ -69,7 +79,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         return out
     if "." in text:
         for m in _IP.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split(".")):
+            if all(len(x) <= 3 and int(x or "0") <= 255 for x in (y.lstrip("0") for y in m.group().split("."))):
                 out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -121,6 +131,7 @@ def islands(text: str):
 
 
 _GROUPS = re.compile(r"[0-9]+")
+_SEVEN = re.compile(r"(?:[0-9][^0-9]*+){7}")
 _QUAD = re.compile(r"([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\Z")
 _HEX = re.compile(r"(?i)[0-9a-f]{0,4}(:[0-9a-f]{0,4}){2,7}\Z")
 _ADDRESS = re.compile(r"(?i)[a-z0-9][a-z0-9._%+-]*\s?(@|[\[(]\s?at\s?[\])])\s?[a-z0-9-]+((\s?[\[(]\s?dot\s?[\])]\s?|\.)[a-z0-9-]+)+\Z")
@@ -150,41 +161,74 @@ def features(span: str, before: str, left: str, right: str) -> list[str]:
     return out
 
 
+def _tidy(word: str) -> str:
+    """The word before a candidate as a feature; of a very long one the end."""
+    word = word.strip(".,:;()\"'=").lower()
+    return "9" if any(map(str.isdigit, word)) else word
+
+
+def _steps(text: str, start: int, end: int):
+    """(start, end, candidates) of each token of an island, the candidates being those that end with it.
+
+    A candidate is its number of tokens, its start, and the arguments of features(). Only the last LONGEST tokens are
+    remembered.
+    """
+    first = text[max(0, start - 40) : start].split()
+    word = first[-1] if first else ""
+    window: deque = deque(maxlen=LONGEST)  # a start: its place, digits, marks and colons before it, the word before, the character before
+    digits = marks = colons = 0
+    chunk = start  # where the chunk of non-blanks that the token is in begins
+    for m in _TOKEN.finditer(text, start, end):
+        a, b = m.span()
+        x = m.group()
+        c = x[0]
+        if c.isspace():
+            if chunk < a:
+                word = text[max(chunk, a - 80) : a]
+            chunk = b
+        left = text[a - 1] if a else "^"
+        inside = left.isalnum()
+        if c in "+(" or c.isalnum() and not (a and inside):
+            window.append((a, digits, marks, colons, _tidy(text[max(chunk, a - 80) : a] or word), "a" if inside else left))
+        else:
+            window.append(None)
+        if c.isdigit():
+            digits += b - a
+        elif c == ":":
+            colons += 1
+        elif x == "@" or x == "at":
+            marks += 1
+        elif "\n" in x:
+            window.clear()
+        found = []
+        if text[b - 1].isalnum() and not (b < len(text) and text[b].isalnum()):
+            right = text[b] if b < len(text) else "$"
+            right = "a" if right.isalnum() else right
+            n = len(window)
+            for k, opened in enumerate(window):
+                if opened is None:
+                    continue
+                s, d, at, co, w, left = opened
+                if digits - d < 7 and marks == at and colons - co < 2 or digits - d > DIGITS and colons == co and marks == at:
+                    continue
+                found.append((n - k, s, (text[s:b], w, left, right)))
+        yield a, b, found
+
+
+def _worth(text: str, start: int, end: int) -> bool:
+    """Whether an island can hold a candidate at all."""
+    return text.find("@", start, end) >= 0 or text.find("at", start, end) >= 0 or text.count(":", start, end) >= 2 or _SEVEN.search(text, start, end) is not None
+
+
 def candidates(text: str, start: int, end: int):
     """Tokens of an island and its candidate segments (i, j, features): tokens i to j - 1 of at most LONGEST."""
-    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, start, end)]
-    n = len(tokens)
-    digits, marks, colons = [0], [0], [0]
-    for a, b in tokens:
-        x = text[a:b]
-        digits.append(digits[-1] + (b - a if x[0].isdigit() else 0))
-        marks.append(marks[-1] + (x == "@" or x == "at"))
-        colons.append(colons[-1] + (x == ":"))
-    found = []
-    if not (digits[-1] >= 7 or marks[-1] or colons[-1] >= 2):
+    tokens, found = [], []
+    if not _worth(text, start, end):
         return tokens, found
-    back = text[max(0, start - 40) : start].split()
-    before = back[-1] if back else ""
-    for i in range(n):
-        a = tokens[i][0]
-        c = text[a]
-        if not (c.isalnum() or c in "+(") or (a and text[a - 1].isalnum() and c.isalnum()):
-            continue
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
-            b = tokens[j - 1][1]
-            if not text[b - 1].isalnum() or (b < len(text) and text[b].isalnum()):
-                continue
-            if "\n" in text[a:b]:
-                break
-            if digits[j] - digits[i] < 7 and marks[j] == marks[i] and colons[j] - colons[i] < 2 or digits[j] - digits[i] > 24 and colons[j] == colons[i]:
-                continue
-            word = text[start:a].split()
-            word = (word[-1] if word else before).strip(".,:;()\"'=").lower()
-            if any(ch.isdigit() for ch in word):
-                word = "9"
-            left = text[a - 1] if a else "^"
-            right = text[b] if b < len(text) else "$"
-            found.append((i, j, features(text[a:b], word, left if not left.isalnum() else "a", right if not right.isalnum() else "a")))
+    for a, b, ends in _steps(text, start, end):
+        tokens.append((a, b))
+        j = len(tokens)
+        found += [(j - n, j, features(*context)) for n, _, context in ends]
     return tokens, found
 
 
@@ -325,16 +369,62 @@ def train(sentences: int = SENTENCES, epochs: int = EPOCHS, seed: int = SEED) ->
     return {k: v for k, v in w.items() if abs(v) > 1e-4}
 
 
-def added_spans(text: str, base: list[tuple[str, int, int]], w: Weights) -> list[tuple[str, int, int]]:
-    out = []
-    taken = sorted((a, b) for _, a, b in base)
+class Scorer:
+    """The best kind and its score for candidates; those met before are remembered, up to REMEMBERED of them."""
+
+    def __init__(self, w: Weights):
+        self.rows = {f: tuple(w.get((k, f), 0.0) for k in KINDS) for f in {f for _, f in w}}
+        self.seen: dict = {}
+
+    def best(self, context: tuple[str, str, str, str]) -> tuple[float, int]:
+        rows = [r for f in features(*context) if (r := self.rows.get(f))]
+        scores = [sum(r[k] for r in rows) for k in range(len(KINDS))]
+        top = max(scores)
+        if len(self.seen) >= REMEMBERED:
+            self.seen.clear()
+        self.seen[context] = found = top, scores.index(top)
+        return found
+
+    def entities(self, text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+        """The entities of the best segmentation of an island, as decode() gives them."""
+        if not _worth(text, start, end):
+            return []
+        starts, ends = array("q"), array("q")
+        size, kind = array("B"), array("B")  # of the segment that ends with each token; 0 without one
+        best = deque([0.0], maxlen=LONGEST + 1)  # the last ones of the best scores up to each token
+        seen = self.seen
+        for a, b, found in _steps(text, start, end):
+            starts.append(a)
+            ends.append(b)
+            value, n_best, k_best = best[-1], 0, 0
+            for n, _, context in found:
+                score, k = seen.get(context) or self.best(context)
+                if score > 0 and (v := best[-n] + score) > value:
+                    value, n_best, k_best = v, n, k
+            best.append(value)
+            size.append(n_best)
+            kind.append(k_best)
+        out, j = [], len(size)
+        while j:
+            if n := size[j - 1]:
+                out.append((KINDS[kind[j - 1]], starts[j - n], ends[j - 1]))
+                j -= n
+            else:
+                j -= 1
+        return out[::-1]
+
+
+def added_spans(text: str, base: list[tuple[str, int, int]], scorer: Scorer) -> list[tuple[str, int, int]]:
+    out, taken = [], []
+    for a, b in sorted((a, b) for _, a, b in base):  # joined where they overlap
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
     for start, end in islands(text):
-        tokens, found = candidates(text, start, end)
-        if not found:
-            continue
-        for i, j, kind in decode(len(tokens), found, _scores(found, w)):
-            a, b = tokens[i][0], tokens[j - 1][1]
-            if not any(x < b and a < y for x, y in taken):
+        for kind, a, b in scorer.entities(text, start, end):
+            at = bisect_left(taken, [b]) - 1  # the last one that starts before b
+            if at < 0 or taken[at][1] <= a:
                 out.append((kind, a, b))
     return out
 
@@ -347,18 +437,19 @@ def _join(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find(text: str, w: Weights) -> tuple[list, list]:
+def find(text: str, scorer: Scorer) -> tuple[list, list]:
     """Base spans and all spans of one text, each by kind and start."""
     base = base_spans(text)
-    return base, _sorted(base + added_spans(text, base, w))
+    return base, _sorted(base + added_spans(text, base, scorer))
 
 
 def _found(w: Weights):
     def run(batches):
+        scorer = Scorer(w)
         for batch in batches:
             rows = []
             for t in batch.column("text").to_pylist():
-                base, every = find(t or "", w)
+                base, every = find(t or "", scorer)
                 rows.append((*(sum(s[0] == k for s in every) for k in KINDS), hashlib.sha256(_join(base).encode()).hexdigest(), _join(every)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
@@ -388,7 +479,9 @@ def masked(documents: DataFrame) -> DataFrame:
     w = train()
 
     @F.pandas_udf("string")
-    def run(texts):
-        return texts.map(lambda t: t if t is None else mask(t, find(t, w)[1]))
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(w)
+        for some in texts:
+            yield some.map(lambda t: t if t is None else mask(t, find(t, scorer)[1]))
 
     return documents.withColumn("text", run(F.col("text")))

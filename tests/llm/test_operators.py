@@ -332,3 +332,35 @@ def test_pii_finds_addresses_of_many_digits(spark):
         assert (0, len(tokens)) in {(i, j) for i, j, _ in found}
     rows = pii.detect(documents(spark, [f"write to server {a} and see" for a in full])).collect()
     assert [r["spans"] for r in rows] == [f"ip:16:{16 + len(a)}" for a in full]
+
+
+def test_pii_long_numeric_texts_and_edges(spark):
+    scorer = pii.Scorer(pii.train())
+    zeros = "1." + "0" * 6000 + "7.1.1"
+    assert pii.find(zeros, scorer)[0] == [("ip", 0, len(zeros))] and pii.find("1." + "0" * 6000 + "700.1.1", scorer)[0] == []
+    began = __import__("time").perf_counter()
+    for x in ("12 " * 100_000, "7" * 200_000, "1-" * 100_000, "a@" * 50_000, "1." * 50_000):  # quadratic work would take hours
+        pii.find(x, scorer)
+    assert __import__("time").perf_counter() - began < 120
+    row = documents(spark, [zeros]).withColumn("doc_id", F.lit(None).cast("long")).withColumn("spans", F.lit("x"))
+    out = pii.detect(row.union(row)).collect()
+    assert [(r["doc_id"], r["n_ip"], r["spans"]) for r in out] == [(None, 1, f"ip:0:{len(zeros)}")] * 2
+    assert pii.detect(row.limit(0)).count() == 0 and pii.masked(row).columns == row.columns
+    assert [r["text"] for r in pii.masked(row).collect()] == ["[IP]"]
+
+
+def test_pii_decoding_in_a_window_and_held_out_spans():
+    w = pii.train()
+    scorer, rng = pii.Scorer(w), random.Random(991)
+    right = wrong = missed = 0
+    for _ in range(400):
+        text, spans = pii.sentence(rng)
+        for a, b in pii.islands(text):
+            tokens, found = pii.candidates(text, a, b)
+            want = [(k, tokens[i][0], tokens[j - 1][1]) for i, j, k in pii.decode(len(tokens), found, pii._scores(found, w))]
+            assert scorer.entities(text, a, b) == want
+        base, every = pii.find(text, scorer)
+        open_ = {s for s in spans if not any(x[1] < s[2] and s[1] < x[2] for x in base)}
+        added = {s for s in every if s not in base}
+        right, wrong, missed = right + len(open_ & added), wrong + len(added - open_), missed + len(open_ - added)
+    assert right / (right + wrong) > 0.93 and right / (right + missed) > 0.93
