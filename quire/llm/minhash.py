@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, small_side, staged
+from .shared import connected_components, discard, fresh, grouped, small_side, spread_join, staged
 from .words import chunks, lean, mix, shingle_sets, text_key
 
 SLOTS, ROWS, SHINGLE = 128, 4, 5
@@ -131,9 +131,8 @@ def _shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _in_blocks(members: DataFrame, columns: list[str]):
-    """members grouped by pairs of blocks of their bucket, so that any two members of a bucket meet in a group."""
-    size = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    dealt = members.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
+    """members(..., size of their bucket) grouped by pairs of blocks of a bucket, so that any two members meet in a group."""
+    dealt = members.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
     dealt = dealt.select(*columns, "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     dealt = dealt.select(*columns, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     # Rows dealt by bucket would satisfy this grouping too, and leave all blocks of a large bucket to one task.
@@ -190,12 +189,12 @@ def _joined(percent: int):
 def _verified(docs: DataFrame, pairs: DataFrame, sigs: DataFrame, percent: int, tag: str) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     one = lambda c: sigs.select(F.col("rid").alias(c), F.col("sig").alias(f"sig_{c}")).dropDuplicates([c])
-    near = pairs.join(one("a"), "a").join(one("b"), "b").withColumn("est", _estimate("sig_a", "sig_b"))
+    near = spread_join(pairs, one("a"), "a", "b").join(one("b"), "b").withColumn("est", _estimate("sig_a", "sig_b"))
     near = staged(near.filter(F.col("est") >= ESTIMATE).select("a", "b"), f"{tag}-near")
     sets = _shingles(docs, near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
     sets = staged(sets, f"{tag}-sets").dropDuplicates(["rid"])
     side = lambda c: sets.select(F.col("rid").alias(c), F.col("shingles").alias(f"s_{c}"))
-    both = near.join(side("a"), "a").join(side("b"), "b")
+    both = spread_join(near, side("a"), "a", "b").join(side("b"), "b")
     inter = F.size(F.array_intersect("s_a", "s_b"))
     both = both.select("a", "b", inter.alias("i"), (F.size("s_a") + F.size("s_b")).alias("n"))
     return both.filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
@@ -211,8 +210,8 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     firsts = base.join(classes, (base.doc_id == classes.rid) & (base.text_key == classes.text_key), "left_semi")
     firsts = staged(firsts.select(F.col("doc_id").alias("rid"), "n_shingles", "bands", "sig"), "firsts")
     rows = firsts.select("rid", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("rid").alias("a"), F.max("rid").alias("z")).filter("a < z").select("bucket", "a")
-    rows = staged(rows.join(shared, "bucket"), "buckets")
+    rows, ends = grouped(rows, "bucket", "rid", a=("min", "rid"), z=("max", "rid"))
+    rows = staged(rows.join(ends.filter("a < z").drop("z"), ["bucket", "salt"]).drop("salt"), "buckets")
 
     # Round 1: every member of a bucket against the bucket's first; so many pairs as members.
     stars = rows.filter("rid > a").select("a", F.col("rid").alias("b")).distinct()
@@ -223,21 +222,28 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     # task is members and links of a spanning forest, never pairs.
     m = rows.filter("rid > a").join(found.withColumnRenamed("node", "rid"), "rid", "left")
     m = staged(m.select("bucket", "rid", "n_shingles", F.coalesce("component", "rid").alias("comp")).distinct(), "members")
-    apart = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("who")).filter("lo < hi")
-    apart = apart.groupBy("size", "who").agg(F.min("bucket").alias("bucket"))  # bands that hold the same members once
-    m = m.join(apart.select("bucket"), "bucket", "left_semi")
+    discard(rows)
+    dealt, apart = grouped(m, "bucket", "rid", lo=("min", "comp"), hi=("max", "comp"), size=("count", "*"), who=("sum", "cast(xxhash64(rid) AS decimal(38, 0))"))
+    apart = apart.filter("lo < hi")
+    once = apart.groupBy("size", "who").agg(F.min("bucket").alias("bucket"))  # bands that hold the same members once
+    apart = apart.join(once, ["size", "who", "bucket"], "left_semi").select("bucket", "salt", "size")
+    open_ = staged(dealt.join(apart, ["bucket", "salt"]).drop("salt"), "open")
+    discard(m)
+    m = open_
     sigs = firsts.select("rid", "sig").dropDuplicates(["rid"])
     near = _in_blocks(m.join(sigs, "rid"), ["bucket", "rid", "n_shingles", "comp", "sig"]).applyInPandas(_plausible(percent), "bucket long, rid long")
     near = staged(near.distinct(), "plausible")
     sets = staged(_shingles(docs, near.select(F.col("rid").alias("doc_id")).distinct()), "rest-sets").dropDuplicates(["rid"])
-    m = m.join(near, ["bucket", "rid"], "left_semi").join(sigs, "rid").join(sets, "rid")
+    dealt, size = grouped(near, "bucket", "rid", size=("count", "*"))
+    dealt = dealt.join(size, ["bucket", "salt"]).drop("salt")
+    m = m.drop("size").join(dealt, ["bucket", "rid"]).join(sigs, "rid").join(sets, "rid")
     more = _in_blocks(m, ["bucket", "rid", "n_shingles", "comp", "sig", "shingles"]).applyInPandas(_joined(percent), "a long, b long")
     more = staged(more.distinct(), "more")
     if not more.isEmpty():
         found = connected_components(found.toDF("a", "b").union(more))
 
-    out = base.select("doc_id", "n_shingles", "text_key").join(classes, "text_key", "left")
-    out = out.join(found.withColumnRenamed("node", "rid"), "rid", "left")
+    classes = classes.join(found.withColumnRenamed("node", "rid"), "rid", "left")
+    out = spread_join(base.select("doc_id", "n_shingles", "text_key"), classes, "text_key", "doc_id", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rid", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
@@ -245,13 +251,15 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
 def deduplicated(documents: DataFrame, percent: int = 75) -> DataFrame:
     """documents without the rows that near_duplicates() drops, and each (doc_id, text) once; all columns stay."""
     found = staged(near_duplicates(documents, percent).select("doc_id", "kept"), "kept")
-    gone = staged(found.filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    gone, twice = fresh(documents, "gone"), fresh(documents, "twice")
+    dropped = staged(found.filter("not kept").select(F.col("doc_id").alias(gone)).distinct(), "gone")
     key = F.col("doc_id").cast("long")
-    out = documents.join(small_side(gone), key == F.col("gone"), "left_anti")
-    twice = found.filter("doc_id is not null and kept").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("twice"))
-    twice = staged(twice, "twice")
-    if twice.isEmpty():
+    out = documents.join(small_side(dropped), key == F.col(gone), "left_anti")
+    many = found.filter("doc_id is not null and kept").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(twice))
+    many = staged(many, "twice")
+    discard(found)
+    if many.isEmpty():
         return out
-    side = small_side(twice)
-    many = out.join(side, key == F.col("twice"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return out.join(side, key == F.col("twice"), "left_anti").unionByName(many)
+    side = small_side(many)
+    once = out.join(side, key == F.col(twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(side, key == F.col(twice), "left_anti").unionByName(once)

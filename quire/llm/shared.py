@@ -7,9 +7,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A set of ids is broadcast only when it was counted to be at most this long (about 24 MB as a hash relation).
 BROADCAST_IDS = 1_000_000
+#: Parts that the rows of one group are dealt to.
+SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +39,39 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage = path
+    return out
+
+
+def discard(*stages: DataFrame) -> None:
+    """Delete staged frames that nothing reads any more; what is never discarded goes when the session ends."""
+    for df in stages:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(df.stage)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def grouped(rows: DataFrame, key: str, spread: str, **totals: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with a salt, the totals of each group repeated for each of its salts); to be joined by key and salt.
+
+    totals: name=(min, max, sum or count, expression). A group's rows are dealt by spread to SALTS parts, here and in the
+    join, so that a group of any size is never one task's; a group has at most SALTS rows in the second frame.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    one = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
+    parts = salted.groupBy(key, "salt").agg(*(one[kind](F.expr(x)).alias(name) for name, (kind, x) in totals.items()))
+    whole = Window.partitionBy(key)
+    again = one | {"count": F.sum}
+    return salted, parts.select(key, "salt", *(again[kind](name).over(whole).alias(name) for name, (kind, _) in totals.items()))
 
 
 @contextmanager
@@ -56,11 +91,18 @@ def small_side(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
 
 
+def spread_join(rows: DataFrame, side: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with side(key, ...), one row a key: side's row goes to each of the at most SALTS parts of its key's rows."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    there = salted.select(key, "salt").distinct().join(side, key)
+    return salted.join(there, [key, "salt"], how).drop("salt")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest id reachable, for every node of an edge; alternating large-star and small-star.
 
-    Each round is written to the shared folder; the loop ends when a round changes nothing. Only two numbers
-    a round reach the driver.
+    Each round is written to the shared folder, the one before is then deleted; the loop ends when a round changes
+    nothing. Only two numbers a round reach the driver. The neighbours of a hub are dealt to many tasks.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     e, seen = staged(e, "cc"), None
@@ -69,9 +111,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if tuple(mark) == seen or not mark[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
         seen = tuple(mark)
-        both = e.select("u", "v").union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        e = staged(small.distinct(), "cc")
+        both, least = grouped(e.select("u", "v").union(e.select("v", "u")), "u", "v", m=("min", "v"))
+        large = both.join(least, ["u", "salt"]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        dealt, least = grouped(large, "u", "v", m=("min", "v"))
+        small = dealt.join(least, ["u", "salt"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = staged(small.union(large.groupBy("u").agg(F.min("v").alias("v"))).distinct(), "cc")
+        discard(e)
+        e = after

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, staged
+from .shared import connected_components, spread_join, staged
 
 SAMPLE, ROUNDS, PER_CELL, CELLS_MOST, BLOCK, SEED = 20_000, 12, 4_096, 1_024, 2_048, 5
 
@@ -148,7 +148,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98, per_cell: int =
     found = staged(found, "links")
     comps = connected_components(found, "rid", "root")
     links = found.groupBy("rid").agg(F.sum("links").alias("links")).filter("links > 0")
-    out = rows.select("vec_id", "key").join(classes.select("key", "rid", "n"), "key", "left").join(links, "rid", "left")
-    out = out.join(comps.withColumnRenamed("node", "rid"), "rid", "left")
+    each = classes.select("key", "rid", "n").join(links, "rid", "left").join(comps.withColumnRenamed("node", "rid"), "rid", "left")
+    out = spread_join(rows.select("vec_id", "key"), each, "key", "vec_id", "left")
     out = out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).cast("long").alias("n_links"), F.coalesce("component", "rid", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

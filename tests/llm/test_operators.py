@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import bpe, kneser_ney, language, license, minhash, mixing, pii, rules, vectors
 from quire.llm.queries import tokenizer
+from quire.llm.shared import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, component_id string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -364,3 +365,34 @@ def test_pii_decoding_in_a_window_and_held_out_spans():
         added = {s for s in every if s not in base}
         right, wrong, missed = right + len(open_ & added), wrong + len(added - open_), missed + len(open_ - added)
     assert right / (right + wrong) > 0.93 and right / (right + missed) > 0.93
+
+
+def test_minhash_hot_groups_and_clashing_columns(spark, monkeypatch):
+    """Buckets of many blocks, a component that is one hub's, and columns with the names that the code uses inside."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [rng.choice(vocabulary) for _ in range(60)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 3))):
+            w[rng.randrange(60)] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+    texts += [" ".join(base)] * 20 + [None, ""]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words(t) for t in texts)]
+    comp = brute_components(len(texts), lambda a, b: bool(sets[a] and sets[b]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
+    docs = documents(spark, texts)
+    for c in ("gone", "TWICE", "bucket", "salt", "rid", "size"):
+        docs = docs.withColumn(c, F.lit(c))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(comp))
+    out = minhash.deduplicated(docs.union(docs.limit(2)))
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [i for i in range(len(texts)) if comp[i] == i]
+    assert minhash.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_connected_components_of_hubs_and_chains(spark):
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, 5000), (7, 7001)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(300)}, 7001: 0, **{i: 1000 for i in range(1000, 1041)}}
