@@ -20,6 +20,7 @@ import heapq
 import io
 import json
 import re
+import zlib
 from array import array
 from collections import Counter
 from functools import lru_cache
@@ -298,12 +299,20 @@ def _frequencies(cut, batches):
         yield block, slot, rows
 
 
+def _check(slot: Index) -> int:
+    """A checksum of a block's pre-tokens in the order of their slots."""
+    return zlib.crc32("\0".join(slot).encode("utf-8", "replace")) >> 1
+
+
 def _named(path: str):
+    """(home, slot, word) for each distinct pre-token of a block; slot -1 has the block's checksum as its word."""
+
     @lean
     def run(batches):
         for block, slot, _ in _frequencies(_library(path)[0], batches):
             words = sorted(slot)  # neighbours are alike, which compresses well
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array([slot[w] for w in words], pa.int32()), pa.array(words, pa.string())], ["home", "slot", "word"])
+            at = [*(slot[w] for w in words), -1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), pa.array(at, pa.int32()), pa.array([*words, str(_check(slot))], pa.string())], ["home", "slot", "word"])
 
     return run
 
@@ -318,7 +327,7 @@ def _packed(path: str):
             out = io.BytesIO()
             with pa.ipc.new_stream(out, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as w:
                 w.write_table(t)
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(slot)]), pa.array([out.getvalue()], pa.binary())], ["block", "n_slots", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(slot)]), pa.array([_check(slot)]), pa.array([out.getvalue()], pa.binary())], ["block", "n_slots", "seal", "blob"])
 
     return run
 
@@ -342,6 +351,8 @@ def _sized(path: str):
                 found = np.array([*pieces(words), count], np.int64)  # at -1 is the pre-token of the rows before
                 n = found[at]
                 count = int(n[-1])
+                for i in np.flatnonzero(batch.column("slot").slice(a, b - a).to_numpy() < 0):
+                    n[i] = int(column[a + i])
                 yield pa.RecordBatch.from_arrays([batch.column("home").slice(a, b - a), batch.column("slot").slice(a, b - a), pa.array(n.astype(np.int32))], ["home", "slot", "n"])
 
     return run
@@ -351,10 +362,10 @@ def _summed(limit: int):
     def run(blobs, sized):
         import pandas as pd
 
-        if blobs["n_slots"].sum() != len(sized):
-            raise RuntimeError("the two scans were cut differently; stage the documents first")
         n = np.zeros(len(sized), np.int64)
-        n[sized["slot"].to_numpy()] = sized["n"].to_numpy()
+        n[sized["slot"].to_numpy()] = sized["n"].to_numpy()  # slot -1, the checksum, goes last
+        if len(blobs) != 1 or blobs["n_slots"].sum() + 1 != len(sized) or blobs["seal"].iloc[0] != n[-1]:
+            raise RuntimeError("the two scans were cut differently; stage the documents first")
         out = []
         for blob in blobs["blob"]:
             t = pa.ipc.open_stream(blob).read_all().combine_chunks()
@@ -375,11 +386,13 @@ def token_counts(documents: DataFrame, path: str, limit: int = 512) -> DataFrame
     the library counts each that is distinct over all documents once. A second scan packs the pre-token frequencies of
     the documents of a block; the counts are joined to them by block and summed. No ids are made. A pre-token is one row
     a block however often it occurs, so frequent ones weigh no more; what is shuffled grows with distinct pre-tokens a
-    block. Both scans must meet the rows in the same order: documents is a table, or staged.
+    block, and a word has at most one row a block, so even the commonest has less than a task's even share once there are
+    fewer tasks than a block has distinct pre-tokens. Both scans must meet the rows in the same order: documents is a
+    table, or staged. A checksum of each block's pre-tokens in order makes unequal scans fail.
     """
     docs = _two(documents)
     with pinned_splits(documents.sparkSession):
         words = docs.mapInArrow(_named(path), "home long, slot int, word string")
         sized = words.repartition("word").sortWithinPartitions("word").mapInArrow(_sized(path), "home long, slot int, n int")
-        blobs = docs.mapInArrow(_packed(path), "block long, n_slots long, blob binary")
+        blobs = docs.mapInArrow(_packed(path), "block long, n_slots long, seal long, blob binary")
         return staged(blobs.groupBy("block").cogroup(sized.groupBy("home")).applyInPandas(_summed(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean"), "counts")

@@ -1,19 +1,23 @@
 """Language identification: script ranges narrow the candidates, Viterbi over per-word scores labels spans.
 
 Every word gets a score for each learned language: the mean log-likelihood ratio of its hashed byte n-grams (1 to
-ORDER, with word borders) times its length, learned with add-ALPHA smoothing from a bounded sample of up to SAMPLE rows
-a language (those with the smallest hash of their text). A word whose script (by code-point ranges) makes up less than
+ORDER, with word borders) times its length, learned with add-ALPHA smoothing from a bounded sample of about SAMPLE rows
+a language (those with the smallest hash of text and doc_id; all rows of a language that has fewer). Every language with
+a row is learned. A word whose script (by code-point ranges) makes up less than
 RARE of a language's letters rules that language out for the word. The best path over words pays SWITCH for each change
 of language; its runs are the spans. A document's language has the most letters in the path; score is their share,
 times the mean posterior of these words.
 
 Edge cases: text that is null or has no letter is `und` with score 0; without training rows everything is `und`; ties go
 to the language first in order; a text in a script that no language has is scored without ruling out; repeated rows are
-returned as often as they come; null lang isn't learned from; other columns are not read.
+returned as often as they come; null lang isn't learned from; a very long text is scored in pieces cut at blanks, with the same result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,13 +25,20 @@ from pyspark.sql import functions as F
 
 from .words import chunks
 
-ORDER, BITS, ALPHA, SAMPLE, LANGUAGES, SWITCH, RARE, PIECE, TOGETHER = 4, 16, 0.5, 1_000, 64, 6.0, 0.001, 250_000, 16_000_000
+ORDER, BITS, ALPHA, SAMPLE, SWITCH, RARE = 4, 16, 0.5, 1_000, 6.0, 0.001
+#: Bytes of words that are scored at once, times languages; texts are cut at blanks for that.
+PIECE = 1_000_000
+#: Characters of neighbouring texts that are labelled at once, times languages.
+TOGETHER = 64_000_000
+#: More values of lang than this aren't languages; learn() then raises, as its tables would outgrow driver and tasks.
+MOST = 1_000
 #: The first code point of script blocks; the last range is everything else.
 SCRIPTS = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "han"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"))
 _STARTS = np.array([s for s, _ in SCRIPTS])
 _NAMES = list(dict.fromkeys(n for _, n in SCRIPTS))
 _OF = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_BLANK = re.compile(r"[ \t-\r]")
 
 
 def letters(text: str) -> np.ndarray:
@@ -90,7 +101,8 @@ def _counted(batches):
         for lang in sorted(set(langs)):
             own = [t for t, other in zip(texts, langs, strict=True) if other == lang]
             total, scripts = np.zeros(1 << BITS, np.int64), np.zeros(len(_NAMES), np.int64)
-            for a, b in chunks([len(t) for t in own], PIECE):
+            own = [t[a:b] for t in own for a, b in slices(t, PIECE // 4)]
+            for a, b in chunks([len(t) for t in own], PIECE // 4):
                 _, _, _, data, space, n, kind = _words(own[a:b])
                 for ids, ok in _gram_ids(data, space):
                     total += np.bincount(ids[ok], minlength=1 << BITS)
@@ -116,10 +128,14 @@ class Model:
         self.barred = (share < RARE) & (share >= RARE).any(axis=1)[:, None]
 
     def word_scores(self, texts: list[str]):
-        """Text number, start, end, letters and scores of each word; worked through in pieces that stay in cache."""
-        parts, base = [], 0
-        for a, b in chunks([len(t) for t in texts], PIECE):
-            of, start, end, data, space, n, kind = _words(texts[a:b])
+        """Text number, start and end (in the text's lower-cased bytes between two blanks), letters and scores of each word."""
+        parts = []
+        piece = max(PIECE // max(len(self.langs), 1), 10_000)
+        cut = [(i, a, b) for i, t in enumerate(texts) for a, b in slices(t, piece)]
+        done = dict.fromkeys(range(len(texts)), 0)  # bytes of each text before the next slice
+        for x, y in chunks([b - a for _, a, b in cut], piece):
+            some = [texts[i][a:b] for i, a, b in cut[x:y]]
+            of, start, end, data, space, n, kind = _words(some)
             scores = np.zeros((len(start), len(self.langs)), np.float32)
             if len(start):
                 total = np.zeros((len(data), len(self.langs)), np.float32)
@@ -129,11 +145,29 @@ class Model:
                 scores = np.add.reduceat(total, start, axis=0) / ORDER  # with the space behind, which ends its last n-grams
                 scores[n == 0] = 0
                 scores -= np.where(self.barred[kind] & (n > 0)[:, None], np.float32(30), np.float32(0))
-            parts.append((of + a, start + base, end + base, n, scores))
-            base += len(data)
+            first, shift = 0, []
+            for (i, _, _), t in zip(cut[x:y], some, strict=True):
+                size = len(t.lower().encode("utf-8", "replace"))
+                shift.append(done[i] - first)
+                done[i] += size
+                first += size + 2
+            shift = np.array(shift, np.int64)[of]
+            parts.append((np.array([i for i, _, _ in cut[x:y]])[of], start + shift, end + shift, n, scores))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (*[np.empty(0, np.int64)] * 4, np.empty((0, len(self.langs)), np.float32))
 
 
+def slices(text: str, limit: int):
+    """Ranges of text of about limit characters that begin with a blank (or at the start)."""
+    a = 0
+    while len(text) - a > limit:
+        m = _BLANK.search(text, a + limit)
+        if not m:
+            break
+        yield a, m.start()
+        a = m.start()
+    yield a, len(text)
+
+
 def viterbi(scores: np.ndarray, of: np.ndarray, n_texts: int, switch: float = SWITCH) -> np.ndarray:
     """The best label of each word; words of a text are neighbours, texts are independent, a change costs switch."""
     first = np.searchsorted(of, np.arange(n_texts))
@@ -187,7 +221,7 @@ def _predicted(model: Model):
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in chunks([len(t) for t in texts], TOGETHER):
+            for a, b in chunks([len(t) for t in texts], max(TOGETHER // max(len(model.langs), 1), 250_000)):
                 if model.langs:
                     names, score, _ = labelled(model, texts[a:b])
                 else:
@@ -214,21 +248,17 @@ def _spans(model: Model):
 
 
 def learn(documents: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from rows of documents(text, lang) with both set; at most sample rows of each of at most LANGUAGES."""
+    """A model from rows of documents(text, lang) with both set; about sample rows of each language."""
     rows = documents.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"))
-    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    rows = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    if rows.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"lang has more than {MOST} values")
     # A cut of the hash gives about sample rows of a language without sorting them.
-    span = 1 << 64
-    keep = None
-    for r in langs:
-        cut = int(min(1.0, sample / r["n"]) * span) - (1 << 63)
-        own = (F.col("lang") == r["lang"]) & (F.xxhash64("text") <= F.lit(min(cut, (1 << 63) - 1)))
-        keep = own if keep is None else keep | own
-    if keep is None:
-        return Model([])
-    found = documents.filter("text is not null").filter(keep).select(F.col("lang").cast("string").alias("lang"), "text")
+    cuts = rows.select("lang", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n")).alias("share"))  # at most MOST rows
+    found = documents.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), "text", (F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 40)) / float(1 << 40)).alias("u"))
+    found = found.join(F.broadcast(cuts), "lang").filter("u < share").select("lang", "text")
     counts = found.mapInArrow(_counted, "lang string, kind int, id long, n long").groupBy("lang", "kind", "id").agg(F.sum("n").alias("n"))
-    return Model([tuple(r) for r in counts.collect()])  # at most LANGUAGES * (2 ** BITS + scripts) rows
+    return Model([tuple(r) for r in counts.collect()])  # at most 2 ** BITS + scripts rows a language
 
 
 def _parted(documents: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import small_side, staged
 from .words import lean
 
 TREES, PSI, SAMPLE, BINS, GOOD_LOSS, SEED = 100, 256, 8_192, 1_000, 0.005, 11
@@ -153,29 +153,45 @@ def threshold(bins: list[tuple[int, int, int]]) -> float:
     return at
 
 
-def _fitted(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, IsolationForest | None, float]:
-    """Staged statistics of every row, the forest and the score from which documents go."""
+def _stats(documents: DataFrame) -> DataFrame:
+    """The statistics of every row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stats = staged(docs.mapInArrow(_statistics, _SCHEMA), "rules")
-    stats = stats.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT))
-    good = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
-    known = staged(stats.join(good, "doc_id").filter("not base_failed"), "labelled")
+    stats = docs.mapInArrow(_statistics, _SCHEMA)
+    return stats.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT))
+
+
+def _good(labels: DataFrame) -> DataFrame:
+    own = labels.filter("doc_id is not null and quality is not null")
+    return own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
+
+
+def _fitted(known: DataFrame) -> tuple[IsolationForest | None, float]:
+    """The forest and the score from which documents go, from the staged statistics of labelled rows."""
+    known = known.filter("not base_failed")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").select(*FEATURES).limit(SAMPLE).collect()
     forest = IsolationForest(np.array([tuple(r) for r in sample], float)) if len(sample) >= 2 else None
     bins = known.select(F.floor(_scorer(forest)(*FEATURES) * BINS).alias("bin"), "good").groupBy("bin").agg(F.count_if("good"), F.count_if(~F.col("good")))
-    return stats, forest, threshold([tuple(r) for r in bins.collect()])
+    return forest, threshold([tuple(r) for r in bins.collect()])
 
 
 def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept, score for every row of documents(doc_id, text)."""
-    stats, forest, cut = _fitted(documents, labels)
+    stats = staged(_stats(documents), "rules")
+    forest, cut = _fitted(staged(stats.join(_good(labels), "doc_id"), "labelled"))
     out = stats.withColumn("score", _scorer(forest)(*FEATURES))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("score") < F.lit(cut))).alias("kept"), "score")
 
 
 def filtered(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that judge() keeps, with all their columns; texts stay where they are, without a join."""
-    _, forest, cut = _fitted(documents, labels)
+    """The rows of documents that judge() keeps, with all their columns; texts stay where they are, without a join.
+
+    Statistics for the fit are computed for labelled rows only, if their ids are few enough to go to every task.
+    """
+    good = staged(_good(labels), "good")
+    side = small_side(good)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = _stats(docs.join(side, "doc_id", "left_semi")) if side is not good else _stats(docs)
+    forest, cut = _fitted(staged(known.join(side, "doc_id"), "labelled"))
 
     @F.pandas_udf("boolean")
     def good(texts):

@@ -396,3 +396,40 @@ def test_connected_components_of_hubs_and_chains(spark):
     edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, 5000), (7, 7001)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(300)}, 7001: 0, **{i: 1000 for i in range(1000, 1041)}}
+
+
+def test_language_many_languages_and_long_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    codes = [f"l{i:02}" for i in range(70)]  # more than any table of "usual" languages
+    syllables = {c: ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(2)) for _ in range(4)] for c in codes}
+    make = lambda c, n: " ".join("".join(rng.choice(syllables[c]) for _ in range(2)) for _ in range(n))
+    langs = [c for c in codes for _ in range(6)]
+    df = documents(spark, [make(c, 40) for c in langs], langs)
+    rows = language.predict(df).collect()
+    assert {r["lang_pred"] for r in rows} == set(codes) and np.mean([r["lang_pred"] == langs[r["doc_id"]] for r in rows]) > 0.95
+    model = language.learn(df)
+    texts = [make("l00", 3000) + "\n" + make("l01", 3000) + " É" + "x" * 25_000 + " end", "", "a", make("l02", 5)]
+    whole = model.word_scores(texts)
+    monkeypatch.setattr(language, "PIECE", 1)  # slices of 10,000 characters
+    pieces = model.word_scores(texts)
+    assert all(np.array_equal(a, b) for a, b in zip(whole[:4], pieces[:4], strict=True)) and np.allclose(whole[4], pieces[4], atol=1e-3)
+    raw = (" " + texts[0].lower() + " ").encode()
+    at = pieces[0] == 0
+    assert [raw[a:b].decode() for a, b in zip(pieces[1][at], pieces[2][at], strict=True)] == texts[0].lower().split()
+    monkeypatch.setattr(language, "MOST", 60)
+    with pytest.raises(ValueError):
+        language.learn(df)
+    assert language.predict(df.limit(0)).count() == 0
+    assert {r["lang_pred"] for r in language.predict(documents(spark, ["abc"] * 3, [None] * 3)).collect()} == {"und"}
+
+
+def test_token_counts_of_unequal_scans_fail(spark):
+    salted = F.udf(lambda t: f"{t} {random.random()}", "string").asNondeterministic()
+    docs = documents(spark, ["a b", "c d"] * 20).withColumn("text", salted("text"))
+    with pytest.raises(Exception, match="cut differently"):
+        bpe.token_counts(docs, tokenizer()).collect()
+    empty = documents(spark, ["x"]).limit(0)
+    assert bpe.token_counts(empty, tokenizer()).count() == bpe.encode_digests(empty, tokenizer()).count() == 0
+    twice = documents(spark, ["1234567 moss"]).withColumn("doc_id", F.lit(None).cast("long")).withColumn("slot", F.lit(1))
+    got = bpe.token_counts(twice.union(twice), tokenizer()).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0]["n_tokens"] == len(bpe.encoder(tokenizer()).encode("1234567 moss"))
