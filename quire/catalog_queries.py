@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text as t
-from .operators import assembly, layout, library, tasks as ops
+from .functions import repair as fix
+from .operators import assembly, composites, layout, library, tasks as ops
+from .sources import connectors, files
 from .plans.relations import BOOKS, SLUG, TASKS, books, conversation_pages, read, tasks
 
 QUERIES: dict = {}
@@ -42,44 +44,54 @@ def pending_fifo(spark, d):
     return ops.pending(tasks(spark, d), 100, "src1")
 
 
-@query(f"WITH {TASKS}, c AS (SELECT id FROM tasks WHERE status = 'PENDING' ORDER BY id LIMIT 50) SELECT id, file_path, CASE WHEN id IN (SELECT id FROM c) THEN 'IN_PROGRESS' ELSE status END AS status FROM tasks")
+def stamped(t):
+    """Tasks with a time of their last change."""
+    return t.withColumn("updated_at", F.timestamp_seconds(F.lit(1700000000) + F.col("id")))
+
+
+_STAMP = "make_timestamp((1700000000 + id) * 1000000)"
+_NOW = "TIMESTAMP '2026-01-02 03:04:05'"
+
+
+@query(f"WITH {TASKS}, c AS (SELECT id FROM tasks WHERE status = 'PENDING' ORDER BY id LIMIT 50) SELECT id, file_path, CASE WHEN id IN (SELECT id FROM c) THEN 'IN_PROGRESS' ELSE status END AS status, CASE WHEN id IN (SELECT id FROM c) THEN {_NOW} ELSE {_STAMP} END AS updated_at FROM tasks")
 def claim_batch(spark, d):
-    return ops.claim(tasks(spark, d), 50)[1].select("id", "file_path", "status")
+    return ops.claim(stamped(tasks(spark, d)), 50, None, now())[1].select("id", "file_path", "status", "updated_at")
 
 
-@query(f"WITH {TASKS}, old AS (SELECT * FROM tasks WHERE id % 3 <> 0), new AS (SELECT file_path, file_size, row_number() OVER (ORDER BY file_path) + (SELECT max(id) FROM old) AS id FROM tasks t WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.file_path = t.file_path)) SELECT id, file_path, file_size, status FROM old UNION ALL SELECT id, file_path, file_size, 'PENDING' FROM new")
+@query(f"WITH {TASKS}, old AS (SELECT * FROM tasks WHERE status <> 'FAILED'), new AS (SELECT file_path, file_size, row_number() OVER (ORDER BY file_path) + (SELECT max(id) FROM old) AS id FROM tasks t WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.file_path = t.file_path)) SELECT id, file_path, file_size, status FROM old UNION ALL SELECT id, file_path, file_size, 'PENDING' FROM new")
 def register_new_files(spark, d):
     every = tasks(spark, d)
-    old = every.filter("id % 3 <> 0").select("id", "file_path", "file_size", "status")
+    old = every.filter("status <> 'FAILED'").select("id", "file_path", "file_size", "status")
     return ops.register(old, every.select("file_path", "file_size"))
 
 
-@query(f"WITH {TASKS} SELECT id, CASE WHEN status = 'IN_PROGRESS' AND starts_with(file_path, 'src2/') THEN 'PENDING' ELSE status END AS status FROM tasks")
+@query(f"WITH {TASKS} SELECT id, CASE WHEN status = 'IN_PROGRESS' AND starts_with(file_path, 'src2/') THEN 'PENDING' ELSE status END AS status, CASE WHEN status = 'IN_PROGRESS' AND starts_with(file_path, 'src2/') THEN {_NOW} ELSE {_STAMP} END AS updated_at FROM tasks")
 def reset_hanging(spark, d):
-    return ops.reset_hanging(tasks(spark, d), "src2").select("id", "status")
+    return ops.reset_hanging(stamped(tasks(spark, d)), "src2", now()).select("id", "status", "updated_at")
 
 
-@query(f"WITH {TASKS} SELECT id, CASE WHEN status = 'FAILED' THEN 'PENDING' ELSE status END AS status, CASE WHEN status <> 'FAILED' THEN error_msg END AS error_msg, confidence FROM tasks")
+@query(f"WITH {TASKS} SELECT id, CASE WHEN status = 'FAILED' THEN 'PENDING' ELSE status END AS status, CASE WHEN status <> 'FAILED' THEN error_msg END AS error_msg, confidence, CASE WHEN status = 'FAILED' THEN {_NOW} ELSE {_STAMP} END AS updated_at FROM tasks")
 def retry_failed(spark, d):
-    return ops.retry_failed(tasks(spark, d)).select("id", "status", "error_msg", "confidence")
+    return ops.retry_failed(stamped(tasks(spark, d)), now()).select("id", "status", "error_msg", "confidence", "updated_at")
 
 
-@query(f"WITH {TASKS}, r AS (SELECT file_path, id % 2 = 0 AS ok, id / 7.0::DOUBLE AS ms FROM tasks WHERE id % 4 = 0) SELECT t.id, CASE WHEN r.ok IS NULL THEN status WHEN r.ok THEN 'DONE' ELSE 'FAILED' END AS status, CASE WHEN r.ok IS NULL THEN processing_time_ms ELSE ms END AS processing_time_ms FROM tasks t LEFT JOIN r USING (file_path)")
+@query(f"WITH {TASKS}, r AS (SELECT file_path, id % 2 = 0 AS ok, id / 7.0::DOUBLE AS ms FROM tasks WHERE status = 'IN_PROGRESS') SELECT t.id, CASE WHEN r.ok IS NULL THEN status WHEN r.ok THEN 'DONE' ELSE 'FAILED' END AS status, CASE WHEN r.ok IS NULL THEN processing_time_ms ELSE ms END AS processing_time_ms, CASE WHEN r.ok IS NULL THEN {_STAMP} ELSE {_NOW} END AS updated_at FROM tasks t LEFT JOIN r USING (file_path)")
 def apply_results(spark, d):
-    every = tasks(spark, d)
-    r = every.filter("id % 4 = 0").select("file_path", (F.col("id") % 2 == 0).alias("success"), F.lit(0.9).alias("confidence"), (F.col("id") / F.lit(7.0).cast("double")).alias("processing_time_ms"), F.lit(None).cast("string").alias("error_msg"), F.lit(1).alias("seq"))
-    return ops.apply_results(every, r.union(r.withColumn("success", ~F.col("success")).withColumn("seq", F.lit(0)))).select("id", "status", "processing_time_ms")
+    every = stamped(tasks(spark, d))
+    r = every.filter("status = 'IN_PROGRESS'").select("file_path", (F.col("id") % 2 == 0).alias("success"), F.lit(0.9).alias("confidence"), (F.col("id") / F.lit(7.0).cast("double")).alias("processing_time_ms"), F.lit(None).cast("string").alias("error_msg"), F.lit(1).alias("seq"))
+    return ops.apply_results(every, r.union(r.withColumn("success", ~F.col("success")).withColumn("seq", F.lit(0))), now()).select("id", "status", "processing_time_ms", "updated_at")
 
 
-@query(f"WITH {TASKS} SELECT file_path, file_size AS file_size_bytes, error_msg AS error_message FROM tasks WHERE status = 'FAILED'")
+@query(f"WITH {TASKS} SELECT file_path, file_size AS file_size_bytes, error_msg AS error_message, {_STAMP} AS timestamp FROM tasks WHERE status = 'FAILED'")
 def failed_report(spark, d):
-    return ops.failed_report(tasks(spark, d))
+    return ops.failed_report(stamped(tasks(spark, d)))
 
 
-@query(f"WITH {TASKS}, a AS (SELECT {_BOOK} AS book, {_COUNTS} FROM tasks GROUP BY 1), r AS (SELECT DISTINCT source AS book, CASE WHEN source = 'src1' THEN 'processing' ELSE 'paused' END AS state FROM documents WHERE source IN ('src1', 'src2')) SELECT book, total, done, failed, CASE WHEN state = 'processing' THEN 'processing' WHEN done = total AND total > 0 THEN 'completed' WHEN failed > 0 AND pending = 0 AND in_progress = 0 THEN 'has_failed' WHEN state = 'paused' OR done > 0 THEN 'paused' ELSE 'idle' END AS status FROM a LEFT JOIN r USING (book)")
+@query(f"WITH {TASKS}, a AS (SELECT {_BOOK} AS book, {_COUNTS} FROM tasks GROUP BY 1), r AS (SELECT DISTINCT source AS book, CASE WHEN source = 'src1' THEN 'processing' ELSE 'paused' END AS state FROM documents WHERE source IN ('src1', 'src2')) SELECT book, total, done, failed, CASE WHEN state = 'processing' THEN 'processing' WHEN done = total AND total > 0 THEN 'completed' WHEN failed > 0 AND pending = 0 AND in_progress = 0 THEN 'has_failed' WHEN state = 'paused' OR done > 0 THEN 'paused' ELSE 'idle' END AS status, book IN (SELECT 'src' || label FROM embeddings) AS has_text_file, book IN (SELECT 'src' || label FROM embeddings WHERE label = 2) AS has_zip_file FROM a LEFT JOIN r USING (book)")
 def job_status(spark, d):
     running = spark.createDataFrame([("src1", "processing"), ("src2", "paused")], "book string, state string")
-    return ops.job_status(ops.stats_by_book(tasks(spark, d)), running)
+    outputs = read(spark, d, "embeddings").filter("label is not null").select(F.concat(F.lit("src"), "label").alias("book"), F.lit(True).alias("has_text_file"), (F.col("label") == 2).alias("has_zip_file"))
+    return ops.job_status(ops.stats_by_book(tasks(spark, d)), running, outputs)
 
 
 @query(f"WITH {BOOKS} SELECT id, slug, title, total_pages FROM books WHERE is_public = 1 AND category = 'nhóm 1' ORDER BY total_pages DESC, id DESC LIMIT 20 OFFSET 5")
@@ -108,32 +120,46 @@ def find_duplicate(spark, d):
     return library.find_duplicates(b, b.select(F.col("id").alias("qid"), "title", "source_id"))
 
 
-@query(f"WITH {BOOKS} SELECT id, title, slug FROM books WHERE slug = (SELECT min(slug) FROM books) ORDER BY id LIMIT 1")
+@query(f"WITH {BOOKS} SELECT id, title, slug FROM books WHERE slug = 'the-and-attion-to-thanedble-the-anea-eriner-thanea' ORDER BY id LIMIT 1")
 def book_by_slug(spark, d):
-    b = books(spark, d)
-    first = b.agg(F.min("slug").alias("slug"))
-    return b.join(F.broadcast(first), "slug").orderBy("id").limit(1).select("id", "title", "slug")
+    return library.by_slug(books(spark, d), "the-and-attion-to-thanedble-the-anea-eriner-thanea").select("id", "title", "slug")
+
+
+@query(f"WITH {BOOKS} SELECT id, title, slug FROM books WHERE slug = 'the-and-attion-to-thanedble-the-anea-eriner-thanea' ORDER BY id LIMIT 1")
+def book_by_title(spark, d):
+    return library.by_title(books(spark, d), " The and attion to thanedble the, anea! Eriner thanea").select("id", "title", "slug")
+
 
+_UPSERT_OLD = "old AS (SELECT * FROM books b WHERE source_id = '' AND id = (SELECT min(x.id) FROM books x WHERE x.slug = b.slug AND x.source_id = ''))"
+_UPSERT = """u AS (SELECT slug, min(id) AS seq, arg_max(title, id) AS title, arg_max(status, id) AS status, arg_max(total_pages, id) FILTER (WHERE total_pages > 0) AS total_pages, arg_max(curator_notes, id) FILTER (WHERE curator_notes <> '') AS curator_notes, arg_max(exhibition_hall, id) FILTER (WHERE exhibition_hall <> 'Khu Trưng Bày Chung') AS exhibition_hall,
+ arg_min(total_pages, id) AS first_pages, arg_min(curator_notes, id) AS first_notes FROM books WHERE status = 'COMPLETED' GROUP BY slug)"""
 
-@query(f"""WITH {BOOKS}, old AS (SELECT * FROM books WHERE id = (SELECT min(b.id) FROM books b WHERE b.slug = books.slug)), u AS (SELECT slug, arg_max(title, id) AS title, arg_max(total_pages, id) FILTER (WHERE total_pages > 0) AS total_pages, arg_max(curator_notes, id) FILTER (WHERE curator_notes <> '') AS curator_notes, arg_max(exhibition_hall, id) FILTER (WHERE exhibition_hall <> 'Khu Trưng Bày Chung') AS exhibition_hall FROM books WHERE id % 2 = 1 GROUP BY slug)
-SELECT o.id, o.slug, coalesce(u.title, o.title) AS title, coalesce(u.total_pages, o.total_pages) AS total_pages, coalesce(u.curator_notes, o.curator_notes) AS curator_notes, coalesce(u.exhibition_hall, o.exhibition_hall) AS exhibition_hall, o.category FROM old o LEFT JOIN u USING (slug)""")
+
+@query(f"""WITH {BOOKS}, {_UPSERT_OLD}, {_UPSERT}
+SELECT o.id, o.slug, coalesce(u.title, o.title) AS title, coalesce(u.status, o.status) AS status, coalesce(u.total_pages, o.total_pages) AS total_pages, coalesce(u.curator_notes, o.curator_notes) AS curator_notes, coalesce(u.exhibition_hall, o.exhibition_hall) AS exhibition_hall, o.category, o.is_public, CASE WHEN u.slug IS NULL THEN o.created_at ELSE TIMESTAMP '2026-01-02 03:04:05' END AS updated_at FROM old o LEFT JOIN u USING (slug)
+UNION ALL SELECT row_number() OVER (ORDER BY seq) + (SELECT coalesce(max(id), 0) FROM old), slug, title, status, coalesce(total_pages, first_pages), coalesce(curator_notes, first_notes), coalesce(exhibition_hall, 'Khu Trưng Bày Chung'), 'nhóm mới', 1, TIMESTAMP '2026-01-02 03:04:05' FROM u WHERE slug NOT IN (SELECT slug FROM old)""")
 def upsert_books(spark, d):
     b = books(spark, d)
-    old = b.join(b.groupBy("slug").agg(F.min("id").alias("id")).select("id"), "id", "left_semi").select("id", "slug", "title", "total_pages", "curator_notes", "exhibition_hall", "category")
-    delta = b.filter("id % 2 = 1").select(F.col("id").alias("seq"), "slug", "title", "total_pages", "curator_notes", "exhibition_hall", F.lit("other").alias("category"))
-    return library.upsert(old, delta)
+    own = b.filter("source_id = ''")
+    old = own.join(own.groupBy("slug").agg(F.min("id").alias("id")).select("id"), "id", "left_semi").select("id", "slug", "title", "status", "total_pages", "curator_notes", "exhibition_hall", "category", "is_public", F.col("created_at").alias("updated_at"))
+    delta = b.filter("status = 'COMPLETED'").select(F.col("id").alias("seq"), "slug", "title", "status", "total_pages", "curator_notes", "exhibition_hall", F.lit("nhóm mới").alias("category"))
+    return library.upsert(old, delta, now())
+
 
+def now():
+    return F.lit("2026-01-02 03:04:05").cast("timestamp")
 
-@query(f"WITH {BOOKS} SELECT id, CASE WHEN slug = (SELECT max(slug) FROM books) THEN 'mới' ELSE category END AS category, title FROM books")
+
+@query(f"WITH {BOOKS} SELECT id, CASE WHEN slug = 'the-and-attion-to-thanedble-the-anea-eriner-thanea' THEN 'mới' ELSE category END AS category, title, CASE WHEN slug = 'the-and-attion-to-thanedble-the-anea-eriner-thanea' THEN TIMESTAMP '2026-01-02 03:04:05' ELSE created_at END AS updated_at FROM books")
 def patch_metadata(spark, d):
-    b = books(spark, d)
-    return library.patch(b, b.agg(F.max("slug")).first()[0], category="mới", title=None).select("id", "category", "title")
+    b = books(spark, d).withColumn("updated_at", F.col("created_at"))
+    return library.patch(b, "the-and-attion-to-thanedble-the-anea-eriner-thanea", now(), category="mới", title=None).select("id", "category", "title", "updated_at")
 
 
-@query(f"WITH {BOOKS}, s AS (SELECT DISTINCT slug FROM books WHERE id % 5 = 0) SELECT id, CASE WHEN s.slug IS NOT NULL AND artifact_code = '' THEN 'SEED' ELSE artifact_code END AS artifact_code, CASE WHEN s.slug IS NOT NULL AND exhibition_hall = 'Khu Trưng Bày Chung' THEN 'Hall' ELSE exhibition_hall END AS exhibition_hall FROM books b LEFT JOIN s USING (slug)")
+@query(f"WITH {BOOKS}, s AS (SELECT DISTINCT slug FROM books WHERE status <> 'COMPLETED') SELECT id, CASE WHEN s.slug IS NOT NULL AND artifact_code = '' THEN 'SEED' ELSE artifact_code END AS artifact_code, CASE WHEN s.slug IS NOT NULL AND exhibition_hall = 'Khu Trưng Bày Chung' THEN 'Hall' ELSE exhibition_hall END AS exhibition_hall FROM books b LEFT JOIN s USING (slug)")
 def seed_metadata(spark, d):
     b = books(spark, d)
-    s = b.filter("id % 5 = 0").select("slug").distinct().select("slug", F.lit("SEED").alias("artifact_code"), *(F.lit("x").alias(c) for c in ("period_era", "provenance", "material_condition", "curator_notes")), F.lit("Hall").alias("exhibition_hall"))
+    s = b.filter("status <> 'COMPLETED'").select("slug").distinct().select("slug", F.lit("SEED").alias("artifact_code"), *(F.lit("x").alias(c) for c in ("period_era", "provenance", "material_condition", "curator_notes")), F.lit("Hall").alias("exhibition_hall"))
     return library.seed(b, s).select("id", "artifact_code", "exhibition_hall")
 
 
@@ -177,18 +203,26 @@ def dossier_defaults(spark, d):
     return assembly.dossier(books(spark, d)).select("id", "artifact_code", "curator_notes", "citations.apa", "citations.national")
 
 
-@query(f"""WITH {BOOKS}, g AS (SELECT coalesce(nullif(exhibition_hall, ''), 'Khu Trưng Bày Chung') AS hall, count(*) AS n_books, string_agg(slug, ',' ORDER BY created_at DESC, id DESC) AS slugs FROM books WHERE is_public = 1 GROUP BY 1),
-h(hall, hall_id) AS (VALUES {', '.join(f"('{n}', '{i}')" for n, i in assembly.HALLS)})
-SELECT coalesce(g.hall, h.hall) AS hall, coalesce(hall_id, 'khu-trung-bay-chung') AS hall_id, coalesce(n_books, 0) AS n_books, coalesce(slugs, '') AS slugs FROM g FULL JOIN h ON g.hall = h.hall WHERE n_books IS NOT NULL OR h.hall <> 'Khu Trưng Bày Chung'""")
+_HALLS = f"h(hall, hall_id, hall_title, pos) AS (VALUES {', '.join(f"('{h[0]}', '{h[1]}', '{h[2]}', {k})" for k, h in enumerate(assembly.HALLS))}), s AS (SELECT *, CASE WHEN exhibition_hall IN (SELECT hall FROM h) THEN exhibition_hall ELSE 'Khu Trưng Bày Chung' END AS hall FROM books WHERE is_public = 1)"
+
+
+@query(f"""WITH {BOOKS}, {_HALLS}, g AS (SELECT hall, count(*) AS n_books, max(epoch(created_at)::BIGINT * 1000000 + id) AS newest FROM s GROUP BY 1),
+r AS (SELECT h.*, coalesce(n_books, 0) AS n_books, row_number() OVER (ORDER BY newest DESC NULLS LAST, pos) AS place FROM h LEFT JOIN g USING (hall) WHERE n_books IS NOT NULL OR hall <> 'Khu Trưng Bày Chung')
+SELECT r.hall, hall_id, hall_title, place::INTEGER AS place, n_books, s.id, s.slug, s.title, s.total_pages FROM r LEFT JOIN s USING (hall)""")
 def museum_halls(spark, d):
-    return assembly.halls(books(spark, d))
+    return assembly.halls(books(spark, d)).select("hall", "hall_id", "hall_title", "place", "n_books", *(F.col(f"artifact.{c}").alias(c) for c in ("id", "slug", "title", "total_pages")))
 
 
-@query(f"WITH {BOOKS} SELECT count(*) AS artifacts, coalesce(sum(total_pages), 0)::BIGINT AS pages, coalesce(sum(word_count), 0)::BIGINT AS words, count(DISTINCT exhibition_hall) AS halls FROM books WHERE is_public = 1")
+@query(f"WITH {BOOKS}, {_HALLS} SELECT count(*) AS artifacts, coalesce(sum(total_pages), 0)::BIGINT AS pages, coalesce(sum(word_count), 0)::BIGINT AS words, 3 + count(DISTINCT hall) FILTER (WHERE hall = 'Khu Trưng Bày Chung') AS halls FROM s")
 def museum_totals(spark, d):
     return assembly.museum_totals(books(spark, d))
 
 
+@query(f"WITH {BOOKS}, {_HALLS} SELECT id, hall FROM s WHERE hall = 'Di sản Khoa học & Giáo dục'")
+def hall_filter(spark, d):
+    return library.in_hall(assembly.halls(books(spark, d)), "Di sản Khoa học & Giáo dục").select("artifact.id", "hall")
+
+
 @query(f"WITH {_PAGES}, k AS (SELECT book, text, row_number() OVER (PARTITION BY book ORDER BY turn) AS k FROM n WHERE trim(text) <> '') SELECT book, md5(left(string_agg('[Trang ' || k || '] ' || text, chr(10) ORDER BY k), 6000)) AS digest FROM k WHERE k <= 12 GROUP BY book")
 def chat_context(spark, d):
     return assembly.chat_context(conversation_pages(spark, d)).select("book", F.md5("context").alias("digest"))
@@ -273,15 +307,14 @@ def escape_html(spark, d):
 
 @query("SELECT DISTINCT source AS book FROM documents UNION SELECT DISTINCT 'src' || label FROM embeddings WHERE label IS NOT NULL")
 def book_folder_union(spark, d):
-    a, b = read(spark, d, "documents").select(F.col("source").alias("book")), read(spark, d, "embeddings").filter("label is not null").select(F.concat(F.lit("src"), "label"))
-    return a.union(b).filter("not startswith(book, '.')").distinct()
+    names = read(spark, d, "embeddings").filter("label is not null").select(F.concat(F.lit("src"), "label", F.lit(".txt")).alias("name"))
+    return composites.output_files(read(spark, d, "documents").select(F.col("source").alias("book")), names)
 
 
-@query(f"WITH {BOOKS}, f AS (SELECT title || CASE WHEN id % 2 = 0 THEN '!' ELSE '' END AS folder FROM books WHERE id % 3 = 0), s AS (SELECT folder, {SLUG.format('folder')} AS slug FROM f), m AS (SELECT slug, 0 AS r, f.folder FROM books JOIN f ON title = f.folder UNION ALL SELECT b.slug, 1, s.folder FROM books b JOIN s ON b.slug = s.slug) SELECT slug, min((r, folder)).folder AS folder FROM m GROUP BY slug".replace("min((r, folder)).folder", "substr(min(r || folder), 2)"))
+@query(f"WITH {BOOKS}, f AS (SELECT title || CASE WHEN is_public = 1 THEN '!' ELSE '' END AS folder FROM books), s AS (SELECT folder, {SLUG.format('folder')} AS slug FROM f), m AS (SELECT slug, 0 AS r, f.folder FROM books JOIN f ON title = f.folder UNION ALL SELECT b.slug, 1, s.folder FROM books b JOIN s ON b.slug = s.slug) SELECT slug, substr(min(r || folder), 2) AS folder FROM m GROUP BY slug")
 def resolve_folders(spark, d):
     b = books(spark, d)
-    f = b.filter("id % 3 = 0").select(F.concat("title", F.when(F.col("id") % 2 == 0, "!").otherwise("")).alias("folder"))
-    return library.resolve_folders(b, f)
+    return library.resolve_folders(b, b.select(F.concat("title", F.when(F.col("is_public") == 1, "!").otherwise("")).alias("folder")))
 
 
 @query("SELECT page_id, 'quota' AS kind, (page_id % 50 + 3.5)::DOUBLE AS delay FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'overload', 10 + page_id % 4 * 5.0 FROM pages WHERE page_id % 2 = 1")
@@ -298,3 +331,140 @@ def reading_order(spark, d):
     at = lambda x, y: F.array(x.cast("double"), y.cast("double"))
     box = F.array(at(k, y), at(k + 300, y), at(k + 300, y + F.col("l_quantity")), at(k, y + F.col("l_quantity")))
     return layout.sort_pages(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("string").alias("text"), box.alias("box")))
+
+
+@query(f"WITH {TASKS}, old AS (SELECT id, file_path, status FROM tasks WHERE status <> 'FAILED'), t AS (SELECT o.status, o.file_path FROM old o UNION ALL SELECT 'PENDING', file_path FROM tasks WHERE status = 'FAILED') SELECT {_BOOK} AS book, count(*) AS total, count_if(status = 'PENDING')::BIGINT AS pending, count_if(status = 'DONE')::BIGINT AS done FROM t GROUP BY 1")
+def scan_and_register(spark, d):
+    every = tasks(spark, d)
+    scanned = every.select(F.col("file_path").alias("rel_path"), F.col("file_size").alias("size"))
+    return composites.scan_and_register(every.filter("status <> 'FAILED'"), scanned)[1].select("book", "total", "pending", "done")
+
+
+_SYNC = "c AS (SELECT 'book ' || conv_id AS book, 'p' || turn || '.txt' AS filename, turn, text FROM conversations), w AS (SELECT 'book ' || conv_id AS book, string_agg(trim(text), chr(10) ORDER BY turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1)"
+
+
+@query(f"""WITH {_SYNC}, n AS (SELECT book, count(*) AS pages FROM c GROUP BY 1), l AS (SELECT book, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM w)
+SELECT replace(book, ' ', '-') AS slug, book AS title, row_number() OVER (ORDER BY book) AS id, pages AS total_pages, coalesce(len(regexp_extract_all(text, '\\S+')), 0)::BIGINT AS word_count, coalesce(strlen(text), 0)::BIGINT AS file_size_bytes, CASE WHEN len(l) > 0 THEN left(array_to_string(l[1:5], ' '), 300) || '...' ELSE '' END AS summary, 'Tài liệu tổng hợp' AS category, 1 AS is_public, 'COMPLETED' AS status, {_NOW} AS created_at FROM n LEFT JOIN w USING (book) LEFT JOIN l USING (book)""")
+def sync_catalogue(spark, d):
+    c = conversation_pages(spark, d).withColumn("book", F.concat(F.lit("book "), "book"))
+    said = c.filter("role = 'assistant'").withColumn("turn", F.regexp_extract("filename", "[0-9]+", 0).cast("long"))
+    merged = said.groupBy("book").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.trim("text").alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    none = books(spark, d).filter("false").select("id", "slug", "title", "total_pages", "word_count", "file_size_bytes", "summary", "category", "is_public", "status", "created_at")
+    return composites.sync_catalogue(none, c, merged, None, now())
+
+
+@query(f"""WITH {_PAGES}, m AS (SELECT 'b' || book AS title, sum(strlen('=== [Trang ' || page_num || '/' || total_pages || '] ' || filename || ' ===' || chr(10) || chr(10) || trim(text) || chr(10) || chr(10)))::BIGINT AS size, max(total_pages) AS pages FROM n GROUP BY book)
+SELECT title AS slug, title, pages AS total_pages, size AS file_size_bytes, CASE WHEN title = 'b1' THEN 77 ELSE 0 END::BIGINT AS word_count, 'COMPLETED' AS status FROM m""")
+def merge_and_package(spark, d):
+    pages = conversation_pages(spark, d).withColumn("book", F.concat(F.lit("b"), "book"))
+    known = spark.createDataFrame([(1, "b1", "b1", 0, 5, 77, "PROCESSING")], "id long, slug string, title string, total_pages long, file_size_bytes long, word_count long, status string")
+    return composites.merge_and_package(known, pages, now())[2].drop("id")
+
+
+@query(f"WITH {BOOKS} SELECT id, slug, title, total_pages FROM books WHERE is_public = 1 ORDER BY created_at DESC, id DESC LIMIT 1000")
+def manifest_rows(spark, d):
+    return files.public_manifest(books(spark, d)).select("id", "slug", "title", "total_pages")
+
+
+@query(f"WITH {BOOKS} SELECT row_number() OVER (ORDER BY id) AS id, slug, title, '/covers/' || slug || '.jpg' AS cover_image, total_pages FROM (SELECT arg_max(title, id) AS title, coalesce(arg_max(total_pages, id) FILTER (WHERE total_pages > 0), 0) AS total_pages, slug, min(id) AS id FROM books WHERE is_public = 1 GROUP BY slug)")
+def manifest_restore(spark, d):
+    m = books(spark, d).filter("is_public = 1").withColumn("pos", F.col("id"))
+    none = spark.createDataFrame([], "id long, slug string, title string, cover_image string, total_pages long")
+    return composites.restore(none, m, now())
+
+
+_CATEGORY = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(x), '{w}')" for w in words) + f" THEN '{name}'" for name, words in t.CATEGORIES) + f" ELSE '{t.DEFAULT_CATEGORY}' END"
+_WORDS = ("Luận án", "BÀI GIẢNG", "Địa chí", "Chùa Một Cột", "truyện ngắn", "khác")
+
+
+@query(f"WITH v AS (SELECT page_id, url || ' ' || list_extract([{', '.join(repr(w) for w in _WORDS)}], (page_id % 6 + 1)::INTEGER) AS x FROM pages) SELECT page_id, {_CATEGORY} AS category FROM v")
+def auto_categorize(spark, d):
+    i = F.col("page_id")
+    return read(spark, d, "pages").select("page_id", t.categorize(F.concat("url", F.lit(" "), F.element_at(F.array(*map(F.lit, _WORDS)), (i % 6 + 1).cast("int")))).alias("category"))
+
+
+@query("SELECT doc_id, len(l)::INTEGER AS n, md5(array_to_string(l, '|')) AS digest FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)")
+def text_lines(spark, d):
+    lines = t.text_lines("text")
+    return read(spark, d, "documents").select("doc_id", F.size(lines).alias("n"), F.md5(F.array_join(lines, "|")).alias("digest"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'NGUYỄN ' || page_id || '0 lớp' WHEN 1 THEN 'Đẩng chí nước ' || page_id || '.000' WHEN 2 THEN 'chí Hà lão thành' ELSE 'giữ nguyên' END AS text FROM pages")
+def repair_text(spark, d):
+    i = F.col("page_id")
+    raw = F.when(i % 4 == 0, F.concat(F.lit("NCUYỄN "), i, F.lit("O Iớp"))).when(i % 4 == 1, F.concat(F.lit("Đẩng cí nuoc "), i, F.lit(".00O"))).when(i % 4 == 2, "chíHà Ião thành").otherwise("giữ nguyên")
+    return read(spark, d, "pages").select("page_id", fix.repair(raw).alias("text"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Lịch sử Việt ' || page_id WHEN 1 THEN 'LỊCH  sử' ELSE 'khac' END AS text FROM pages")
+def restore_diacritics(spark, d):
+    i = F.col("page_id")
+    raw = F.when(i % 3 == 0, F.concat(F.lit("Lich su Việt "), i)).when(i % 3 == 1, "LICH  su").otherwise("khac")
+    return fix.restore_diacritics(read(spark, d, "pages").select("page_id", raw.alias("text")), "text", ["lịch", "lích", "sử", "viết"], only_bare=True)
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 45.0 ELSE round(least(90.0, page_id / (page_id % 5 * 100.0) * 90), 1) END::DOUBLE AS file_percent, round(12 + page_id % 7 / 7.0 * 78, 1)::DOUBLE AS folder_percent FROM pages")
+def progress_percents(spark, d):
+    i = F.col("page_id")
+    return read(spark, d, "pages").select("page_id", t.progress_percent(i, i % 5 * 100).alias("file_percent"), t.folder_percent(i % 7, F.lit(7.0).cast("double")).alias("folder_percent"))
+
+
+@query("SELECT p_partkey, upper(left(p_name, 1)) || lower(substr(p_name, 2)) AS capital, upper(p_name) = p_name AND lower(p_name) <> p_name AS is_upper, format('{:,}', p_partkey * 1234567) AS thousands FROM part")
+def casing_and_thousands(spark, d):
+    return read(spark, d, "part").select("p_partkey", t.capitalize("p_name").alias("capital"), t.is_upper("p_name").alias("is_upper"), t.thousands(F.col("p_partkey") * 1234567).alias("thousands"))
+
+
+@query("SELECT doc_id, (length(text) - length(replace(text, '.\\n', '')))::INTEGER // 3 AS hits, md5(replace(replace(text, '.', '<mark>.</mark>'), '$', '$')) AS marked FROM documents".replace("(length(text) - length(replace(text, '.\\n', '')))::INTEGER // 3", "(length(text) - length(replace(text, '$$', '')))::INTEGER // 2"))
+def search_metacharacters(spark, d):
+    return read(spark, d, "documents").select("doc_id", t.search_count("text", "$$").alias("hits"), F.md5(t.highlight("text", ".")).alias("marked"))
+
+
+@query("SELECT doc_id, source || '/a.b' AS parent, source || '/a.b/' || doc_id || '.txt' AS renamed, doc_id || '.tar' AS stem, '.gz' AS suffix, doc_id || '.tar.gz' AS name, true AS is_archive FROM documents")
+def path_parts(spark, d):
+    p = F.concat("source", F.lit("/a.b/"), "doc_id", F.lit(".tar.GZ"))
+    q = F.concat("source", F.lit("/a.b/"), "doc_id", F.lit(".JPG"))
+    return read(spark, d, "documents").select("doc_id", t.parent(p).alias("parent"), t.with_suffix(q, ".txt").alias("renamed"), t.stem(p).alias("stem"), t.suffix(p).alias("suffix"), F.concat("doc_id", F.lit(".tar.gz")).alias("name"), t.is_archive(p).alias("is_archive"))
+
+
+@query("SELECT event_id, strftime(ts, '%H:%M:%S') AS clock, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def event_times(spark, d):
+    return read(spark, d, "events").select("event_id", t.clock("ts").alias("clock"), t.day("ts").alias("day"))
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '{t.REFUSED.replace(chr(39), chr(39) * 2)}' ELSE 'Lỗi tải từ Google Drive: timeout ' || page_id END AS message, page_id % 3 = 0 AS is_drive, url_encode(url || ' đ') AS encoded FROM pages")
+def download_messages(spark, d):
+    i = F.col("page_id")
+    m = F.when(i % 2 == 0, "x: Permission denied y").otherwise(F.concat(F.lit("timeout "), i))
+    url = F.when(i % 3 == 0, " https://drive.google.com/x").otherwise("https://drive.example/")
+    return read(spark, d, "pages").select("page_id", t.download_error(m).alias("message"), t.is_drive_url(url).alias("is_drive"), t.url_encode(F.concat("url", F.lit(" đ"))).alias("encoded"))
+
+
+@query("SELECT user_id AS task_id, count(*) AS n, max(current) AS current FROM (SELECT user_id, ts, event_id AS current, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 3600000000 ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1 GROUP BY 1".replace("ORDER BY ts, event_id) AS rn", "ORDER BY ts) AS rn").replace("max(current) AS current", "count(DISTINCT epoch_us(ts) // 3600000000) AS slots"))
+def download_log(spark, d):
+    e = read(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1).cast("long").alias("current"), F.lit(2).cast("long").alias("total"))
+    shown = connectors.download_log(e, 3600.0)
+    return shown.groupBy("task_id").agg(F.count("*").alias("n"), F.count_distinct(F.floor(F.unix_micros("ts") / 3600000000)).alias("slots"))
+
+
+@query("SELECT conv_id, list_distinct_ordered AS roles FROM (SELECT conv_id, string_agg(role, ',' ORDER BY first) AS list_distinct_ordered FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY 1, 2) GROUP BY 1)")
+def ordered_dedupe(spark, d):
+    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("r"))
+    return c.select("conv_id", F.array_join(t.ordered_distinct("r"), ",").alias("roles"))
+
+
+@query("SELECT user_id, event_id AS batch, value, round(value / (event_id % 5 + 1), 2) AS rate FROM events WHERE user_id = 1")
+def batch_throughput(spark, d):
+    e = read(spark, d, "events").filter("user_id = 1")
+    b = e.select(F.col("event_id").alias("batch"), F.col("value").alias("processed"), (F.col("event_id") % 5 + 1).cast("double").alias("seconds"))
+    return ops.throughput(b).select(F.lit(1).cast("long").alias("user_id"), "batch", F.col("processed").alias("value"), "rate")
+
+
+@query(f"WITH {BOOKS}, l AS (SELECT total_pages, word_count FROM books WHERE is_public = 1 ORDER BY created_at DESC, id DESC LIMIT 50) SELECT count(*) AS books, sum(total_pages)::BIGINT AS pages, sum(word_count)::BIGINT AS words FROM l")
+def listed_page_totals(spark, d):
+    return library.page_totals(library.list_books(books(spark, d)))
+
+
+@query("SELECT user_id AS book, event_type AS filename, left(event_type || repeat('x', 700), 600) AS preview FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS rn FROM events) WHERE rn = 1")
+def latest_text_preview(spark, d):
+    e = read(spark, d, "events").select(F.col("user_id").alias("book"), F.col("event_type").alias("filename"), F.col("ts").alias("modified"), F.concat("event_type", F.repeat(F.lit("x"), 700)).alias("text"))
+    return library.latest_texts(e)

@@ -10,26 +10,51 @@ from pyspark.sql import functions as F
 
 _LOW = "a-zàáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
 _UP = "A-ZÀÁẢÃẠĂẰẮẲẴẶÂẦẤẨẪẬÈÉẺẼẸÊỀẾỂỄỆÌÍỈĨỊÒÓỎÕỌÔỒỐỔỖỘƠỜỚỞỠỢÙÚỦŨỤƯỪỨỬỮỰỲÝỶỸỴĐ"
-#: Misread words and what they stand for, in the order in which they apply.
-MISREAD = (
-    ("NCUYỄN", "NGUYỄN"), ("NCUYEN", "NGUYEN"), ("NCUVỄN", "NGUYỄN"), ("NCUNỂN", "NGUYỄN"), ("Đẩng chí", "Đồng chí"), ("Đổng chí", "Đồng chí"), ("Đổng chỉ", "Đồng chí"), ("đổng chí", "đồng chí"), None,
-    ("cí", "chí"), ("nuoc", "nước"), ("nuóc", "nước"), ("ngưdi", "người"), ("đổng thờl", "đồng thời"), ("văn hlến", "văn hiến"), ("giao luu", "giao lưu"), ("thực hành đặc trung", "thực hành đặc trưng"),
-    ("huyện ủỵ", "Huyện ủy"), ("Huyện ủỵ", "Huyện ủy"), ("Huyệnửỵ", "Huyện ủy"), ("Huyệnửy", "Huyện ủy"), ("Huyệnủy", "Huyện ủy"), ("Huyện úỵ", "Huyện ủy"), ("Ban Thường vu", "Ban Thường vụ"), ("Chlhuy", "Chỉ huy"), ("Guânshuyện", "Quân sự huyện"),
-    ("Chủ tjch", "Chủ tịch"), ("thành vỈên", "thành viên"), ("Iruông ban", "Trưởng ban"), ("Truởng", "Trưởng"), ("Ião thành", "lão thành"), ("tiển khởi nghĩa", "tiền khởi nghĩa"),
-)
-
-
-def substitutions() -> list[tuple[str, str]]:
-    """(Java pattern, replacement) in order."""
-    out = [(rf"(?U)\bI([{_LOW}])", "l$1")]
-    out += [(rf"(?U)\bchí([{_UP}])", "chí $1") if m is None else (rf"(?U)\b{m[0]}\b", m[1]) for m in MISREAD]
-    return out + [(r"(?U)(\d+)\.00O\b", "$1.000"), (r"(?U)(\d+)\.0O0\b", "$1.000"), (r"(?U)(\d+)O\b", "$10")]
+#: Fixed values: (pattern, replacement), in the order in which they apply.
+SUBSTITUTIONS = (
+    (rf"\bI([{_LOW}])", "l$1"),
+    (r"\bNCUYỄN\b", "NGUYỄN"),
+    (r"\bNCUYEN\b", "NGUYEN"),
+    (r"\bNCUVỄN\b", "NGUYỄN"),
+    (r"\bNCUNỂN\b", "NGUYỄN"),
+    (r"\bĐẩng chí\b", "Đồng chí"),
+    (r"\bĐổng chí\b", "Đồng chí"),
+    (r"\bĐổng chỉ\b", "Đồng chí"),
+    (r"\bđổng chí\b", "đồng chí"),
+    (rf"\bchí([{_UP}])", "chí $1"),
+    (r"\bcí\b", "chí"),
+    (r"\bnuoc\b", "nước"),
+    (r"\bnuóc\b", "nước"),
+    (r"\bngưdi\b", "người"),
+    (r"\bđổng thờl\b", "đồng thời"),
+    (r"\bvăn hlến\b", "văn hiến"),
+    (r"\bgiao luu\b", "giao lưu"),
+    (r"\bthực hành đặc trung\b", "thực hành đặc trưng"),
+    (r"\bhuyện ủỵ\b", "Huyện ủy"),
+    (r"\bHuyện ủỵ\b", "Huyện ủy"),
+    (r"\bHuyệnửỵ\b", "Huyện ủy"),
+    (r"\bHuyệnửy\b", "Huyện ủy"),
+    (r"\bHuyệnủy\b", "Huyện ủy"),
+    (r"\bHuyện úỵ\b", "Huyện ủy"),
+    (r"\bBan Thường vu\b", "Ban Thường vụ"),
+    (r"\bChlhuy\b", "Chỉ huy"),
+    (r"\bGuânshuyện\b", "Quân sự huyện"),
+    (r"\bChủ tjch\b", "Chủ tịch"),
+    (r"\bthành vỈên\b", "thành viên"),
+    (r"\bIruông ban\b", "Trưởng ban"),
+    (r"\bTruởng\b", "Trưởng"),
+    (r"\bIão thành\b", "lão thành"),
+    (r"\btiển khởi nghĩa\b", "tiền khởi nghĩa"),
+    (r"(\d+)\.00O\b", "$1.000"),
+    (r"(\d+)\.0O0\b", "$1.000"),
+    (r"(?<=\d)O\b", "0"),
+)
 
 
 def repair(text: Column) -> Column:
     """All substitutions, one after the other."""
-    for pattern, to in substitutions():
-        text = F.regexp_replace(text, pattern, "${1}0" if to == "$10" else to) if to != "$10" else F.regexp_replace(text, r"(?U)(?<=\d)O\b", "0")
+    for pattern, to in SUBSTITUTIONS:
+        text = F.regexp_replace(text, f"(?U){pattern}", to)
     return text
 
 

@@ -162,6 +162,16 @@ def stem(path) -> Column:
     return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]*$", "")
 
 
+def parent(path) -> Column:
+    """The path without its last part; '.' for a bare name."""
+    return F.coalesce(F.nullif(F.regexp_replace(_c(path), r"[/\\]?[^/\\]*$", ""), F.lit("")), F.lit("."))
+
+
+def with_suffix(path, new: str) -> Column:
+    """The path with another ending; a name without one gets it."""
+    return F.concat(F.regexp_replace(_c(path), r"(?<=[^/\\])\.[^./\\]*$", ""), F.lit(new))
+
+
 def book_of(path) -> Column:
     """The folder before the first slash, else before the first backslash, else [root]."""
     p = _c(path)
@@ -177,6 +187,64 @@ def progress_percent(current, total) -> Column:
     return F.when(F.coalesce(_c(total), F.lit(0)) > 0, F.round(F.least(F.lit(90.0), _c(current) / _c(total) * 90), 1)).otherwise(45.0)
 
 
+def folder_percent(done, total) -> Column:
+    """Download progress of a folder of files: 12 at first, 90 when all are done."""
+    return F.round(12 + _c(done) / _c(total) * 78, 1)
+
+
+def clock(ts) -> Column:
+    """The time of day before a log line."""
+    return F.date_format(_c(ts), "HH:mm:ss")
+
+
+def day(ts) -> Column:
+    """The date at the start of a time stamp's text."""
+    return F.substring(_c(ts).cast("string"), 1, 10)
+
+
+def thousands(n) -> Column:
+    return F.format_number(_c(n), 0)
+
+
+def url_encode(x) -> Column:
+    """Percent encoding with %20 for a blank."""
+    return F.replace(F.url_encode(_c(x)), F.lit("+"), F.lit("%20"))
+
+
+def is_drive_url(url) -> Column:
+    u = F.coalesce(F.trim(_c(url)), F.lit(""))
+    return u.contains("drive.google.com") | u.contains("docs.google.com")
+
+
+#: Endings of archives that can be uploaded, and messages of refused downloads.
+ARCHIVE_SUFFIXES = (".zip", ".rar", ".7z", ".tar", ".gz")
+REFUSALS = ("Cannot retrieve the public link", "Permission denied", "Failed to retrieve", "FileURLRetrievalError")
+REFUSED = "Không thể tải từ Google Drive do quyền riêng tư. Vui lòng chuyển link sang chế độ: 'Bất kỳ ai có đường liên kết đều có thể xem' (Anyone with the link can view)."
+
+
+def is_archive(path) -> Column:
+    return suffix(path).isin(*ARCHIVE_SUFFIXES)
+
+
+def download_error(message) -> Column:
+    """One friendly text for refused downloads, else the message behind a prefix."""
+    m = _c(message)
+    refused = F.lit(False)
+    for r in REFUSALS:
+        refused = refused | m.contains(r)
+    return F.when(refused, REFUSED).otherwise(F.concat(F.lit("Lỗi tải từ Google Drive: "), m))
+
+
+def ordered_distinct(items) -> Column:
+    """An array without repeats, empty strings and nulls, in order of first appearance."""
+    return F.array_distinct(F.filter(_c(items), lambda x: x.isNotNull() & (x != "")))
+
+
+def highlights(column) -> Column:
+    """The entries of a JSON array of strings; none for null or text that isn't one."""
+    return F.coalesce(F.from_json(_c(column), "array<string>"), F.array().cast("array<string>"))
+
+
 def error_class(message) -> Column:
     """quota, overload, missing or other, from a service's message."""
     m = _c(message)

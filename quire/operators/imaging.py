@@ -1,4 +1,7 @@
-"""Image bytes to arrays and back, for formats that need no codec beyond the standard library; others give an error."""
+"""Image bytes to arrays and back, for formats that need no codec beyond the standard library; others give an error.
+
+JPEG files are decoded by Spark's image source (sources.files.read_pixels); HEIC and WebP need an opener in OPENERS.
+"""
 
 from __future__ import annotations
 
@@ -45,7 +48,9 @@ def decode_png(data: bytes) -> np.ndarray:
     out, above = np.zeros((h, w * n), np.int64), np.zeros(w * n, np.int64)
     for y in range(h):
         kind, row = raw[y, 0], raw[y, 1:].astype(np.int64)
-        if kind == 2:
+        if kind == 1:
+            row = (np.cumsum(row.reshape(w, n), axis=0) & 255).reshape(-1)
+        elif kind == 2:
             row = (row + above) & 255
         elif kind:
             for x in range(w * n):
@@ -58,6 +63,118 @@ def decode_png(data: bytes) -> np.ndarray:
     return np.repeat(image, 3, axis=2) if n == 1 else image[:, :, :3]
 
 
+def decode_bmp(data: bytes) -> np.ndarray:
+    """RGB array of an uncompressed BMP of 24 or 32 bits a pixel."""
+    if data[:2] != b"BM" or len(data) < 54:
+        raise DecodeError("not a BMP image")
+    at, w, h, bits, packed = struct.unpack("<I4xii2xHI", data[10:34])
+    if bits not in (24, 32) or packed or w <= 0 or not h:
+        raise DecodeError("unsupported BMP")
+    line = (w * bits // 8 + 3) // 4 * 4
+    if len(data) < at + line * abs(h):
+        raise DecodeError("corrupt BMP")
+    rows = np.frombuffer(data, np.uint8, line * abs(h), at).reshape(abs(h), line)[:, : w * bits // 8].reshape(abs(h), w, bits // 8)
+    return np.ascontiguousarray((rows if h < 0 else rows[::-1])[:, :, 2::-1])
+
+
+#: Openers of further formats by the first bytes of a file; an optional codec registers itself here.
+OPENERS: dict[bytes, object] = {b"\x89PNG\r\n\x1a\n": lambda data: decode_png(data), b"BM": decode_bmp}
+
+
+def decode(data: bytes) -> np.ndarray:
+    """RGB array of an image in a known format, turned as its Exif data say."""
+    if not data:
+        raise DecodeError("empty file (0 bytes)")
+    for head, opener in OPENERS.items():
+        if data.startswith(head):
+            return transpose(opener(data), orientation(data))
+    raise DecodeError("no opener for this format")
+
+
+def orientation(data: bytes) -> int:
+    """The Exif orientation, 1 to 8, of a JPEG or PNG file; 1 if it has none."""
+    body = b""
+    if data[:2] == b"\xff\xd8":
+        at = 2
+        while at + 4 <= len(data) and data[at] == 0xFF:
+            kind, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
+            if kind == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+                body = data[at + 10 : at + 2 + size]
+                break
+            if kind == 0xDA:
+                break
+            at += 2 + size
+    elif (found := data.find(b"eXIf", 0, 1 << 16)) > 0:
+        body = data[found + 4 :]
+    if body[:2] not in (b"II", b"MM") or len(body) < 10:
+        return 1
+    end = "<" if body[:2] == b"II" else ">"
+    at = struct.unpack(end + "I", body[4:8])[0]
+    if at + 2 > len(body):
+        return 1
+    for i in range(struct.unpack(end + "H", body[at : at + 2])[0]):
+        entry = body[at + 2 + 12 * i : at + 14 + 12 * i]
+        if len(entry) == 12 and struct.unpack(end + "H", entry[:2])[0] == 0x0112:
+            value = struct.unpack(end + "H", entry[8:10])[0]
+            return value if 1 <= value <= 8 else 1
+    return 1
+
+
+def transpose(image: np.ndarray, turn: int) -> np.ndarray:
+    """The image as it is to be seen, from its Exif orientation."""
+    if turn >= 5:
+        image = image.swapaxes(0, 1)
+    if turn in (2, 3, 6, 7):
+        image = image[:, ::-1]
+    if turn in (3, 4, 7, 8):
+        image = image[::-1]
+    return np.ascontiguousarray(image)
+
+
+def equalise(image: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
+    """Contrast-limited adaptive histogram equalisation of the grey image, in three equal channels.
+
+    Each of tiles x tiles regions has its clipped histogram's cumulative curve; a pixel's value is interpolated between
+    the curves of the four nearest regions.
+    """
+    grey = image if image.ndim == 2 else np.rint(image[:, :, :3] @ np.array([0.299, 0.587, 0.114]))
+    grey = grey.astype(np.uint8)
+    h, w = grey.shape
+    th, tw = -(-h // tiles), -(-w // tiles)
+    full = np.pad(grey, ((0, th * tiles - h), (0, tw * tiles - w)), mode="reflect" if min(h, w) > max(th * tiles - h, tw * tiles - w) else "edge")
+    cut = full.reshape(tiles, th, tiles, tw).swapaxes(1, 2).reshape(tiles * tiles, -1)
+    curves = np.empty((tiles * tiles, 256))
+    limit = max(int(clip * th * tw / 256), 1)
+    for i, block in enumerate(cut):
+        n = np.bincount(block, minlength=256)
+        over = int(np.maximum(n - limit, 0).sum())
+        n = np.minimum(n, limit) + over // 256
+        if rest := over % 256:
+            n[:: max(256 // rest, 1)][:rest] += 1
+        curves[i] = np.minimum(np.rint(np.cumsum(n) * (255 / (th * tw))), 255)
+    curves = curves.reshape(tiles, tiles, 256)
+
+    def near(n: int, size: int):
+        at = (np.arange(n) + 0.5) / size - 0.5
+        low = np.floor(at).astype(int)
+        return np.clip(low, 0, tiles - 1), np.clip(low + 1, 0, tiles - 1), at - low
+
+    y0, y1, fy = near(h, th)
+    x0, x1, fx = near(w, tw)
+    of = lambda y, x: curves[y[:, None], x[None, :], grey]
+    top = of(y0, x0) * (1 - fx) + of(y0, x1) * fx
+    low = of(y1, x0) * (1 - fx) + of(y1, x1) * fx
+    out = np.rint(top * (1 - fy)[:, None] + low * fy[:, None]).astype(np.uint8)
+    return np.repeat(out[:, :, None], 3, axis=2)
+
+
+def thumbnail(image: np.ndarray, width: int = 400, height: int = 600) -> np.ndarray:
+    """The image brought down to fit the box, its shape kept; smaller ones stay."""
+    h, w = image.shape[:2]
+    scale = min(width / w, height / h, 1)
+    return downscale(image, max(int(round(max(h, w) * scale)), 1)) if scale < 1 else image
+
+
 def downscale(image: np.ndarray, most: int = 2560) -> np.ndarray:
     """The longer side brought down to most by the mean over areas; 0 leaves it."""
     h, w = image.shape[:2]

@@ -67,10 +67,15 @@ def reading_order(b: np.ndarray) -> list[int]:
 
 
 def sort_pages(lines: DataFrame) -> DataFrame:
-    """lines(page_id, text, box) with their place in the reading order; a page is a task's unit, never more."""
+    """lines(page_id, text, box) with their place in the reading order; a page is a task's unit, never more.
+
+    Of lines with equal corners the one with the smaller right and lower border, then text, is first.
+    """
 
     kind = dict(lines.dtypes)["page_id"]
-    packed = lines.select("page_id", F.struct("text", *bounds(F.col("box"))).alias("line")).groupBy("page_id").agg(F.collect_list("line").alias("lines"))
+    # Sorted, so that lines with equal corners keep one order whatever the shuffle does.
+    line = F.struct(*bounds(F.col("box")), "text")
+    packed = lines.select("page_id", line.alias("line")).groupBy("page_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
     def order(batches):
         import pandas as pd

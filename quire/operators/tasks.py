@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import book_of, percent
+from .numbering import numbered
 
 
 def in_book(df: DataFrame, book: str | None) -> DataFrame:
@@ -18,19 +19,21 @@ def in_book(df: DataFrame, book: str | None) -> DataFrame:
     return df if book is None else df.filter(p.startswith(f"{book}/") | p.startswith(f"{book}\\"))
 
 
-def register(tasks: DataFrame, found: DataFrame) -> DataFrame:
-    """tasks and the files of found(file_path, file_size) that aren't in it, PENDING, numbered in order of path.
+def _touched(tasks: DataFrame, changed, now) -> dict:
+    """updated_at of the rows that change, if tasks has that column."""
+    if "updated_at" not in tasks.columns:
+        return {}
+    return {"updated_at": F.when(changed, F.current_timestamp() if now is None else now).otherwise(F.col("updated_at"))}
 
-    Numbers come from per-partition counts of a range partitioning, so no single task sorts all rows.
-    """
+
+def register(tasks: DataFrame, found: DataFrame, now=None) -> DataFrame:
+    """tasks and the files of found(file_path, file_size) that aren't in it, PENDING, numbered in order of path."""
     new = found.join(tasks.select("file_path"), "file_path", "left_anti").groupBy("file_path").agg(F.min("file_size").alias("file_size"))
-    new = new.repartitionByRange("file_path").sortWithinPartitions("file_path").withColumn("part", F.spark_partition_id())
-    sizes = new.groupBy("part").count()
-    starts = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    top = tasks.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("file_path"))
-    new = new.withColumn("rank", rank).join(F.broadcast(starts.select("part", "before")), "part").join(F.broadcast(top))
-    new = new.select((F.col("top") + F.col("before") + F.col("rank")).alias("id"), "file_path", "file_size", F.lit("PENDING").alias("status"))
+    new = numbered(new, "file_path", tasks.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))
+    new = new.withColumn("status", F.lit("PENDING"))
+    for c in ("created_at", "updated_at"):
+        if c in tasks.columns:
+            new = new.withColumn(c, F.current_timestamp() if now is None else now)
     return tasks.unionByName(new, allowMissingColumns=True)
 
 
@@ -39,32 +42,41 @@ def pending(tasks: DataFrame, limit: int | None = None, book: str | None = None)
     return out.limit(limit) if limit else out
 
 
-def claim(tasks: DataFrame, limit: int, book: str | None = None) -> tuple[DataFrame, DataFrame]:
+def budget(tasks: DataFrame, most: int | None = None) -> int:
+    """How many rows a run takes: what is pending, at most `most`; 0 or None is all."""
+    n = tasks.filter("status = 'PENDING'").count()
+    return min(n, most) if most else n
+
+
+def claim(tasks: DataFrame, limit: int, book: str | None = None, now=None) -> tuple[DataFrame, DataFrame]:
     """The first PENDING rows by id, and the snapshot in which they are IN_PROGRESS; nothing for limit <= 0."""
     taken = pending(tasks, limit, book) if limit > 0 else pending(tasks, None, book).filter(F.lit(False))
     mine = taken.select("id", F.lit(True).alias("mine"))
-    after = tasks.join(mine, "id", "left").withColumn("status", F.when(F.col("mine"), "IN_PROGRESS").otherwise(F.col("status"))).drop("mine")
+    after = tasks.join(mine, "id", "left")
+    after = after.withColumns({"status": F.when(F.col("mine"), "IN_PROGRESS").otherwise(F.col("status")), **_touched(tasks, F.col("mine"), now)})
     return taken.select("file_path", "file_size"), after.select(*tasks.columns)
 
 
-def apply_results(tasks: DataFrame, results: DataFrame) -> DataFrame:
+def apply_results(tasks: DataFrame, results: DataFrame, now=None) -> DataFrame:
     """DONE or FAILED with the metrics of the last result of each path (by seq, if there is one)."""
     seq = F.col("seq") if "seq" in results.columns else F.lit(0)
     last = results.groupBy("file_path").agg(F.max_by(F.struct("success", "confidence", "processing_time_ms", "error_msg"), seq).alias("r"))
     out = tasks.join(last, "file_path", "left")
     hit = F.col("r").isNotNull()
     new = {"status": F.when(F.col("r.success"), "DONE").otherwise("FAILED"), **{c: F.col(f"r.{c}") for c in ("confidence", "processing_time_ms", "error_msg")}}
-    return out.select(*(F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in tasks.columns))
+    done = {c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()} | _touched(tasks, hit, now)
+    return out.select(*(done[c].alias(c) if c in done else F.col(c) for c in tasks.columns))
 
 
-def reset_hanging(tasks: DataFrame, book: str | None = None) -> DataFrame:
+def reset_hanging(tasks: DataFrame, book: str | None = None, now=None) -> DataFrame:
     here = F.lit(True) if book is None else F.col("file_path").startswith(f"{book}/") | F.col("file_path").startswith(f"{book}\\")
-    return tasks.withColumn("status", F.when((F.col("status") == "IN_PROGRESS") & here, "PENDING").otherwise(F.col("status")))
+    hanging = (F.col("status") == "IN_PROGRESS") & here
+    return tasks.withColumns({"status": F.when(hanging, "PENDING").otherwise(F.col("status")), **_touched(tasks, hanging, now)})
 
 
-def retry_failed(tasks: DataFrame) -> DataFrame:
+def retry_failed(tasks: DataFrame, now=None) -> DataFrame:
     failed = F.col("status") == "FAILED"
-    return tasks.withColumns({"status": F.when(failed, "PENDING").otherwise(F.col("status")), "error_msg": F.when(failed, None).otherwise(F.col("error_msg"))})
+    return tasks.withColumns({**_touched(tasks, failed, now), "status": F.when(failed, "PENDING").otherwise(F.col("status")), "error_msg": F.when(failed, None).otherwise(F.col("error_msg"))})
 
 
 def _counts() -> list:
@@ -87,8 +99,8 @@ def stats_by_book(tasks: DataFrame) -> DataFrame:
     return out.withColumn("percent", percent("done", "total", 1)).orderBy("book")
 
 
-def job_status(by_book: DataFrame, running: DataFrame) -> DataFrame:
-    """State of every book's job; running(book, state) holds what is being worked on."""
+def job_status(by_book: DataFrame, running: DataFrame, outputs: DataFrame | None = None) -> DataFrame:
+    """State of every book's job; running(book, state) is what is worked on, outputs(book, has_text_file, has_zip_file) what is written."""
     out = by_book.join(running, "book", "left")
     state = (
         F.when(F.col("state") == "processing", "processing")
@@ -98,8 +110,21 @@ def job_status(by_book: DataFrame, running: DataFrame) -> DataFrame:
         .when(F.col("done") > 0, "paused")
         .otherwise("idle")
     )
-    return out.select("book", "total", "done", "failed", state.alias("status"))
+    flags = ("has_text_file", "has_zip_file")
+    if outputs is not None:
+        out = out.join(outputs.groupBy("book").agg(*(F.max(c).alias(c) for c in flags)), "book", "left")
+    has = [F.coalesce(c, F.lit(False)).alias(c) for c in flags] if outputs is not None else []
+    return out.select("book", "total", "done", "failed", state.alias("status"), *has)
 
 
 def failed_report(tasks: DataFrame) -> DataFrame:
-    return tasks.filter("status = 'FAILED'").select("file_path", F.col("file_size").alias("file_size_bytes"), F.col("error_msg").alias("error_message"))
+    """What failed, with the time of the failure if tasks has one."""
+    at = [F.col("updated_at").alias("timestamp")] if "updated_at" in tasks.columns else []
+    return tasks.filter("status = 'FAILED'").select("file_path", F.col("file_size").alias("file_size_bytes"), F.col("error_msg").alias("error_message"), *at)
+
+
+def throughput(batches: DataFrame) -> DataFrame:
+    """batches(batch, processed, seconds) with pages a second of each batch and of all up to it."""
+    w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)  # one row a batch of a run
+    rate = lambda n, s: F.when(s > 0, F.round(n / s, 2)).otherwise(0.0)
+    return batches.withColumns({"rate": rate(F.col("processed"), F.col("seconds")), "overall": rate(F.sum("processed").over(w), F.sum("seconds").over(w))})

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import dataclasses
+import gzip
 import io
 import tarfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.text import base_name, suffix
+from ..functions.text import base_name, book_of, natural_key, stem, suffix, with_suffix
 
 #: File name endings of page images.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp", ".heic", ".heif")
 
+#: The same as a file name pattern, in any case.
+IMAGE_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s[1:]) for s in IMAGE_SUFFIXES) + "}"
+
 
 def relative_to(root: str):
     clean = root.rstrip("/")
@@ -23,72 +26,147 @@ def relative_to(root: str):
     return F.when(path.startswith(clean + "/"), F.substring(path, len(clean) + 2, 1 << 30)).otherwise(path)
 
 
-def scan_images(spark: SparkSession, root: str, book: str | None = None) -> DataFrame:
-    """(rel_path, size) of page images under root or one book; content is never read.
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length) of all files under root, empty ones too, listed by folders in tasks; a missing root has none.
 
-    Spark's file sources leave out empty files, so they are listed by the Hadoop file system and added: a later stage
-    reports them as failed.
+    Folders are listed level by level: the driver keeps folder names only, and the files of a folder are read in the
+    task that lists it. Spark's own file sources leave out empty files.
     """
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(root if book is None else f"{root.rstrip('/')}/{book}")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    schema = "rel_path string, size long"
+    sc = spark.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(conf)
+    schema = "path string, length long"
     if not fs.exists(at):
         return spark.createDataFrame([], schema)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at.toString()).select("path", "length")
+    full = fs.resolvePath(at)
+    if not full.toString().startswith("file:"):
+        # A store without a local path: binaryFile lists it in tasks; empty objects come from one recursive listing.
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(full.toString()).select("path", "length")
+        empty, it = [], fs.listFiles(full, True)
+        while it.hasNext():
+            f = it.next()
+            if f.getLen() == 0:
+                empty.append((f.getPath().toString(), 0))
+        return found.union(spark.createDataFrame(empty, schema)) if empty else found
+    top = full.toUri().getPath()
+    folders = [str(f) for f in _subfolders(top)]
+
+    def run(batches):
+        import os
+
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for folder, deep in zip(pdf["folder"], pdf["deep"], strict=True):
+                for here, _, names in os.walk(folder):
+                    for n in names:
+                        try:
+                            rows.append((os.path.join(here, n), os.path.getsize(os.path.join(here, n))))
+                        except OSError:
+                            continue
+                    if not deep:
+                        break
+            yield pd.DataFrame(rows, columns=["path", "length"])
+
+    todo = [(top, False), *((f, True) for f in folders)]
+    return spark.createDataFrame(todo, "folder string, deep boolean").repartition(min(len(todo), 200)).mapInPandas(run, schema)
+
+
+def _subfolders(top: str) -> list[str]:
+    import os
+
+    with os.scandir(top) as found:
+        return sorted(f.path for f in found if f.is_dir())
+
+
+def scan_images(spark: SparkSession, root: str, book: str | None = None) -> DataFrame:
+    """(rel_path, size) of page images under root or one book; content is never read, empty files are listed too.
+
+    in_scan_order() gives the order of reading.
+    """
+    found = _listed(spark, root if book is None else f"{root.rstrip('/')}/{book}")
     out = found.filter(suffix("path").isin(*IMAGE_SUFFIXES)).select(relative_to(root).alias("rel_path"), F.col("length").alias("size"))
-    empty, it = [], fs.listFiles(at, True)
-    while it.hasNext():
-        f = it.next()
-        p = f.getPath().toUri().getPath()
-        if f.getLen() == 0 and p.lower().endswith(IMAGE_SUFFIXES):
-            empty.append((p.removeprefix(root.rstrip("/") + "/"), 0))
-    out = out.union(spark.createDataFrame(empty, schema)) if empty else out
-    return out.filter(~base_name("rel_path").startswith("."))
+    return out.filter(~F.col("rel_path").startswith("."))
 
 
-def list_books(scanned: DataFrame) -> DataFrame:
-    """Distinct first folders that aren't hidden."""
-    b = F.substring_index("rel_path", "/", 1)
-    return scanned.filter(F.col("rel_path").contains("/")).select(b.alias("book")).filter(~F.col("book").startswith(".")).distinct()
+def read_pixels(spark: SparkSession, root: str) -> DataFrame:
+    """(file_path, height, width, pixels, turn) of the images that Spark's own image source decodes (JPEG, PNG, BMP, GIF).
 
+    pixels are rows of blue, green and red bytes as stored; turn is the Exif orientation, which that source leaves out.
+    Files that it can't decode come with null pixels.
+    """
+    from ..operators.imaging import orientation
+
+    turned = F.pandas_udf(lambda heads: heads.map(lambda h: orientation(bytes(h))), "int")
+    read = lambda kind: spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_GLOB)
+    found = read("binaryFile").load(root).select("path", turned(F.substring("content", 1, 1 << 17)).alias("turn"))
+    i = read("image").option("dropInvalid", True).load(root).select("image.*")
+    i = i.select(F.col("origin").alias("path"), "height", "width", F.col("data").alias("pixels"), "nChannels")
+    clean = lambda c: F.regexp_replace(F.col(c), r"^file:/+", "file:/")
+    out = found.withColumn("path", clean("path")).join(i.withColumn("path", clean("path")), "path", "left")
+    return out.select(relative_to(root).alias("file_path"), "height", "width", "nChannels", "pixels", "turn")
 
-def read_page_texts(spark: SparkSession, root: str) -> DataFrame:
-    """(book, filename, text) of the *.txt files under root, one folder a book."""
-    t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
-    p = F.col("_metadata.file_path")
-    return t.select(F.element_at(F.split(p, "/"), -2).alias("book"), F.url_decode(base_name(p)).alias("filename"), F.col("value").alias("text"))
 
+def covers(pages: DataFrame) -> DataFrame:
+    """(book, cover) for books of pages(book, filename, content): the first page that decodes, as a PNG of at most 400 x 600."""
+    from ..operators.assembly import number_pages
+    from ..operators.imaging import decode, encode_png, thumbnail
 
-class ArchiveSource(DataSource):
-    """Members of zip and tar archives: (path, content), one partition an archive."""
+    def run(data):
+        try:
+            return encode_png(thumbnail(decode(bytes(data))))
+        except ValueError:
+            return None
 
-    @classmethod
-    def name(cls):
-        return "archive"
+    small = F.pandas_udf(lambda s: s.map(run), "binary")
+    first = number_pages(pages).filter("page_num = 1")
+    return first.select("book", small("content").alias("cover")).filter("cover is not null")
 
-    def schema(self):
-        return "archive string, path string, content binary"
 
-    def reader(self, schema):
-        return ArchiveReader(self.options)
+def web_pages(pages: DataFrame) -> DataFrame:
+    """pages(..., filename, content) as browsers show them: web formats stay, what else decodes becomes PNG; else null."""
+    from ..operators.imaging import decode, encode_png
 
+    def run(data):
+        try:
+            return encode_png(decode(bytes(data)))
+        except ValueError:
+            return None
 
-class ArchiveReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths = [p for p in options["path"].split(",") if p]
+    shown = suffix("filename").isin(".jpg", ".jpeg", ".png", ".webp")
+    other = F.pandas_udf(lambda s: s.map(run), "binary")
+    kept = pages.filter(shown)
+    return kept.unionByName(pages.filter(~shown).withColumn("content", other("content")).withColumn("filename", F.concat(stem("filename"), F.lit(".png"))))
+
+
+def in_scan_order(scanned: DataFrame) -> DataFrame:
+    """Book folders in natural order, each book's pages in natural order of their path, then loose images."""
+    loose = ~F.col("rel_path").contains("/")
+    return scanned.orderBy(loose, natural_key(F.when(loose, F.lit("")).otherwise(F.substring_index("rel_path", "/", 1))), natural_key("rel_path"), "rel_path")
+
+
+def list_books(scanned: DataFrame) -> DataFrame:
+    """Distinct first folders that aren't hidden, in natural order."""
+    b = F.substring_index("rel_path", "/", 1)
+    books = scanned.filter(F.col("rel_path").contains("/")).select(b.alias("book")).filter(~F.col("book").startswith(".")).distinct()
+    return books.orderBy(natural_key("book"), "book")
 
-    def partitions(self):
-        return [InputPartition(p) for p in self.paths]
 
-    def read(self, partition):
-        with open(partition.value, "rb") as f:
-            for name, data in archive_members(f.read()):
-                yield partition.value, name, data
+def read_page_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(book, filename, text) of the *.txt files under root, one folder a book."""
+    t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
+    p = F.col("_metadata.file_path")
+    return t.select(F.element_at(F.split(p, "/"), -2).alias("book"), F.url_decode(base_name(p)).alias("filename"), F.col("value").alias("text"))
 
 
 def archive_members(data: bytes):
-    """(path, content) of the page images in a zip or tar archive; hidden names and folders are left out."""
+    """(path, content) of the page images in a zip, tar or gzip archive; hidden names and folders are left out.
+
+    A gzip file that holds no tar is one image whose name unpack() takes from the archive. rar and 7z need programs that
+    aren't part of the standard library: ValueError.
+    """
     ok = lambda n: n.lower().endswith(IMAGE_SUFFIXES) and not n.rsplit("/", 1)[-1].startswith(".") and not n.startswith("__MACOSX")
     if zipfile.is_zipfile(io.BytesIO(data)):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -96,23 +174,53 @@ def archive_members(data: bytes):
                 if ok(n):
                     yield n, z.read(n)
         return
+    if data[:2] == b"\x1f\x8b" and not _is_tar(plain := gzip.decompress(data)):
+        yield "", plain
+        return
+    if not data[:2] == b"\x1f\x8b" and not _is_tar(data):
+        raise ValueError("not a zip, tar or gzip archive")
     with tarfile.open(fileobj=io.BytesIO(data)) as t:
         for m in sorted((m for m in t.getmembers() if m.isfile() and ok(m.name)), key=lambda m: m.name):
             yield m.name, t.extractfile(m).read()
 
 
+def _is_tar(data: bytes) -> bool:
+    try:
+        tarfile.open(fileobj=io.BytesIO(data)).close()
+        return True
+    except tarfile.TarError:
+        return False
+
+
 def unpack(archives: DataFrame) -> DataFrame:
-    """(archive, path, content) of binaryFile rows(path, content): works on any store that Spark reads."""
+    """(archive, path, content, error_msg) of binaryFile rows(path, content): works on any store that Spark reads.
+
+    An archive that can't be read is one row with its error.
+    """
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                rows = [(path, n, c) for n, c in archive_members(data)]
-                yield pd.DataFrame(rows, columns=["archive", "path", "content"])
+                rows, fault = [], None
+                try:
+                    own = path.rsplit("/", 1)[-1].removesuffix(".gz")
+                    rows = [(path, n or own, c, None) for n, c in archive_members(data) if (n or own).lower().endswith(IMAGE_SUFFIXES)]
+                except Exception as e:
+                    rows, fault = [], f"{type(e).__name__}: {e}"
+                if fault:
+                    rows = [(path, None, None, fault)]
+                yield pd.DataFrame(rows, columns=["archive", "path", "content", "error_msg"])
+
+    return archives.select("path", "content").mapInPandas(run, "archive string, path string, content binary, error_msg string")
+
 
-    return archives.select("path", "content").mapInPandas(run, "archive string, path string, content binary")
+def flattened(members: DataFrame) -> DataFrame:
+    """Members of each archive by file name; from the second of a name on, the parent's name goes before it."""
+    from ..operators.assembly import flatten_names
+
+    return flatten_names(members.filter("path is not null"), "archive")
 
 
 @dataclasses.dataclass(frozen=True)
@@ -130,38 +238,140 @@ class Settings:
             raise ValueError("workers, batch_size and max_retries must be at least 1")
 
 
+#: Where each setting stands in a settings file.
+SETTING_PLACES = {"workers": ("system", "num_workers"), "batch_size": ("system", "batch_size"), "max_dimension": ("preprocessing", "max_dimension"), "split_double_pages": ("preprocessing", "split_double_pages"), "output": ("output", "format"), "mirror": ("output", "mirror_folder_structure"), "max_retries": ("ocr", "gemini", "max_retries")}
+
+
 def load_settings(text: str | None) -> Settings:
-    """Settings from `key: value` lines in any section; unknown keys are ignored, a missing file gives the defaults."""
-    known = {f.name: type(f.default) for f in dataclasses.fields(Settings)}
+    """Settings from a YAML text; unknown keys are ignored, missing ones and an empty or missing file give the defaults."""
+    import yaml
+
+    tree = yaml.safe_load(text) if text else None
     found = {}
-    for line in (text or "").splitlines():
-        key, colon, value = line.split("#")[0].partition(":")
-        key, value = key.strip(), value.strip().strip("\"'")
-        if colon and value and key in known:
-            found[key] = value.lower() == "true" if known[key] is bool else known[key](value)
+    for name, place in SETTING_PLACES.items():
+        value = tree
+        for key in place:
+            value = value.get(key) if isinstance(value, dict) else None
+        if value is None and isinstance(tree, dict):  # by the setting's own name in any section
+            value = next((section[name] for section in tree.values() if isinstance(section, dict) and section.get(name) is not None), None)
+        if value is not None:
+            found[name] = type(getattr(Settings, name))(value)
     return Settings(**found)
 
 
-def write_jsonl(results: DataFrame, path: str) -> None:
-    """One object a page with nulls kept; rerunning appends, so readers take the latest of a path."""
-    out = results.select("file_path", F.col("full_text").alias("text"), F.round("confidence", 4).alias("confidence"), "lines", F.round("processing_time_ms", 2).alias("processing_time_ms"))
-    out.write.mode("append").option("ignoreNullFields", False).json(path)
+def read_words(spark: SparkSession, *paths: str) -> list[str]:
+    """The non-blank lines of the first of several word lists that exists, in order; a list has tens of thousands of lines."""
+    sc = spark.sparkContext
+    for p in paths:
+        at = sc._jvm.org.apache.hadoop.fs.Path(p)
+        if at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at):
+            text = spark.read.text(p, wholetext=True).first()
+            return [w for line in (text[0].splitlines() if text else []) if (w := line.strip())]
+    raise FileNotFoundError(f"none of {paths}")
 
 
-def write_texts(results: DataFrame, path: str) -> None:
-    """Page texts as a table partitioned by book."""
-    from ..functions.text import book_of
+def write_jsonl(results: DataFrame, path: str, mode: str = "append") -> None:
+    """One object a page with nulls kept; confidence and time fall back to avg_confidence and elapse_ms where 0 or null."""
+
+    def either(a: str, b: str, digits: int):
+        options = [F.nullif(F.col(c), F.lit(0.0)) for c in (a, b) if c in results.columns]
+        return F.round(F.coalesce(*options, F.lit(0.0)), digits).alias(a)
+
+    out = results.select("file_path", F.coalesce("full_text", F.lit("")).alias("text"), either("confidence", "avg_confidence", 4), "lines", either("processing_time_ms", "elapse_ms", 2))
+    out.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def export_texts(results: DataFrame, root: str, mirror: bool = True) -> int:
+    """One .txt a page under root, in the page's folders or flat; written in tasks through pyarrow's file systems.
+
+    Rewriting a page gives the same file, so a repeated task does no harm. Returns the number of pages.
+    """
+    name = with_suffix("file_path", ".txt")
+    return _exported(results.select((name if mirror else with_suffix(base_name("file_path"), ".txt")).alias("name"), F.encode(F.coalesce("full_text", F.lit("")), "UTF-8").alias("data")), root)
+
+
+def export_merged(merged: DataFrame, root: str) -> int:
+    """<book>.txt under root for every row of merged(book, text)."""
+    return _exported(merged.select(F.concat("book", F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("data")), root)
+
+
+def export_archives(archives: DataFrame, root: str) -> int:
+    """<book>_package.zip under root for every row of archives(book, archive)."""
+    return _exported(archives.select(F.concat("book", F.lit("_package.zip")).alias("name"), F.col("archive").alias("data")), root)
 
-    results.select(book_of("file_path").alias("book"), "file_path", F.col("full_text").alias("text")).write.mode("append").partitionBy("book").parquet(path)
+
+def _exported(files: DataFrame, root: str) -> int:
+    def run(batches):
+        import posixpath
+
+        import pandas as pd
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
+        for pdf in batches:
+            for name, data in zip(pdf["name"], pdf["data"], strict=True):
+                at = posixpath.normpath(posixpath.join(top, name.replace("\\", "/").lstrip("/")))
+                if not at.startswith(top.rstrip("/") + "/"):
+                    raise ValueError(f"{name} leaves {root}")
+                store.create_dir(posixpath.dirname(at), recursive=True)
+                with store.open_output_stream(at) as f:
+                    f.write(data)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return files.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def read_outputs(spark: SparkSession, root: str) -> DataFrame:
+    """(book, has_text_file, has_zip_file) of the merged texts and packages right under root."""
+    top = _listed(spark, root).select(relative_to(root).alias("name")).filter(~F.col("name").contains("/"))
+    zipped = F.col("name").endswith("_package.zip")
+    out = top.filter(zipped | F.col("name").endswith(".txt")).select(F.when(zipped, F.regexp_replace("name", "_package\\.zip$", "")).otherwise(stem("name")).alias("book"), (~zipped).alias("t"), zipped.alias("z"))
+    return out.groupBy("book").agg(F.max("t").alias("has_text_file"), F.max("z").alias("has_zip_file"))
+
+
+def write_texts(results: DataFrame, path: str, mode: str = "append") -> None:
+    """Page texts as a table partitioned by book."""
+    results.select(book_of("file_path").alias("book"), "file_path", F.col("full_text").alias("text")).write.mode(mode).partitionBy("book").parquet(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").option("header", True).csv(path)
 
 
-def export_manifest(books: DataFrame, path: str) -> None:
-    books.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def export_report(report: DataFrame, path: str) -> None:
+    """The report as one CSV file that starts with a byte order mark, as spreadsheets want it; rows are streamed."""
+    import csv
+
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+    with store.open_output_stream(at) as f:
+        text = io.TextIOWrapper(f, encoding="utf-8-sig", newline="", write_through=True)
+        w = csv.writer(text)
+        w.writerow(report.columns)
+        for row in report.toLocalIterator():
+            w.writerow(row)
+        text.flush()
+
+
+def public_manifest(books: DataFrame, limit: int = 1000) -> DataFrame:
+    """The newest public books, as many as the manifest holds."""
+    return books.filter("is_public = 1").orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
+def export_manifest(books: DataFrame, path: str, limit: int = 1000) -> None:
+    """The public books as one indented JSON array of at most limit objects."""
+    import json
+
+    from pyarrow import fs
+
+    rows = [json.loads(r[0]) for r in public_manifest(books, limit).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+    store, at = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+    with store.open_output_stream(at) as f:
+        f.write(json.dumps(rows, ensure_ascii=False, indent=2).encode())
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=False)
+    """The objects of a JSON array, or one a line, with their place in column pos."""
+    rows = spark.read.schema(schema).json(path, multiLine=True)
+    return rows.withColumn("pos", F.monotonically_increasing_id())

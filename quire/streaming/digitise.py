@@ -7,12 +7,14 @@ import time
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
-from ..operators.imaging import decode_png, downscale, split_spread
-from ..sources.files import IMAGE_SUFFIXES, relative_to, write_jsonl, write_texts
 from ..functions.text import suffix
+from ..operators.imaging import DecodeError, decode, downscale, equalise, split_spread, transpose
+from ..sources.files import IMAGE_GLOB, IMAGE_SUFFIXES, relative_to, write_jsonl, write_texts
 
 RESULT = "file_path string, success boolean, full_text string, lines array<struct<text: string, confidence: double, box: array<array<double>>>>, confidence double, processing_time_ms double, error_msg string"
 
@@ -59,8 +61,19 @@ class RetryingRecognizer:
         raise RuntimeError(f"no answer after {self.tries} tries: {last}")
 
 
-def digitise(images: DataFrame, make: Callable[[], Recognizer] = DigestRecognizer, split_double: bool = False, most: int = 2560) -> DataFrame:
-    """Results of images(file_path, content); the recogniser is made once a partition, an error becomes a failed row."""
+def digitise(images: DataFrame, make: Callable[[], Recognizer] = DigestRecognizer, split_double: bool = False, most: int = 2560, contrast: bool = False) -> DataFrame:
+    """Results of images(file_path, content) or of read_pixels(); the recogniser is made once a partition, an error becomes a failed row."""
+    decoded = "pixels" in images.columns
+    columns = ["file_path", "pixels", "height", "width", "nChannels", "turn"] if decoded else ["file_path", "content"]
+
+    def picture(row):
+        if not decoded:
+            return decode(bytes(row[1]))
+        _, data, h, w, n, turn = row
+        if data is None:
+            raise DecodeError("not an image that Spark decodes")
+        image = np.frombuffer(bytes(data), np.uint8).reshape(int(h), int(w), int(n))
+        return transpose(np.repeat(image, 3, axis=2) if n == 1 else image[:, :, 2::-1], int(turn))
 
     def run(batches):
         import pandas as pd
@@ -68,12 +81,12 @@ def digitise(images: DataFrame, make: Callable[[], Recognizer] = DigestRecognize
         engine = make()
         for pdf in batches:
             rows = []
-            for path, data in zip(pdf["file_path"], pdf["content"], strict=True):
-                began = time.monotonic()
+            for row in pdf[columns].itertuples(index=False, name=None):
+                path, began = row[0], time.monotonic()
                 try:
-                    image = decode_png(data)
+                    image = picture(row)
                     parts = split_spread(image) if split_double else [image]
-                    texts = [engine.recognize(downscale(p, most)) for p in parts]
+                    texts = [engine.recognize(equalise(x) if contrast else x) for x in (downscale(p, most) for p in parts)]
                     if len(texts) == 2:
                         text = "\n\n".join(f"=== [TRANG {side}] ===\n{t}" for side, t in zip(("TRÁI", "PHẢI"), texts, strict=True))
                     else:
@@ -85,32 +98,103 @@ def digitise(images: DataFrame, make: Callable[[], Recognizer] = DigestRecognize
                     rows.append((path, False, "", [], 0.0, round((time.monotonic() - began) * 1000, 2), f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["file_path", "success", "full_text", "lines", "confidence", "processing_time_ms", "error_msg"])
 
-    return images.select("file_path", "content").mapInPandas(run, RESULT)
+    return images.select(*columns).mapInPandas(run, RESULT)
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return found.filter(suffix("path").isin(*IMAGE_SUFFIXES)).select(relative_to(root).alias("file_path"), "content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_GLOB).load(root)
+    return found.select(relative_to(root).alias("file_path"), "content")
+
+
+def empty_results(scanned: DataFrame) -> DataFrame:
+    """Failed results for the empty files of scanned(rel_path, size), which Spark's file sources never read; any batch's result comes after them."""
+    return scanned.filter("size = 0").select(F.col("rel_path").alias("file_path"), F.lit(False).alias("success"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("processing_time_ms"), F.lit("DecodeError: empty file (0 bytes)").alias("error_msg"), F.lit(-1).alias("seq"))
+
+
+#: A sink takes a batch of results and its number; writing a number again must replace what it wrote before.
+Sink = Callable[[DataFrame, int], None]
+
+
+def text_sink(path: str) -> Sink:
+    return lambda batch, epoch: write_texts(batch.filter("success"), f"{path}/epoch={epoch}", "overwrite")
+
+
+def jsonl_sink(path: str) -> Sink:
+    return lambda batch, epoch: write_jsonl(batch, f"{path}/epoch={epoch}", "overwrite")
+
+
+def result_sink(path: str) -> Sink:
+    """What apply_results() takes; seq is the batch's number."""
+    columns = ("file_path", "success", "confidence", "processing_time_ms", "error_msg")
+    return lambda batch, epoch: batch.select(*columns, F.lit(epoch).alias("seq")).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def sinks(out: str, output: str = "both") -> list[Sink]:
+    """The sinks of an output setting: txt, jsonl or both, and the results."""
+    if output not in ("txt", "jsonl", "both"):
+        raise ValueError(f"output must be txt, jsonl or both, not {output}")
+    found = [text_sink(f"{out}/texts")] if output != "jsonl" else []
+    return [*found, *([jsonl_sink(f"{out}/jsonl")] if output != "txt" else []), result_sink(f"{out}/results")]
 
 
-def stream(spark: SparkSession, root: str, out: str, checkpoint: str, batch_size: int = 50, output: str = "both", **options):
+class Progress(StreamingQueryListener):
+    """Tells a callback of each batch: pages so far, pages a second, and seconds left if the total is known."""
+
+    def __init__(self, callback: Callable[[dict], None], total: int | None = None):
+        self.callback, self.total, self.done, self.began = callback, total, 0, time.monotonic()
+
+    def onQueryStarted(self, event) -> None:
+        self.began = time.monotonic()
+
+    def onQueryProgress(self, event) -> None:
+        self.add(event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def add(self, batch: int, rows: int) -> None:
+        self.done += rows
+        rate = self.done / max(time.monotonic() - self.began, 1e-9)
+        left = (self.total - self.done) / rate if self.total is not None and rate else None
+        self.callback({"batch": batch, "rows": rows, "done": self.done, "rate": round(rate, 2), "seconds_left": left})
+
+
+def stream(spark: SparkSession, root: str, out: str, checkpoint: str, batch_size: int = 50, output: str = "both", more: list[Sink] = (), **options):
     """Digitise what is in root and not yet done, batch by batch; the checkpoint replays a batch that was cut off.
 
-    A batch is computed once and feeds all sinks. Returns the running query; stop() pauses after the batch.
+    A batch is computed once and feeds all sinks, also those of more; each writes under the batch's number, so a replay
+    replaces and never repeats. Returns the running query; stop() pauses after the batch, a new call goes on behind it.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
-    found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", batch_size).load(root)
+    found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_GLOB).option("maxFilesPerTrigger", batch_size).load(root)
     images = found.filter(suffix("path").isin(*IMAGE_SUFFIXES)).select(relative_to(root).alias("file_path"), "content")
+    every = [*sinks(out, output), *more]
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch = batch.withColumn("seq", F.lit(epoch)).persist()
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
         try:
-            if output in ("txt", "both"):
-                write_texts(batch.filter("success"), f"{out}/texts")
-            if output in ("jsonl", "both"):
-                write_jsonl(batch, f"{out}/jsonl")
-            batch.select("file_path", "success", "confidence", "processing_time_ms", "error_msg", "seq").write.mode("append").parquet(f"{out}/results")
+            for sink in every:
+                sink(batch, epoch)
         finally:
             batch.unpersist()
 
-    return digitise(images, **options).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return digitise(images, **options).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def in_background(job: Callable[[], object], failed: Callable[[Exception], None] | None = None):
+    """job() in a thread of the driver, for pushes that nobody waits for; errors go to failed and stop nothing."""
+    import threading
+
+    def run() -> None:
+        try:
+            job()
+        except Exception as e:
+            if failed:
+                failed(e)
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    return thread
