@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder and reads
 it back as the next stage's docs. All stages but the last return the columns of documents.
+
+Edge cases, in every stage: null text is empty (it fails the quality rules, so later stages rarely see any); a row without
+doc_id is judged, never linked, and drawn by its text in mixing; repeated rows of one doc_id and text leave near-dedup
+once, other rows of that doc_id stay; ties of near-duplicates go to the smallest doc_id; an empty table gives an empty
+result; columns that clash with names used inside stay as they are. encode drops all columns but doc_id.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import bpe, minhash, mixing, pii, rules
 from quire.llm.queries import tokenizer
-from quire.llm.shared import staged, table
+from quire.llm.shared import discard, staged, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +49,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        after = staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if i:
+            discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
