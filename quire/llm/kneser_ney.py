@@ -3,7 +3,8 @@
 The model is over bytes of lower-cased UTF-8 text, order ORDER, so an n-gram is an exact integer. It is trained on all
 trusted rows (labelled good and not toxic, in any row of the label table) but every tenth, which calibrate the
 thresholds: a language's threshold is the KEEP quantile of the perplexities of its held-out trusted rows (of all
-held-out trusted rows where a language has fewer than LEAST of them).
+held-out trusted rows where a language has fewer than LEAST of them). Trained rows are scored by a model that has seen
+them, so a trusted row that isn't held out is practically always kept: it was labelled good, and the model is for the rest.
 
 Plan. Pass 1 cuts every scan partition into blocks of BLOCK bytes and gives each block's distinct n-grams with their
 trusted counts, so that what is shuffled grows with distinct n-grams a block and not with tokens. Count tables, contexts
