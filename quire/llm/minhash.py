@@ -210,8 +210,8 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     firsts = base.join(classes, (base.doc_id == classes.rid) & (base.text_key == classes.text_key), "left_semi")
     firsts = staged(firsts.select(F.col("doc_id").alias("rid"), "n_shingles", "bands", "sig"), "firsts")
     rows = firsts.select("rid", "n_shingles", F.explode("bands").alias("bucket"))
-    rows, ends = grouped(rows, "bucket", "rid", a=("min", "rid"), z=("max", "rid"))
-    rows = staged(rows.join(ends.filter("a < z").drop("z"), ["bucket", "salt"]).drop("salt"), "buckets")
+    rows, ends = grouped(rows, "bucket", "rid", "a < z", a=("min", "rid"), z=("max", "rid"))
+    rows = staged(rows.join(ends.drop("z"), ["bucket", "salt"]).drop("salt"), "buckets")
 
     # Round 1: every member of a bucket against the bucket's first; so many pairs as members.
     stars = rows.filter("rid > a").select("a", F.col("rid").alias("b")).distinct()
@@ -223,8 +223,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     m = rows.filter("rid > a").join(found.withColumnRenamed("node", "rid"), "rid", "left")
     m = staged(m.select("bucket", "rid", "n_shingles", F.coalesce("component", "rid").alias("comp")).distinct(), "members")
     discard(rows)
-    dealt, apart = grouped(m, "bucket", "rid", lo=("min", "comp"), hi=("max", "comp"), size=("count", "*"), who=("sum", "cast(xxhash64(rid) AS decimal(38, 0))"))
-    apart = apart.filter("lo < hi")
+    dealt, apart = grouped(m, "bucket", "rid", "lo < hi", lo=("min", "comp"), hi=("max", "comp"), size=("count", "*"), who=("sum", "cast(xxhash64(rid) AS decimal(38, 0))"))
     once = apart.groupBy("size", "who").agg(F.min("bucket").alias("bucket"))  # bands that hold the same members once
     apart = apart.join(once, ["size", "who", "bucket"], "left_semi").select("bucket", "salt", "size")
     open_ = staged(dealt.join(apart, ["bucket", "salt"]).drop("salt"), "open")

@@ -7,12 +7,11 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: A set of ids is broadcast only when it was counted to be at most this long (about 24 MB as a hash relation).
 BROADCAST_IDS = 1_000_000
-#: Parts that the rows of one group are dealt to.
-SALTS = 64
+#: Parts that the rows of one group are dealt to, as bits of a long.
+SALTS = 63
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,18 +59,33 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def grouped(rows: DataFrame, key: str, spread: str, **totals: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
+def _dealt(rows: DataFrame, spread: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+
+
+def _parts(salted: DataFrame, key: str, *totals) -> DataFrame:
+    """(key, totals, salts): one row a key, with one bit for each of its salts; partial sums go into the one shuffle."""
+    return salted.groupBy(key).agg(*totals, F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
+
+
+def _each_part(whole: DataFrame) -> DataFrame:
+    """A row for each bit of salts, whose number becomes salt."""
+    some = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts", i) == 1)
+    one = F.array(F.bit_count(F.col("salts") - 1))
+    salts = F.when(F.bit_count("salts") == 1, one).otherwise(some)
+    return whole.select("*", F.explode(salts).alias("salt")).drop("salts")
+
+
+def grouped(rows: DataFrame, key: str, spread: str, only: str | None = None, **totals: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
     """(rows with a salt, the totals of each group repeated for each of its salts); to be joined by key and salt.
 
-    totals: name=(min, max, sum or count, expression). A group's rows are dealt by spread to SALTS parts, here and in the
-    join, so that a group of any size is never one task's; a group has at most SALTS rows in the second frame.
+    totals: name=(min, max, sum or count, expression); only: a condition on them. A group's rows are dealt by spread to
+    SALTS parts, so that a group of any size is never one task's; a group has at most SALTS rows in the second frame.
     """
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    salted = _dealt(rows, spread)
     one = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
-    parts = salted.groupBy(key, "salt").agg(*(one[kind](F.expr(x)).alias(name) for name, (kind, x) in totals.items()))
-    whole = Window.partitionBy(key)
-    again = one | {"count": F.sum}
-    return salted, parts.select(key, "salt", *(again[kind](name).over(whole).alias(name) for name, (kind, _) in totals.items()))
+    whole = _parts(salted, key, *(one[kind](F.expr(x)).alias(name) for name, (kind, x) in totals.items()))
+    return salted, _each_part(whole.filter(only) if only else whole)
 
 
 @contextmanager
@@ -93,28 +107,32 @@ def small_side(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
 
 def spread_join(rows: DataFrame, side: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
     """rows joined with side(key, ...), one row a key: side's row goes to each of the at most SALTS parts of its key's rows."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    there = salted.select(key, "salt").distinct().join(side, key)
+    salted = _dealt(rows, spread)
+    there = _each_part(_parts(salted, key).join(side, key))
     return salted.join(there, [key, "salt"], how).drop("salt")
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every u has one v only, and no v is a u."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent"))
+    ends = ends.union(e.select("v", F.lit(0), F.lit(1))).groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+    return not ends.agg(F.max(F.expr("child > 1 or child > 0 and parent > 0"))).first()[0]
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest id reachable, for every node of an edge; alternating large-star and small-star.
 
-    Each round is written to the shared folder, the one before is then deleted; the loop ends when a round changes
-    nothing. Only two numbers a round reach the driver. The neighbours of a hub are dealt to many tasks.
+    Each round is written to the shared folder, the one before is then deleted; the loop ends when all components are
+    stars around their smallest id. One value a round reaches the driver. The neighbours of a hub are dealt to many tasks.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    e, seen = staged(e, "cc"), None
-    while True:
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen or not mark[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
-        seen = tuple(mark)
+    e = staged(e, "cc")
+    while not _stars(e):
         both, least = grouped(e.select("u", "v").union(e.select("v", "u")), "u", "v", m=("min", "v"))
-        large = both.join(least, ["u", "salt"]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = both.join(least, ["u", "salt"]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         dealt, least = grouped(large, "u", "v", m=("min", "v"))
-        small = dealt.join(least, ["u", "salt"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = staged(small.union(large.groupBy("u").agg(F.min("v").alias("v"))).distinct(), "cc")
+        other = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))  # u itself goes with its least neighbour
+        after = staged(dealt.join(least, ["u", "salt"]).select(other.alias("u"), F.col("m").alias("v")).distinct(), "cc")
         discard(e)
         e = after
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
