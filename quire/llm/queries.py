@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kneser_ney, language, license, minhash, mixing, pii, rules, vectors
+from . import bpe, exact, kneser_ney, language, license, minhash, mixing, pii, rules, vectors
 from .shared import table
 
 
@@ -55,7 +55,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney_quality, op2_quality_rules, op3_license_scan, op4_pii, op5_embedding_dedup, op6_minhash_dedup, op7_language_id, op8_bpe, op9_mixing, op10_token_counts)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_kneser_ney_quality, op2_quality_rules, op3_license_scan, op4_pii, op5_embedding_dedup, op6_minhash_dedup, op7_language_id, op8_bpe, op9_mixing, op10_token_counts, op11_exact_dedup)}
 
 _REACH = """
 reach(id, other) AS (SELECT a, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a)
@@ -83,5 +87,10 @@ links AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b W
 comp AS (SELECT id, least(id, min(other)) AS c FROM reach GROUP BY id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, d.doc_id = coalesce(c, d.doc_id) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON id = d.doc_id
+""",
+    "op11_exact_dedup": """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
 """,
 }
