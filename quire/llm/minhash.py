@@ -9,8 +9,10 @@ BANDS bands of ROWS slots find a pair with similarity 0.75 with probability 1 -
 a shared bucket whose estimated similarity is below ESTIMATE (six standard deviations under 0.75) are not fetched.
 
 Edge cases: null text or a text without words has an empty set and links with nothing; rows with equal word sequences
-form one class, whose smallest doc_id stands for it; rows without doc_id link with nothing, have no component and are
-kept; repeated rows are returned as often as they come; an empty table gives no rows; other columns are not read.
+form one class, a node of its own number whatever ids its rows have, so rows of one doc_id with different texts are linked
+each by its own text; a component has the smallest doc_id of all its rows; rows without doc_id link with nothing, have no
+component and are kept; repeated rows are returned as often as they come; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, discard, fresh, grouped, small_side, spread_join, staged
+from .shared import connected_components, discard, fresh, grouped, small_side, smallest, spread_join, staged
 from .words import chunks, lean, mix, shingle_sets, text_key
 
 SLOTS, ROWS, SHINGLE = 128, 4, 5
@@ -30,6 +32,8 @@ ESTIMATE = 0.5
 CHUNK = 500_000
 #: Members of a bucket that are compared at once.
 BLOCK = 1_024
+#: Classes whose ids and keys are broadcast at most, to fetch their texts, about 25 MB.
+WANTED = 300_000
 _U = np.uint64
 
 
@@ -104,13 +108,17 @@ def _signatures(batches):
 
 @lean
 def _sets(batches):
+    """The sets of the rows whose text is that of the class they were fetched for."""
     for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+        ids, keys, texts = batch.column("rid"), batch.column("text_key").to_pylist(), batch.column("text").to_pylist()
         for a, b in chunks([len(t or "") for t in texts], CHUNK):
-            sets = shingle_sets([(t or "").encode("utf-8", "replace").lower() for t in texts[a:b]], SHINGLE)
+            low = [(t or "").encode("utf-8", "replace").lower() for t in texts[a:b]]
+            own = [i for i, x in enumerate(low) if text_key(x) == keys[a + i]]
+            sets = shingle_sets([low[i] for i in own], SHINGLE)
             offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32))
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["rid", "shingles"])
+            rid = ids.take(pa.array([a + i for i in own], pa.int64()))
+            yield pa.RecordBatch.from_arrays([rid, pa.ListArray.from_arrays(offsets, pa.array(flat))], ["rid", "shingles"])
 
 
 def _estimate(x, y):
@@ -125,9 +133,13 @@ def _estimate(x, y):
     return F.pandas_udf(run, "double")(x, y)
 
 
-def _shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rid, shingles) of the documents with the given ids, from their whole texts."""
-    return docs.join(small_side(staged(ids, "ids")), "doc_id", "left_semi").mapInArrow(_sets, "rid long, shingles array<long>")
+def _shingles(docs: DataFrame, classes: DataFrame, rids: DataFrame, tag: str) -> DataFrame:
+    """(rid, shingles), staged, of the given classes, from the whole text of a row with the class's smallest doc_id."""
+    wanted = staged(classes.join(rids, "rid").select(F.col("least").alias("doc_id"), "rid", "text_key"), "ids")
+    sets = docs.join(small_side(wanted, WANTED), "doc_id").select("rid", "text_key", "text").mapInArrow(_sets, "rid long, shingles array<long>")
+    sets = staged(sets, tag)
+    discard(wanted)
+    return sets.dropDuplicates(["rid"])
 
 
 def _in_blocks(members: DataFrame, columns: list[str]):
@@ -186,13 +198,12 @@ def _joined(percent: int):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, sigs: DataFrame, percent: int, tag: str) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, sigs: DataFrame, percent: int, tag: str) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    one = lambda c: sigs.select(F.col("rid").alias(c), F.col("sig").alias(f"sig_{c}")).dropDuplicates([c])
+    one = lambda c: sigs.select(F.col("rid").alias(c), F.col("sig").alias(f"sig_{c}"))
     near = spread_join(pairs, one("a"), "a", "b").join(one("b"), "b").withColumn("est", _estimate("sig_a", "sig_b"))
     near = staged(near.filter(F.col("est") >= ESTIMATE).select("a", "b"), f"{tag}-near")
-    sets = _shingles(docs, near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
-    sets = staged(sets, f"{tag}-sets").dropDuplicates(["rid"])
+    sets = _shingles(docs, classes, near.select(F.col("a").alias("rid")).union(near.select("b")).distinct(), f"{tag}-sets")
     side = lambda c: sets.select(F.col("rid").alias(c), F.col("shingles").alias(f"s_{c}"))
     both = spread_join(near, side("a"), "a", "b").join(side("b"), "b")
     inter = F.size(F.array_intersect("s_a", "s_b"))
@@ -202,20 +213,25 @@ def _verified(docs: DataFrame, pairs: DataFrame, sigs: DataFrame, percent: int,
 
 def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of documents(doc_id, text)."""
+    return _judged(documents, percent).drop("text_key")
+
+
+def _judged(documents: DataFrame, percent: int) -> DataFrame:
+    """near_duplicates() with the key of each row's text."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = docs.mapInArrow(_signatures, "doc_id long, n_shingles long, text_key binary, bands array<long>, sig binary")
     base = staged(base, "sig")
-    classes = base.filter("text_key is not null and doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("rid"))
-    classes = staged(classes, "classes")
-    firsts = base.join(classes, (base.doc_id == classes.rid) & (base.text_key == classes.text_key), "left_semi")
-    firsts = staged(firsts.select(F.col("doc_id").alias("rid"), "n_shingles", "bands", "sig"), "firsts")
+    classes = base.filter("text_key is not null and doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("least"))
+    classes = staged(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
+    own = classes.withColumnRenamed("least", "doc_id")
+    firsts = staged(base.join(own, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("rid", "n_shingles", "bands", "sig"), "firsts")
     rows = firsts.select("rid", "n_shingles", F.explode("bands").alias("bucket"))
     rows, ends = grouped(rows, "bucket", "rid", "a < z", a=("min", "rid"), z=("max", "rid"))
     rows = staged(rows.join(ends.drop("z"), ["bucket", "salt"]).drop("salt"), "buckets")
 
     # Round 1: every member of a bucket against the bucket's first; so many pairs as members.
     stars = rows.filter("rid > a").select("a", F.col("rid").alias("b")).distinct()
-    links = staged(_verified(docs, stars, firsts, percent, "star"), "links")
+    links = staged(_verified(docs, classes, stars, firsts, percent, "star"), "links")
     found = connected_components(links)
 
     # Round 2: buckets whose other members are still apart. Members are compared in blocks within tasks; what leaves a
@@ -229,10 +245,10 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     open_ = staged(dealt.join(apart, ["bucket", "salt"]).drop("salt"), "open")
     discard(m)
     m = open_
-    sigs = firsts.select("rid", "sig").dropDuplicates(["rid"])
+    sigs = firsts.select("rid", "sig")
     near = _in_blocks(m.join(sigs, "rid"), ["bucket", "rid", "n_shingles", "comp", "sig"]).applyInPandas(_plausible(percent), "bucket long, rid long")
     near = staged(near.distinct(), "plausible")
-    sets = staged(_shingles(docs, near.select(F.col("rid").alias("doc_id")).distinct()), "rest-sets").dropDuplicates(["rid"])
+    sets = _shingles(docs, classes, near.select("rid").distinct(), "rest-sets")
     dealt, size = grouped(near, "bucket", "rid", size=("count", "*"))
     dealt = dealt.join(size, ["bucket", "salt"]).drop("salt")
     m = m.drop("size").join(dealt, ["bucket", "rid"]).join(sigs, "rid").join(sets, "rid")
@@ -241,22 +257,38 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     if not more.isEmpty():
         found = connected_components(found.toDF("a", "b").union(more))
 
-    classes = classes.join(found.withColumnRenamed("node", "rid"), "rid", "left")
+    classes = classes.join(smallest(found, classes.select(F.col("rid").alias("node"), "least")).withColumnRenamed("node", "rid"), "rid", "left")
     out = spread_join(base.select("doc_id", "n_shingles", "text_key"), classes, "text_key", "doc_id", "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rid", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "least", "doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_key")
+
+
+def _text_keys(texts):
+    import pandas as pd
+
+    return pd.Series([text_key((t or "").encode("utf-8", "replace").lower()) for t in texts], dtype=object)
 
 
 def deduplicated(documents: DataFrame, percent: int = 75) -> DataFrame:
-    """documents without the rows that near_duplicates() drops, and each (doc_id, text) once; all columns stay."""
-    found = staged(near_duplicates(documents, percent).select("doc_id", "kept"), "kept")
-    gone, twice = fresh(documents, "gone"), fresh(documents, "twice")
-    dropped = staged(found.filter("not kept").select(F.col("doc_id").alias(gone)).distinct(), "gone")
+    """documents without the rows that near_duplicates() drops, and each (doc_id, text) once; all columns stay.
+
+    Of a doc_id with several texts, the rows of those texts go that are dropped.
+    """
+    found = staged(_judged(documents, percent).select("doc_id", "kept", "text_key"), "kept")
+    gone, twice, part, of = (fresh(documents, c) for c in ("gone", "twice", "part", "of"))
+    by_id = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("lost"))
+    by_id = staged(by_id.filter("lost > 0 or kept > 1"), "by-id")
     key = F.col("doc_id").cast("long")
-    out = documents.join(small_side(dropped), key == F.col(gone), "left_anti")
-    many = found.filter("doc_id is not null and kept").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(twice))
-    many = staged(many, "twice")
+    out = documents.join(small_side(by_id.filter("kept = 0").select(F.col("doc_id").alias(gone))), key == F.col(gone), "left_anti")
+    mixed = by_id.filter("kept > 0 and lost > 0").select("doc_id")
+    if not mixed.isEmpty():
+        side = small_side(mixed.withColumnRenamed("doc_id", part))
+        lost = staged(found.filter("not kept").join(small_side(mixed), "doc_id", "left_semi").select(F.col("doc_id").alias(part), F.col("text_key").alias(gone)).distinct(), "lost")
+        some = out.join(side, key == F.col(part), "left_semi").withColumn(of, F.pandas_udf(_text_keys, "binary")(F.col("text").cast("string")))
+        some = some.join(lost, (key == F.col(part)) & F.col(of).eqNullSafe(F.col(gone)), "left_anti").drop(of)
+        out = out.join(side, key == F.col(part), "left_anti").unionByName(some)
     discard(found)
+    many = by_id.filter("kept > 1").select(F.col("doc_id").alias(twice))
     if many.isEmpty():
         return out
     side = small_side(many)

@@ -136,3 +136,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         discard(e)
         e = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+
+
+def smallest(found: DataFrame, of: DataFrame) -> DataFrame:
+    """(node, component_id): of connected_components() found, the smallest number least among of(node, least) in the component."""
+    own = found.join(of, "node")
+    own, least = grouped(own, "component", "node", component_id=("min", "least"))
+    return own.join(least, ["component", "salt"]).select("node", "component_id")

@@ -11,7 +11,8 @@ grows with the largest label up to CELLS_MOST; beyond that the blocks of a cell
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without label or vec_id,
 link with nothing and are kept (component_id is their own vec_id); vectors of unequal length don't link; repeated rows
-count as copies; an empty table gives no rows; other columns are not read.
+count as copies; rows of one vec_id with different vectors are linked each by its own vector, and a component has the
+smallest vec_id of all its rows; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, spread_join, staged
+from .shared import connected_components, smallest, spread_join, staged
 
 SAMPLE, ROUNDS, PER_CELL, CELLS_MOST, BLOCK, SEED = 20_000, 12, 4_096, 1_024, 2_048, 5
 
@@ -127,9 +128,10 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98, per_cell: int =
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = staged(rows.mapInArrow(_keyed, "vec_id long, label long, key binary, unit binary, dim int"), "vectors")
     full = rows.filter("key is not null")
-    classes = staged(full.groupBy("key").agg(F.min("vec_id").alias("rid"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit")), "classes")
+    classes = full.groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit"))
+    classes = staged(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
     most = classes.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("most")).collect()  # one row for each length of vectors
-    sample = classes.orderBy(F.xxhash64("rid"), "rid").select("dim", "unit").limit(SAMPLE).collect()
+    sample = classes.orderBy(F.xxhash64("key"), "key").select("dim", "unit").limit(SAMPLE).collect()
     centroids = {}
     for d, n in ((r["dim"], r["most"]) for r in most):
         own = [r["unit"] for r in sample if r["dim"] == d]
@@ -148,7 +150,8 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98, per_cell: int =
     found = staged(found, "links")
     comps = connected_components(found, "rid", "root")
     links = found.groupBy("rid").agg(F.sum("links").alias("links")).filter("links > 0")
-    each = classes.select("key", "rid", "n").join(links, "rid", "left").join(comps.withColumnRenamed("node", "rid"), "rid", "left")
+    named = smallest(comps, classes.select(F.col("rid").alias("node"), "least")).withColumnRenamed("node", "rid")
+    each = classes.select("key", "rid", "least", "n").join(links, "rid", "left").join(named, "rid", "left")
     out = spread_join(rows.select("vec_id", "key"), each, "key", "vec_id", "left")
-    out = out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).cast("long").alias("n_links"), F.coalesce("component", "rid", "vec_id").alias("component_id"))
+    out = out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).cast("long").alias("n_links"), F.coalesce("component_id", "least", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

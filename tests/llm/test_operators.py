@@ -433,3 +433,32 @@ def test_token_counts_of_unequal_scans_fail(spark):
     twice = documents(spark, ["1234567 moss"]).withColumn("doc_id", F.lit(None).cast("long")).withColumn("slot", F.lit(1))
     got = bpe.token_counts(twice.union(twice), tokenizer()).collect()
     assert len(got) == 2 and got[0] == got[1] and got[0]["n_tokens"] == len(bpe.encoder(tokenizer()).encode("1234567 moss"))
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """Rows, not ids, are linked: copies and near-copies of both texts of one doc_id."""
+    rng = random.Random(8)
+    a, b, c = (" ".join(rng.choice("abcdefghij") * 2 + str(rng.randint(0, 999)) for _ in range(100)) for _ in range(3))
+    rows = [(1, b), (1, a), (2, a + " one"), (3, b + " one"), (4, c), (5, c), (5, "quite other words here and now"), (0, a + " two"), (7, c + " x"), (7, c + " x"), (None, a), (8, None)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if t else set() for t, w in ((t, (t or "").split()) for _, t in rows)]
+    linked = lambda x, y: None not in (rows[x][0], rows[y][0]) and bool(sets[x]) and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])
+    comp = brute_components(len(rows), linked)
+    least = [None if i is None else min(rows[k][0] for k in range(len(rows)) if comp[k] == c and rows[k][0] is not None) for (i, _), c in zip(rows, comp, strict=True)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y") for i, t in rows], DOCS)
+    got = sorted(map(tuple, minhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted(((i, len(s), m, i is None or i == m) for (i, _), s, m in zip(rows, sets, least, strict=True)), key=str)
+    left = sorted(((r["doc_id"], r["text"]) for r in minhash.deduplicated(docs).collect()), key=str)
+    assert left == sorted({(i, t) for (i, t), m in zip(rows, least, strict=True) if i is None or i == m}, key=str)
+
+
+def test_vectors_of_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(2, 12))
+    near = lambda v: v + rng.normal(size=12) * 0.02
+    rows = [(1, x), (1, y), (2, near(x)), (3, near(y)), (4, x), (4, x), (0, near(y)), (9, rng.normal(size=12))]
+    unit = [v / np.linalg.norm(v) for _, v in rows]
+    linked = lambda a, b: a != b and unit[a] @ unit[b] >= 0.98
+    comp = brute_components(len(rows), linked)
+    want = [(i, sum(linked(k, j) for j in range(len(rows))), m, i == m) for k, (i, _) in enumerate(rows) for m in [min(rows[j][0] for j in range(len(rows)) if comp[j] == comp[k])]]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, vectors.near_duplicates(df, per_cell=2, block=2).collect())) == sorted(want)
