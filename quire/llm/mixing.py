@@ -6,13 +6,15 @@ statistics that DataFrame functions compute, among them the hits of a lexicon of
 
 Rates r >= 0 minimise  sum_k (sum_d w_d p_dk r_d - t_k)**2 / m_k + RIDGE sum_d w_d (r_d - 1)**2  where w_d is a document's
 share of all tokens, t_k the target share and m_k the share of domain k: expected token totals of the domains meet the
-targets with rates as near 1 as they can be. A projected-gradient step of length 1 / RIDGE takes r_d to
-max(low, 1 - p_d . c / RIDGE), and the minimum is its fixed point. At the minimum r_d = max(low, 1 - p_d . c / RIDGE), where c_k is the residual
-of domain k over m_k, so the fit looks for one number a domain. Steps of that length would overshoot; scaled by second
-derivatives (Newton steps, halved until the error falls) they need 4 scans where short plain steps need 95. A
-step is one scan of a staged narrow table with these numbers in the plan: no shuffle but a global sum, no state to lose,
-nothing that grows on the driver. low is 0 by default and rates have no upper bound. What RIDGE and soft posteriors leave
-unmet of a scarce domain's target stays unmet, as does the target of a domain that no document belongs to.
+targets with rates as near 1 as they can be. The gradient by r_d, over w_d, is p_d . c + RIDGE (r_d - 1), c_k being the
+residual of domain k over m_k; a projected-gradient step takes r_d to max(low, r_d - length * gradient). Lengths are
+spectral (Barzilai and Borwein), from 1 / (1 + RIDGE), which always lowers the error, to 1 / RIDGE; a step that leaves the
+error above the worst of the last MEMORY ones is shortened. A step is one scan of a staged narrow table, whose only
+results are six sums: no shuffle, nothing that grows on the driver. Rates are replayed from the steps (four numbers each)
+within the scan, and staged every REPLAYED steps. The rates given out are one last step of length 1 / RIDGE, which needs
+no earlier rates: max(low, 1 - p_d . c / RIDGE). low is 0 by default and rates have no upper bound. What RIDGE and soft
+posteriors leave unmet of a scarce domain's target stays unmet, as does the target of a domain that no document belongs
+to; attained() returns it by domain.
 
 Native: DataFrame functions only on the documents' path.
 
@@ -29,11 +31,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import discard, staged
 
 DOMAINS = ("clean", "toxic", "poor", "poor_toxic")
 TARGETS = {"clean": 0.9, "toxic": 0.04, "poor": 0.05, "poor_toxic": 0.01}
-SAMPLE, LEXICON, ROUNDS, RIDGE, TOLERANCE = 4_000, 24, 60, 0.02, 1e-6
+SAMPLE, LEXICON, RIDGE = 4_000, 24, 0.02
+#: Steps at most, the length of a step over its size at which the fit ends, errors looked back at, steps replayed in a scan.
+ROUNDS, TOLERANCE, MEMORY, REPLAYED = 80, 2e-6, 8, 8
 
 
 def _domain(labels: DataFrame) -> DataFrame:
@@ -98,6 +102,7 @@ def _posteriors(documents: DataFrame, labels: DataFrame, columns: list[str]) ->
     sample = staged(docs.join(F.broadcast(known), "doc_id"), "labelled")  # at most SAMPLE ids
     lexicon = _lexicon(sample)
     rows = sample.select("domain", *_features(lexicon)).select("domain", *(c.cast("double") for c in _numbers())).collect()
+    discard(sample)
     fitted = len({r[0] for r in rows}) > 1
     x, y = np.array([tuple(r)[1:] for r in rows], float), np.array([r[0] for r in rows], int)
     w, b = _fit(x, y) if fitted else (np.zeros((6, len(DOMAINS))), np.zeros(len(DOMAINS)))
@@ -110,40 +115,59 @@ def _posteriors(documents: DataFrame, labels: DataFrame, columns: list[str]) ->
     return staged(base.select(*columns, "tokens", *((v / total).alias(f"p_{d}") for d, v in zip(DOMAINS, e, strict=True))), "posteriors"), fitted
 
 
+def _stepped(rate: Column, c: np.ndarray, length: float, low: float | Column) -> Column:
+    """A projected-gradient step from rate."""
+    pull = sum((F.col(f"p_{d}") * F.lit(float(v * length)) for d, v in zip(DOMAINS, c, strict=True)), F.lit(0.0))
+    return F.greatest(F.lit(low), rate * F.lit(1 - length * RIDGE) + F.lit(length * RIDGE) - pull)
+
+
 def fit_rates(t: DataFrame, targets: dict[str, float], low: float | Column = 0.0) -> list[float]:
     """The scaled residuals that give the rates of the staged table t(tokens, p_<domain>...)."""
-    sums = t.agg(F.sum("tokens"), *(F.sum(F.col("tokens") * F.col(f"p_{d}")) for d in DOMAINS)).first()
+    masses = [F.col("tokens") * F.col(f"p_{d}") for d in DOMAINS]
+    sums = t.agg(F.sum("tokens"), *(F.sum(x) for x in masses)).first()
     if not sums[0]:
         return []
-    k = len(DOMAINS)
-    goal = np.array([targets[d] for d in DOMAINS])
-    scale = np.maximum(np.array(sums[1:], float) / sums[0], 1e-6)
-    p = [F.col("tokens") * F.col(f"p_{d}") for d in DOMAINS]
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-
-    def error(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How far c is from the residuals of its own rates, and the derivative of that by c."""
-        free = F.when(F.col("r") > low, 1.0).otherwise(0.0)
-        row = t.withColumn("r", _rate(c.tolist(), low)).agg(*(F.sum(x * F.col("r")) for x in p), *(F.sum(p[i] * F.col(f"p_{DOMAINS[j]}") * free) for i, j in pairs)).first()
-        slope = np.diag(-scale)
-        for (i, j), v in zip(pairs, row[k:], strict=True):
-            slope[i, j] -= v / sums[0] / RIDGE
-            slope[j, i] = slope[i, j]
-        return np.array(row[:k], float) / sums[0] - goal - scale * c, slope
-
-    c = np.zeros(k)
-    e, slope = error(c)
-    size, rounds = 1.0, 1
-    while np.abs(e).max() >= TOLERANCE and rounds < ROUNDS:
-        step = np.linalg.solve(slope, -e)
-        at = c + size * step
-        after, bend = error(at)
-        rounds += 1
-        if (after * after / scale).sum() < (e * e / scale).sum() or size < 1e-3:
-            c, e, slope, size = at, after, bend, 1.0
-        else:
-            size /= 2
-    return c.tolist()
+    total, goal = float(sums[0]), np.array([targets[d] for d in DOMAINS])
+    scale = np.maximum(np.array(sums[1:], float) / total, 1e-6)
+    rows, start, steps = t, F.greatest(F.lit(low), F.lit(1.0)), []
+
+    def scanned(last: tuple[np.ndarray, float] | None) -> tuple[np.ndarray, float, float]:
+        """Residuals and error behind the steps and the last one, and the square of the last one's size."""
+        rate = start
+        for c, length in steps:
+            rate = _stepped(rate, c, length, low)
+        at = rows.withColumn("old", rate).withColumn("new", _stepped(F.col("old"), *last, low) if last else F.col("old"))
+        off = F.sum(F.col("tokens") * (F.col("new") - 1) ** 2), F.sum(F.col("tokens") * (F.col("new") - F.col("old")) ** 2)
+        *mass, ridge, moved = (x / total for x in at.agg(*(F.sum(x * F.col("new")) for x in masses), *off).first())
+        e = np.array(mass) - goal
+        return e, float((e * e / scale).sum() + RIDGE * ridge), moved
+
+    e, error, _ = scanned(None)
+    short, long, length, errors = 1 / (1 + RIDGE), 1 / RIDGE, 1 / (1 + RIDGE), [error]
+    for _ in range(ROUNDS):
+        c = e / scale
+        after, error, moved = scanned((c, length))
+        while error > max(errors[-MEMORY:]) - 1e-4 * moved / length and length > short:
+            length = max(length / 4, short)
+            after, error, moved = scanned((c, length))
+        steps.append((c, length))
+        errors.append(error)
+        bend = float(((after - e) ** 2 / scale).sum()) + RIDGE * moved
+        e = after
+        if moved**0.5 / length < TOLERANCE:
+            break
+        length = min(max(moved / bend, short), long)
+        if len(steps) == REPLAYED:
+            rate = start
+            for c, n in steps:
+                rate = _stepped(rate, c, n, low)
+            kept = staged(rows.select("tokens", *(f"p_{d}" for d in DOMAINS), rate.alias("rate")), "rates")
+            if rows is not t:
+                discard(rows)
+            rows, start, steps = kept, F.col("rate"), []
+    if rows is not t:
+        discard(rows)
+    return (e / scale).tolist()
 
 
 def rates(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, low: float = 0.0) -> DataFrame:
@@ -162,6 +186,13 @@ def source_weights(mixture: DataFrame) -> DataFrame:
     return by.join(F.broadcast(total)).select("source", "tokens", "expected_tokens", (F.col("expected_tokens") / F.col("all")).alias("weight"))
 
 
+def attained(mixture: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """domain, target, before, share, residual: each domain's share of all tokens before and after, and what it misses."""
+    all_ = F.sum("tokens")
+    sums = [F.struct(F.lit(d).alias("domain"), F.lit(targets[d]).alias("target"), (F.sum(F.col("tokens") * F.col(f"p_{d}")) / all_).alias("before"), (F.sum(F.col("expected_tokens") * F.col(f"p_{d}")) / all_).alias("share")) for d in DOMAINS]
+    return mixture.agg(F.array(*sums).alias("d")).select(F.inline("d")).withColumn("residual", F.col("share") - F.col("target"))
+
+
 def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, low: float = 1.0, spare_clean: bool = False) -> DataFrame:
     """documents with each row repeated by its rate: the whole part, and one more with the rest as probability by hash.
 

@@ -310,19 +310,55 @@ def test_mixing_meets_targets(spark):
     assert mixing.rates(documents(spark, texts), labels.limit(0)).agg(F.min("rate"), F.max("rate")).first()[:] == (1.0, 1.0)
 
 
+def newton(p, w, goal, low):
+    """The exact minimum of the mixing objective, by Newton steps on the scaled residuals."""
+    mass, c = np.maximum(w @ p, 1e-6), np.zeros(4)
+
+    def error(c):
+        r = np.maximum(low, 1 - p @ c / mixing.RIDGE)
+        return (w * r) @ p - goal - mass * c, -np.diag(mass) - p.T @ (p * (w * (r > low) / mixing.RIDGE)[:, None])
+
+    for _ in range(500):
+        e, slope = error(c)
+        size, step = 1.0, np.linalg.solve(slope, -e)
+        while size > 1e-4 and (error(c + size * step)[0] ** 2 / mass).sum() > (e**2 / mass).sum():
+            size /= 2
+        c = c + size * step
+    return np.maximum(low, 1 - p @ c / mixing.RIDGE)
+
+
+@pytest.mark.parametrize("low", [0.0, "spare"])
+def test_mixing_fit_reaches_the_minimum(spark, low):
+    """Spectral projected-gradient steps against Newton's, with soft posteriors and rates at their bound."""
+    rng = np.random.default_rng(4)
+    shares = np.array([0.7, 0.12, 0.13, 0.05])
+    y = rng.choice(4, 3000, p=shares)
+    z = np.exp(rng.normal(size=(3000, 4)) + np.eye(4)[y] * 3 + np.log(shares))
+    p, tokens = z / z.sum(axis=1, keepdims=True), rng.integers(1, 2000, 3000)
+    t = spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(tokens, p, strict=True)], "tokens long, " + ", ".join(f"p_{d} double" for d in mixing.DOMAINS)).cache()
+    floor = 0.0 if low == 0.0 else F.when(F.col("p_clean") > 0.5, 1.0).otherwise(0.0)
+    c = mixing.fit_rates(t, mixing.TARGETS, floor)
+    want = newton(p, tokens / tokens.sum(), np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]), 0.0 if low == 0.0 else np.where(p[:, 0] > 0.5, 1.0, 0.0))
+    got = np.array([r[0] for r in t.select(mixing._rate(c, floor)).collect()])
+    assert np.abs(got - want).max() < 1e-3 and (want == 0).any()
+
+
 def test_mixing_reaches_scarce_targets_and_the_minimum(spark):
     # 4 of 400 documents are toxic: the target asks for ten times their share, so no cap on rates may bind
     texts = [" ".join(("house", "tree", "river")[(i * 7 + k * k) % 3] for k in range(50)) + (" moron" * 3 if i % 100 == 0 else "") for i in range(400)]
     labels = spark.createDataFrame([(i, 1, int(i % 100 == 0)) for i in range(400)], LABELS)
     goal = {"clean": 0.9, "toxic": 0.1, "poor": 0.0, "poor_toxic": 0.0}
-    m = mixing.rates(documents(spark, texts), labels, goal).collect()
+    mixture = mixing.rates(documents(spark, texts), labels, goal).cache()
+    m = mixture.collect()
     p, w = np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in m]), np.array([r["tokens"] for r in m], float)
     w /= w.sum()
-    rate, t, mass = np.array([r["rate"] for r in m]), np.array([goal[d] for d in mixing.DOMAINS]), np.maximum(w @ p, 1e-6)
+    rate, t = np.array([r["rate"] for r in m]), np.array([goal[d] for d in mixing.DOMAINS])
     got = (w * rate) @ p
     assert all(abs(x - goal[d]) <= 0.1 * goal[d] + 1e-3 for x, d in zip(got, mixing.DOMAINS, strict=True)) and rate.max() > 4
-    slope = p @ ((got - t) / mass) + mixing.RIDGE * (rate - 1)  # the objective's, by a document's rate
-    assert np.abs(slope[rate > 0]).max() < 1e-3 and (slope[rate == 0] > -1e-3).all()
+    assert np.abs(rate - newton(p, w, t, 0.0)).max() < 1e-3 * rate.max()
+    rows = {r["domain"]: r for r in mixing.attained(mixture, goal).collect()}
+    for k, d in enumerate(mixing.DOMAINS):
+        assert rows[d]["share"] == pytest.approx(got[k]) and rows[d]["before"] == pytest.approx((w @ p)[k]) and rows[d]["residual"] == pytest.approx(got[k] - goal[d])
 
 
 def test_pii_finds_addresses_of_many_digits(spark):
