@@ -1,6 +1,6 @@
 """Image bytes to arrays and back, for formats that need no codec beyond the standard library; others give an error.
 
-JPEG files are decoded by Spark's image source (sources.files.read_pixels); HEIC and WebP need an opener in OPENERS.
+Files of NATIVE formats are decoded by Spark's image source (sources.files.read_pixels); others need an opener in OPENERS.
 """
 
 from __future__ import annotations
@@ -91,10 +91,22 @@ def decode(data: bytes) -> np.ndarray:
     raise DecodeError("no opener for this format")
 
 
+def picture(content: bytes | None, pixels: bytes | None = None, height: int = 0, width: int = 0, channels: int = 0, turn: int = 1) -> np.ndarray:
+    """RGB array of rows of blue, green and red bytes as stored, or else of a file's content."""
+    if pixels is not None:
+        image = np.frombuffer(bytes(pixels), np.uint8).reshape(int(height), int(width), int(channels))
+        return transpose(np.repeat(image, 3, axis=2) if channels == 1 else image[:, :, 2::-1], int(turn))
+    if content is None:
+        raise DecodeError("corrupt or unreadable image file")
+    return decode(bytes(content))
+
+
 def orientation(data: bytes) -> int:
-    """The Exif orientation, 1 to 8, of a JPEG or PNG file; 1 if it has none."""
+    """The Exif orientation, 1 to 8, of the first bytes of a JPEG, PNG or TIFF file; 1 if they have none."""
     body = b""
-    if data[:2] == b"\xff\xd8":
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        body = data
+    elif data[:2] == b"\xff\xd8":
         at = 2
         while at + 4 <= len(data) and data[at] == 0xFF:
             kind, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]

@@ -6,24 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def pinned(df: DataFrame) -> DataFrame:
-    """df computed once and written to the shared checkpoint folder, so that whatever reads it sees the same partitions."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not own and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(own or "file:///tmp/checkpoints/quire")
-    return df.checkpoint()
+from .staging import staged
 
 
 def numbered(rows: DataFrame, order: str, top: DataFrame) -> DataFrame:
     """rows with an id: their rank by order behind the number in top(top), one row.
 
-    Rows are dealt to ranges of order and pinned; a range's ids start behind the rows of the ranges before it.
+    Rows are dealt to ranges of order and staged; a range's ids start behind the rows of the ranges before it.
     """
-    rows = pinned(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()))
+    rows = staged(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()), "numbered")
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = rows.groupBy("_part").count().select("_part", before.alias("_before"))  # one row a partition
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(order))

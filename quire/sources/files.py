@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import gzip
 import io
+import re
 import tarfile
 import zipfile
 
@@ -12,12 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, book_of, natural_key, stem, suffix, with_suffix
+from ..operators.imaging import encode_png, orientation, picture, thumbnail
+from ..operators.staging import small_side, staged
 
 #: File name endings of page images.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp", ".heic", ".heif")
 
-#: The same as a file name pattern, in any case.
-IMAGE_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s[1:]) for s in IMAGE_SUFFIXES) + "}"
+#: Those whose files browsers show, and those that Spark's image source decodes; the rest needs an opener.
+WEB_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp")
+NATIVE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff")
+
+
+def glob_of(suffixes: tuple[str, ...]) -> str:
+    """A file name pattern for suffixes in any case."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s[1:]) for s in suffixes) + "}"
+
+
+IMAGE_GLOB = glob_of(IMAGE_SUFFIXES)
+#: Bytes of a file in which its orientation is looked for.
+HEAD = 1 << 17
 
 
 def relative_to(root: str):
@@ -91,54 +105,91 @@ def scan_images(spark: SparkSession, root: str, book: str | None = None) -> Data
     return out.filter(~F.col("rel_path").startswith("."))
 
 
-def read_pixels(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, height, width, pixels, turn) of the images that Spark's own image source decodes (JPEG, PNG, BMP, GIF).
+def _files(spark: SparkSession, kind: str, root: str, suffixes: tuple[str, ...], paths: list[str] | None, **options) -> DataFrame | None:
+    """Files of the given suffixes under root, or those among paths; None if no path is left."""
+    reader = spark.read.format(kind).options(recursiveFileLookup=True, pathGlobFilter=glob_of(suffixes), **options)
+    if paths is None:
+        return reader.load(root)
+    own = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths if p.lower().endswith(suffixes)]  # a path is read as a pattern
+    return reader.option("ignoreMissingFiles", True).load(own) if own else None
 
-    pixels are rows of blue, green and red bytes as stored; turn is the Exif orientation, which that source leaves out.
-    Files that it can't decode come with null pixels.
-    """
-    from ..operators.imaging import orientation
 
+def read_pixels(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES, paths: list[str] | None = None) -> DataFrame:
+    """(file_path, content, pixels, height, width, nChannels, turn) of the images under root, or of paths below it.
+
+    JPEG, PNG, BMP and TIFF files are decoded by Spark's image source: pixels are rows of blue, green and red bytes as
+    stored, null if the file is corrupt; turn is the Exif orientation, which that source leaves out. Files of other
+    formats come with their content, for an opener. Pixels are not shuffled: the paths of turned images are broadcast,
+    if they are few enough.
+    """
     turned = F.pandas_udf(lambda heads: heads.map(lambda h: orientation(bytes(h))), "int")
-    read = lambda kind: spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_GLOB)
-    found = read("binaryFile").load(root).select("path", turned(F.substring("content", 1, 1 << 17)).alias("turn"))
-    i = read("image").option("dropInvalid", True).load(root).select("image.*")
-    i = i.select(F.col("origin").alias("path"), "height", "width", F.col("data").alias("pixels"), "nChannels")
-    clean = lambda c: F.regexp_replace(F.col(c), r"^file:/+", "file:/")
-    out = found.withColumn("path", clean("path")).join(i.withColumn("path", clean("path")), "path", "left")
-    return out.select(relative_to(root).alias("file_path"), "height", "width", "nChannels", "pixels", "turn")
+    clean = lambda c: F.regexp_replace(F.col(c), r"^file:/+", "file:/").alias("path")
+    columns = "path string, content binary, pixels binary, height int, width int, nChannels int, turn int"
+    native, other = (tuple(s for s in suffixes if (s in NATIVE_SUFFIXES) == own) for own in (True, False))
+    found = []
+    if native and (i := _files(spark, "image", root, native, paths, dropInvalid=False)) is not None:
+        origin = F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))  # that source gives paths as URLs
+        i = i.withColumn("origin", origin).select(clean("origin"), "image.height", "image.width", "image.nChannels", "image.data").select("path", "height", "width", "nChannels", F.when(F.col("height") > 0, F.col("data")).alias("pixels"))
+        heads = _files(spark, "binaryFile", root, native, paths).select(clean("path"), turned(F.substring("content", 1, HEAD)).alias("turn"))
+        turns = staged(heads.filter("turn > 1"), "turns")
+        i = i.join(small_side(turns), "path", "left").fillna(1, ["turn"])
+        found.append(i.select("path", F.lit(None).cast("binary").alias("content"), "pixels", "height", "width", "nChannels", "turn"))
+    if other and (rest := _files(spark, "binaryFile", root, other, paths)) is not None:
+        none = [F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in columns.split(", ")[2:])]
+        found.append(rest.select(clean("path"), "content", *none))
+    out = found[0].union(found[1]) if len(found) == 2 else found[0] if found else spark.createDataFrame([], columns)
+    return out.select(relative_to(root).alias("file_path"), "content", "pixels", "height", "width", "nChannels", "turn")
+
+
+_PICTURE = ("content", "pixels", "height", "width", "nChannels", "turn")
+
+
+def _as_png(pages: DataFrame, change=lambda image: image):
+    """A column of pages(content) or of read_pixels(): struct of the changed picture as a PNG, and the error if there is one."""
+
+    def run(frame):
+        import pandas as pd
+
+        out = []
+        for row in frame.itertuples(index=False, name=None):
+            try:
+                out.append((encode_png(change(picture(*row))), None))
+            except Exception as e:
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["png", "error_msg"])
+
+    return F.pandas_udf(run, "png binary, error_msg string")(F.struct(*(c for c in _PICTURE if c in pages.columns)))
 
 
 def covers(pages: DataFrame) -> DataFrame:
-    """(book, cover) for books of pages(book, filename, content): the first page that decodes, as a PNG of at most 400 x 600."""
-    from ..operators.assembly import number_pages
-    from ..operators.imaging import decode, encode_png, thumbnail
-
-    def run(data):
-        try:
-            return encode_png(thumbnail(decode(bytes(data))))
-        except ValueError:
-            return None
-
-    small = F.pandas_udf(lambda s: s.map(run), "binary")
-    first = number_pages(pages).filter("page_num = 1")
-    return first.select("book", small("content").alias("cover")).filter("cover is not null")
-
-
-def web_pages(pages: DataFrame) -> DataFrame:
-    """pages(..., filename, content) as browsers show them: web formats stay, what else decodes becomes PNG; else null."""
-    from ..operators.imaging import decode, encode_png
-
-    def run(data):
-        try:
-            return encode_png(decode(bytes(data)))
-        except ValueError:
-            return None
-
-    shown = suffix("filename").isin(".jpg", ".jpeg", ".png", ".webp")
-    other = F.pandas_udf(lambda s: s.map(run), "binary")
-    kept = pages.filter(shown)
-    return kept.unionByName(pages.filter(~shown).withColumn("content", other("content")).withColumn("filename", F.concat(stem("filename"), F.lit(".png"))))
+    """(book, cover) of pages(book, filename) with content or the columns of read_pixels(): the first page by number that
+    decodes, as a PNG of at most 400 x 600. Every page becomes a thumbnail where it is read; thumbnails are what is shuffled.
+    """
+    small = pages.withColumn("made", _as_png(pages, thumbnail)).filter("made.png is not null")
+    place = F.struct(natural_key("filename"), F.col("filename"))
+    return small.groupBy("book").agg(F.min_by("made.png", place).alias("cover"))
+
+
+def _made_pages(spark: SparkSession, root: str) -> DataFrame:
+    """(book, filename, content, error_msg) of the pages that browsers don't show, as PNG."""
+    found = read_pixels(spark, root, tuple(s for s in IMAGE_SUFFIXES if s not in WEB_SUFFIXES))
+    name = base_name("file_path")
+    shown = F.when(F.col("made.png").isNotNull(), F.concat(stem("file_path"), F.lit(".png"))).otherwise(name)
+    return found.withColumn("made", _as_png(found)).select(book_of("file_path").alias("book"), shown.alias("filename"), F.col("made.png").alias("content"), "made.error_msg")
+
+
+def web_pages(spark: SparkSession, root: str) -> DataFrame:
+    """(book, filename, content, error_msg) of the pages under root as browsers show them: web formats as they are, others
+    as PNG; what can't be read has its error instead of content."""
+    web = _files(spark, "binaryFile", root, WEB_SUFFIXES, None).select(relative_to(root).alias("file_path"), "content")
+    web = web.select(book_of("file_path").alias("book"), base_name("file_path").alias("filename"), "content", F.lit(None).cast("string").alias("error_msg"))
+    return web.union(_made_pages(spark, root))
+
+
+def cache_web_pages(spark: SparkSession, root: str, cache: str) -> int:
+    """<book>/<name>.png under cache for each page that browsers don't show; a second run writes the same files again."""
+    made = _made_pages(spark, root).filter("error_msg is null")
+    return _exported(made.select(F.concat("book", F.lit("/"), "filename").alias("name"), F.col("content").alias("data")), cache)
 
 
 def in_scan_order(scanned: DataFrame) -> DataFrame:

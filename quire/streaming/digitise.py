@@ -7,14 +7,12 @@ import time
 from collections.abc import Callable
 from typing import Protocol
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from ..functions.text import suffix
-from ..operators.imaging import DecodeError, decode, downscale, equalise, split_spread, transpose
-from ..sources.files import IMAGE_GLOB, IMAGE_SUFFIXES, relative_to, write_jsonl, write_texts
+from ..operators.imaging import downscale, equalise, picture, split_spread
+from ..sources.files import IMAGE_GLOB, read_pixels, write_jsonl, write_texts
 
 RESULT = "file_path string, success boolean, full_text string, lines array<struct<text: string, confidence: double, box: array<array<double>>>>, confidence double, processing_time_ms double, error_msg string"
 
@@ -62,18 +60,8 @@ class RetryingRecognizer:
 
 
 def digitise(images: DataFrame, make: Callable[[], Recognizer] = DigestRecognizer, split_double: bool = False, most: int = 2560, contrast: bool = False) -> DataFrame:
-    """Results of images(file_path, content) or of read_pixels(); the recogniser is made once a partition, an error becomes a failed row."""
-    decoded = "pixels" in images.columns
-    columns = ["file_path", "pixels", "height", "width", "nChannels", "turn"] if decoded else ["file_path", "content"]
-
-    def picture(row):
-        if not decoded:
-            return decode(bytes(row[1]))
-        _, data, h, w, n, turn = row
-        if data is None:
-            raise DecodeError("not an image that Spark decodes")
-        image = np.frombuffer(bytes(data), np.uint8).reshape(int(h), int(w), int(n))
-        return transpose(np.repeat(image, 3, axis=2) if n == 1 else image[:, :, 2::-1], int(turn))
+    """Results of images(file_path, content) or of read_images(); the recogniser is made once a partition, an error becomes a failed row."""
+    columns = [c for c in ("content", "pixels", "height", "width", "nChannels", "turn") if c in images.columns]
 
     def run(batches):
         import pandas as pd
@@ -81,10 +69,10 @@ def digitise(images: DataFrame, make: Callable[[], Recognizer] = DigestRecognize
         engine = make()
         for pdf in batches:
             rows = []
-            for row in pdf[columns].itertuples(index=False, name=None):
-                path, began = row[0], time.monotonic()
+            for path, *row in pdf[["file_path", *columns]].itertuples(index=False, name=None):
+                began = time.monotonic()
                 try:
-                    image = picture(row)
+                    image = picture(*row)
                     parts = split_spread(image) if split_double else [image]
                     texts = [engine.recognize(equalise(x) if contrast else x) for x in (downscale(p, most) for p in parts)]
                     if len(texts) == 2:
@@ -98,12 +86,11 @@ def digitise(images: DataFrame, make: Callable[[], Recognizer] = DigestRecognize
                     rows.append((path, False, "", [], 0.0, round((time.monotonic() - began) * 1000, 2), f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["file_path", "success", "full_text", "lines", "confidence", "processing_time_ms", "error_msg"])
 
-    return images.select(*columns).mapInPandas(run, RESULT)
+    return images.select("file_path", *columns).mapInPandas(run, RESULT)
 
 
-def read_images(spark: SparkSession, root: str) -> DataFrame:
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_GLOB).load(root)
-    return found.select(relative_to(root).alias("file_path"), "content")
+#: Images of a folder, decoded by Spark or else with their content; what a stream gives its batches.
+read_images = read_pixels
 
 
 def empty_results(scanned: DataFrame) -> DataFrame:
@@ -165,23 +152,25 @@ class Progress(StreamingQueryListener):
 def stream(spark: SparkSession, root: str, out: str, checkpoint: str, batch_size: int = 50, output: str = "both", more: list[Sink] = (), **options):
     """Digitise what is in root and not yet done, batch by batch; the checkpoint replays a batch that was cut off.
 
-    A batch is computed once and feeds all sinks, also those of more; each writes under the batch's number, so a replay
-    replaces and never repeats. Returns the running query; stop() pauses after the batch, a new call goes on behind it.
+    The stream itself carries paths only; those of a batch, at most batch_size, are read as read_images() reads a folder,
+    so that every format gives what it gives in a batch job; a file that is gone by then gives no result. A batch is
+    computed once and feeds all sinks, also those of more; each writes under the batch's number, so a replay replaces and
+    never repeats. Returns the running query; stop() pauses after the batch, a new call goes on behind it.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_GLOB).option("maxFilesPerTrigger", batch_size).load(root)
-    images = found.filter(suffix("path").isin(*IMAGE_SUFFIXES)).select(relative_to(root).alias("file_path"), "content")
     every = [*sinks(out, output), *more]
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
+        paths = [r["path"] for r in batch.collect()]
+        results = digitise(read_images(batch.sparkSession, root, paths=paths), **options).persist()
         try:
             for sink in every:
-                sink(batch, epoch)
+                sink(results, epoch)
         finally:
-            batch.unpersist()
+            results.unpersist()
 
-    return digitise(images, **options).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return found.select("path").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def in_background(job: Callable[[], object], failed: Callable[[Exception], None] | None = None):

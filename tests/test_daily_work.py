@@ -182,17 +182,72 @@ def test_image_formats_and_turns():
             imaging.decode(bad)
 
 
-def test_pixels_covers_and_web_pages(spark, tmp_path):
-    image = np.arange(40 * 30 * 3, dtype=np.uint8).reshape(40, 30, 3)
-    (tmp_path / "a").mkdir()
-    (tmp_path / "a/1.png").write_bytes(imaging.encode_png(image)), (tmp_path / "a/2.JPG").write_bytes(b"broken")
-    rows = {r["file_path"]: r for r in digitise.digitise(files.read_pixels(spark, str(tmp_path))).collect()}
-    plain = {r["file_path"]: r for r in digitise.digitise(digitise.read_images(spark, str(tmp_path))).collect()}
-    assert rows["a/1.png"]["full_text"] == plain["a/1.png"]["full_text"] and not rows["a/2.JPG"]["success"]
-    assert digitise.digitise(digitise.read_images(spark, str(tmp_path)), contrast=True).filter("success").count() == 1
-    pages = spark.createDataFrame([("a", "2.png", b"x"), ("a", "1.png", imaging.encode_png(np.zeros((1200, 800, 3), np.uint8)))], "book string, filename string, content binary")
-    assert imaging.decode(bytes(files.covers(pages).first()["cover"])).shape == (600, 400, 3)
-    assert {r["filename"] for r in files.web_pages(pages.withColumn("filename", F.regexp_replace("filename", "2.png", "2.tif"))).collect()} == {"1.png", "2.png"}
+def drawn(spark, path, kind, grey=False):
+    """A picture of 80 x 60 written by Java as jpg, png, bmp or tiff."""
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(80, 60, 10 if grey else 5)
+    for x in range(80):
+        for y in range(60):
+            image.setRGB(x, y, ((x * 3) << 16) | ((y * 4) << 8) | (128 if x < 40 else 7))
+    assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(str(path)))
+
+
+def turned(jpeg, turn):
+    """A JPEG file with an Exif orientation put in."""
+    tiff = b"MM\0*\0\0\0\x08" + struct.pack(">H", 1) + struct.pack(">HHIHH", 0x0112, 3, 1, turn, 0) + b"\0" * 4
+    return jpeg[:2] + b"\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff + jpeg[2:]
+
+
+def test_all_formats_in_batch_and_stream(spark, tmp_path):
+    root = tmp_path / "in"
+    (root / "a b[1]").mkdir(parents=True), (root / "t").mkdir()
+    for i, kind in enumerate(("jpg", "png", "bmp", "tiff"), 1):
+        drawn(spark, root / "a b[1]" / f"{i}.{kind}", kind)
+    drawn(spark, root / "a b[1]" / "5.TIF", "tiff", grey=True)
+    (root / "a b[1]" / "6.jpeg").write_bytes(turned((root / "a b[1]" / "1.jpg").read_bytes(), 6))
+    (root / "a b[1]" / "7.jpg").write_bytes(b"\xff\xd8 broken"), (root / "a b[1]" / "8.jpg").write_bytes(b""), (root / "a b[1]" / "9.heic").write_bytes(b"no opener")
+    (root / "t" / "1.tif").write_bytes(b"II*\0"), drawn(spark, root / "t" / "2.tif", "tiff")
+    batch = {r["file_path"]: r for r in digitise.digitise(digitise.read_images(spark, str(root))).collect()}
+    good = {p for p, r in batch.items() if r["success"]}
+    assert good == {f"a b[1]/{x}" for x in ("1.jpg", "2.png", "3.bmp", "4.tiff", "5.TIF", "6.jpeg")} | {"t/2.tif"}
+    assert set(batch) - good == {"a b[1]/7.jpg", "a b[1]/9.heic", "t/1.tif"}  # the empty file is empty_results()'s
+    assert len({batch[f"a b[1]/{x}"]["full_text"] for x in ("2.png", "3.bmp", "4.tiff")}) == 1
+    assert batch["a b[1]/6.jpeg"]["full_text"].startswith("60x80") and batch["a b[1]/1.jpg"]["full_text"].startswith("80x60")
+    told = []
+    digitise.stream(spark, str(root), str(tmp_path / "out"), str(tmp_path / "cp"), batch_size=3, more=[lambda b, n: told.append(b.count())]).awaitTermination(240)
+    rows = {r["file_path"]: r for r in spark.read.json(str(tmp_path / "out/jsonl")).collect()}
+    assert {k: v["text"] for k, v in rows.items()} == {k: v["full_text"] for k, v in batch.items()} and sum(told) == len(batch) and len(told) > 2
+    done = {r["file_path"]: r["success"] for r in spark.read.parquet(str(tmp_path / "out/results")).collect()}
+    assert done == {k: v["success"] for k, v in batch.items()}
+    png = digitise.digitise(spark.createDataFrame([("x", (root / "a b[1]/2.png").read_bytes())], "file_path string, content binary")).first()
+    assert png["full_text"] == batch["a b[1]/2.png"]["full_text"]
+
+
+def test_an_opener_for_another_format(spark, tmp_path, monkeypatch):
+    """Content of formats that Spark doesn't decode reaches the openers."""
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/1.webp").write_bytes(imaging.encode_png(np.full((3, 5, 3), 9, np.uint8)))
+    assert digitise.digitise(digitise.read_images(spark, str(tmp_path))).first()["full_text"].startswith("5x3")
+
+
+def test_covers_and_web_pages(spark, tmp_path):
+    for book in ("j", "t", "none"):
+        (tmp_path / "in" / book).mkdir(parents=True)
+    drawn(spark, tmp_path / "in/j/2.jpg", "jpg"), drawn(spark, tmp_path / "in/j/10.png", "png"), (tmp_path / "in/j/1.jpg").write_bytes(b"broken")
+    drawn(spark, tmp_path / "in/t/1.tiff", "tiff"), (tmp_path / "in/t/2.bmp").write_bytes(b"BM"), (tmp_path / "in/none/1.jpg").write_bytes(b"x")
+    pixels = files.read_pixels(spark, str(tmp_path / "in"))
+    pages = pixels.withColumns({"book": t.book_of("file_path"), "filename": t.base_name("file_path")})
+    got = {r["book"]: imaging.decode(bytes(r["cover"])) for r in files.covers(pages).collect()}
+    assert set(got) == {"j", "t"} and got["j"].shape == got["t"].shape == (60, 80, 3) and (got["j"] != got["t"]).any()  # 2.jpg, not 10.png
+    big = spark.createDataFrame([("a", "2.png", b"x"), ("a", "1.png", imaging.encode_png(np.zeros((1200, 800, 3), np.uint8)))], "book string, filename string, content binary")
+    assert imaging.decode(bytes(files.covers(big).first()["cover"])).shape == (600, 400, 3)
+    web = {(r["book"], r["filename"]): r for r in files.web_pages(spark, str(tmp_path / "in")).collect()}
+    assert set(web) == {("j", "1.jpg"), ("j", "2.jpg"), ("j", "10.png"), ("t", "1.png"), ("t", "2.bmp"), ("none", "1.jpg")}
+    assert bytes(web["j", "2.jpg"]["content"]) == (tmp_path / "in/j/2.jpg").read_bytes() and imaging.decode(bytes(web["t", "1.png"]["content"])).shape == (60, 80, 3)
+    assert web["t", "2.bmp"]["content"] is None and web["t", "2.bmp"]["error_msg"].startswith("DecodeError")
+    for _ in range(2):
+        assert files.cache_web_pages(spark, str(tmp_path / "in"), str(tmp_path / "cache")) == 1
+    assert (tmp_path / "cache/t/1.png").read_bytes() == bytes(web["t", "1.png"]["content"])
 
 
 def test_stream_replays_and_reports(spark, tmp_path):
