@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .functions import text as t
 from .functions import repair as fix
 from .operators import assembly, composites, layout, library, tasks as ops
+from .operators.staging import shared_dir
+from .operators.task_store import TaskStore
 from .sources import connectors, files
 from .plans.relations import BOOKS, SLUG, TASKS, books, conversation_pages, read, tasks
 
@@ -72,7 +76,7 @@ def reset_hanging(spark, d):
 
 @query(f"WITH {TASKS} SELECT id, CASE WHEN status = 'FAILED' THEN 'PENDING' ELSE status END AS status, CASE WHEN status <> 'FAILED' THEN error_msg END AS error_msg, confidence, CASE WHEN status = 'FAILED' THEN {_NOW} ELSE {_STAMP} END AS updated_at FROM tasks")
 def retry_failed(spark, d):
-    return ops.retry_failed(stamped(tasks(spark, d)), now()).select("id", "status", "error_msg", "confidence", "updated_at")
+    return ops.retry_failed(stamped(tasks(spark, d)), None, now()).select("id", "status", "error_msg", "confidence", "updated_at")
 
 
 @query(f"WITH {TASKS}, r AS (SELECT file_path, id % 2 = 0 AS ok, id / 7.0::DOUBLE AS ms FROM tasks WHERE status = 'IN_PROGRESS') SELECT t.id, CASE WHEN r.ok IS NULL THEN status WHEN r.ok THEN 'DONE' ELSE 'FAILED' END AS status, CASE WHEN r.ok IS NULL THEN processing_time_ms ELSE ms END AS processing_time_ms, CASE WHEN r.ok IS NULL THEN {_STAMP} ELSE {_NOW} END AS updated_at FROM tasks t LEFT JOIN r USING (file_path)")
@@ -82,6 +86,27 @@ def apply_results(spark, d):
     return ops.apply_results(every, r.union(r.withColumn("success", ~F.col("success")).withColumn("seq", F.lit(0))), now()).select("id", "status", "processing_time_ms", "updated_at")
 
 
+@query(f"""WITH {TASKS}, old AS (SELECT * FROM tasks WHERE status <> 'FAILED'),
+s0 AS (SELECT id, file_path, file_size, status, confidence FROM old UNION ALL SELECT row_number() OVER (ORDER BY file_path) + (SELECT max(id) FROM old), file_path, file_size, 'PENDING', NULL FROM tasks WHERE status = 'FAILED'),
+c1 AS (SELECT id FROM s0 WHERE status = 'PENDING' ORDER BY id LIMIT 50),
+s1 AS (SELECT id, file_path, file_size, CASE WHEN id NOT IN (SELECT id FROM c1) THEN status WHEN id % 2 = 0 THEN 'DONE' ELSE 'FAILED' END AS status, CASE WHEN id IN (SELECT id FROM c1) THEN 0.9::DOUBLE ELSE confidence END AS confidence FROM s0),
+c2 AS (SELECT id FROM s1 WHERE status = 'PENDING' AND starts_with(file_path, 'src2/') ORDER BY id LIMIT 30)
+SELECT id, file_path, file_size, confidence, CASE WHEN id IN (SELECT id FROM c2) THEN CASE WHEN starts_with(file_path, 'src2/') THEN 'IN_PROGRESS' END
+ WHEN status = 'FAILED' AND starts_with(file_path, 'src1/') OR status = 'IN_PROGRESS' AND starts_with(file_path, 'src3/') THEN 'PENDING' ELSE status END AS status FROM s1""")
+def task_store_session(spark, d):
+    """A store of the known tasks: register, claim, apply, claim of a book, retry and reset, read back."""
+    every = tasks(spark, d)
+    store = TaskStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", most_changes=3)
+    known = every.filter("status <> 'FAILED'").withColumns({c: now() for c in ("created_at", "updated_at")})
+    store.restore(known)
+    store.register(every.select("file_path", "file_size"), now())
+    taken = store.claim(50, None, now()).join(store.tasks().select("file_path", "id"), "file_path")
+    store.apply(taken.select("file_path", (F.col("id") % 2 == 0).alias("success"), F.lit(0.9).alias("confidence"), F.lit(1.0).alias("processing_time_ms"), F.lit(None).cast("string").alias("error_msg")), now())
+    store.claim(30, "src2", now())
+    store.retry_failed("src1", now()), store.reset_hanging("src3", now())
+    return store.tasks().select("id", "file_path", "file_size", "confidence", "status")
+
+
 @query(f"WITH {TASKS} SELECT file_path, file_size AS file_size_bytes, error_msg AS error_message, {_STAMP} AS timestamp FROM tasks WHERE status = 'FAILED'")
 def failed_report(spark, d):
     return ops.failed_report(stamped(tasks(spark, d)))

@@ -67,6 +67,6 @@ def restore(books: DataFrame, manifest: DataFrame, now: Column | None = None) ->
 
 def retry_run(known: DataFrame, run, book: str | None = None, now: Column | None = None) -> DataFrame:
     """tasks after the failed rows were set back and run(tasks to do) gave results(file_path, success, ...) for them."""
-    again = tasks.retry_failed(known, now)
+    again = tasks.retry_failed(known, None, now)
     todo = tasks.pending(again.join(tasks.in_book(known.filter("status = 'FAILED'"), book).select("id"), "id", "left_semi"))
     return tasks.apply_results(again, run(todo), now)

@@ -1,6 +1,7 @@
 """The task relation: register, claim, apply results, reset, retry and statistics, as functions of snapshots.
 
-Parquet has no update in place: every mutation maps a snapshot and a delta to the next snapshot.
+Parquet has no update in place: every mutation maps a snapshot and a delta to the next snapshot. task_store keeps
+snapshots and writes only the rows that change.
 """
 
 from __future__ import annotations
@@ -26,15 +27,20 @@ def _touched(tasks: DataFrame, changed, now) -> dict:
     return {"updated_at": F.when(changed, F.current_timestamp() if now is None else now).otherwise(F.col("updated_at"))}
 
 
-def register(tasks: DataFrame, found: DataFrame, now=None) -> DataFrame:
-    """tasks and the files of found(file_path, file_size) that aren't in it, PENDING, numbered in order of path."""
+def new_tasks(tasks: DataFrame, found: DataFrame, now=None) -> DataFrame:
+    """The files of found(file_path, file_size) that aren't in tasks, PENDING, numbered in order of path behind its ids."""
     new = found.join(tasks.select("file_path"), "file_path", "left_anti").groupBy("file_path").agg(F.min("file_size").alias("file_size"))
     new = numbered(new, "file_path", tasks.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))
     new = new.withColumn("status", F.lit("PENDING"))
     for c in ("created_at", "updated_at"):
         if c in tasks.columns:
             new = new.withColumn(c, F.current_timestamp() if now is None else now)
-    return tasks.unionByName(new, allowMissingColumns=True)
+    return new
+
+
+def register(tasks: DataFrame, found: DataFrame, now=None) -> DataFrame:
+    """tasks and the new tasks of found."""
+    return tasks.unionByName(new_tasks(tasks, found, now), allowMissingColumns=True)
 
 
 def pending(tasks: DataFrame, limit: int | None = None, book: str | None = None) -> DataFrame:
@@ -57,6 +63,12 @@ def claim(tasks: DataFrame, limit: int, book: str | None = None, now=None) -> tu
     return taken.select("file_path", "file_size"), after.select(*tasks.columns)
 
 
+def claimed(tasks: DataFrame, limit: int, book: str | None = None, now=None) -> DataFrame:
+    """The first PENDING rows by id, IN_PROGRESS."""
+    taken = in_book(tasks.filter("status = 'PENDING'"), book).orderBy("id").limit(limit)
+    return taken.withColumns({"status": F.lit("IN_PROGRESS"), **_touched(tasks, F.lit(True), now)})
+
+
 def apply_results(tasks: DataFrame, results: DataFrame, now=None) -> DataFrame:
     """DONE or FAILED with the metrics of the last result of each path (by seq, if there is one)."""
     seq = F.col("seq") if "seq" in results.columns else F.lit(0)
@@ -74,8 +86,9 @@ def reset_hanging(tasks: DataFrame, book: str | None = None, now=None) -> DataFr
     return tasks.withColumns({"status": F.when(hanging, "PENDING").otherwise(F.col("status")), **_touched(tasks, hanging, now)})
 
 
-def retry_failed(tasks: DataFrame, now=None) -> DataFrame:
-    failed = F.col("status") == "FAILED"
+def retry_failed(tasks: DataFrame, book: str | None = None, now=None) -> DataFrame:
+    here = F.lit(True) if book is None else F.col("file_path").startswith(f"{book}/") | F.col("file_path").startswith(f"{book}\\")
+    failed = (F.col("status") == "FAILED") & here
     return tasks.withColumns({**_touched(tasks, failed, now), "status": F.when(failed, "PENDING").otherwise(F.col("status")), "error_msg": F.when(failed, None).otherwise(F.col("error_msg"))})
 
 
