@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import base_name, book_of, natural_key, stem, suffix, with_suffix
 from ..operators.imaging import encode_png, orientation, picture, thumbnail
 from ..operators.staging import small_side, staged
+from .stores import Opener, export, known, listed, opened
 
 #: File name endings of page images.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp", ".heic", ".heif")
@@ -35,72 +36,24 @@ HEAD = 1 << 17
 
 
 def relative_to(root: str):
-    clean = root.rstrip("/")
+    clean = re.sub(r"^file:/+", "/", root).rstrip("/")
     path = F.regexp_replace(F.col("path"), r"^file:/+", "/")
     return F.when(path.startswith(clean + "/"), F.substring(path, len(clean) + 2, 1 << 30)).otherwise(path)
 
 
-def _listed(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length) of all files under root, empty ones too, listed by folders in tasks; a missing root has none.
-
-    Folders are listed level by level: the driver keeps folder names only, and the files of a folder are read in the
-    task that lists it. Spark's own file sources leave out empty files.
-    """
-    sc = spark.sparkContext
-    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(root)
-    fs = at.getFileSystem(conf)
-    schema = "path string, length long"
-    if not fs.exists(at):
-        return spark.createDataFrame([], schema)
-    full = fs.resolvePath(at)
-    if not full.toString().startswith("file:"):
-        # A store without a local path: binaryFile lists it in tasks; empty objects come from one recursive listing.
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(full.toString()).select("path", "length")
-        empty, it = [], fs.listFiles(full, True)
-        while it.hasNext():
-            f = it.next()
-            if f.getLen() == 0:
-                empty.append((f.getPath().toString(), 0))
-        return found.union(spark.createDataFrame(empty, schema)) if empty else found
-    top = full.toUri().getPath()
-    folders = [str(f) for f in _subfolders(top)]
-
-    def run(batches):
-        import os
-
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for folder, deep in zip(pdf["folder"], pdf["deep"], strict=True):
-                for here, _, names in os.walk(folder):
-                    for n in names:
-                        try:
-                            rows.append((os.path.join(here, n), os.path.getsize(os.path.join(here, n))))
-                        except OSError:
-                            continue
-                    if not deep:
-                        break
-            yield pd.DataFrame(rows, columns=["path", "length"])
-
-    todo = [(top, False), *((f, True) for f in folders)]
-    return spark.createDataFrame(todo, "folder string, deep boolean").repartition(min(len(todo), 200)).mapInPandas(run, schema)
+def _listed(spark: SparkSession, root: str, opener: Opener = opened) -> DataFrame:
+    """(path, length) of all files under root. Stores that only Spark reaches are listed by it, without empty files."""
+    if known(root, opener):
+        return listed(spark, root, opener)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
 
 
-def _subfolders(top: str) -> list[str]:
-    import os
-
-    with os.scandir(top) as found:
-        return sorted(f.path for f in found if f.is_dir())
-
-
-def scan_images(spark: SparkSession, root: str, book: str | None = None) -> DataFrame:
+def scan_images(spark: SparkSession, root: str, book: str | None = None, opener: Opener = opened) -> DataFrame:
     """(rel_path, size) of page images under root or one book; content is never read, empty files are listed too.
 
     in_scan_order() gives the order of reading.
     """
-    found = _listed(spark, root if book is None else f"{root.rstrip('/')}/{book}")
+    found = _listed(spark, root if book is None else f"{root.rstrip('/')}/{book}", opener)
     out = found.filter(suffix("path").isin(*IMAGE_SUFFIXES)).select(relative_to(root).alias("rel_path"), F.col("length").alias("size"))
     return out.filter(~F.col("rel_path").startswith("."))
 
@@ -189,7 +142,7 @@ def web_pages(spark: SparkSession, root: str) -> DataFrame:
 def cache_web_pages(spark: SparkSession, root: str, cache: str) -> int:
     """<book>/<name>.png under cache for each page that browsers don't show; a second run writes the same files again."""
     made = _made_pages(spark, root).filter("error_msg is null")
-    return _exported(made.select(F.concat("book", F.lit("/"), "filename").alias("name"), F.col("content").alias("data")), cache)
+    return export(made.select(F.concat("book", F.lit("/"), "filename").alias("name"), F.col("content").alias("data")), cache)
 
 
 def in_scan_order(scanned: DataFrame) -> DataFrame:
@@ -333,43 +286,34 @@ def write_jsonl(results: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def export_texts(results: DataFrame, root: str, mirror: bool = True) -> int:
-    """One .txt a page under root, in the page's folders or flat; written in tasks through pyarrow's file systems.
-
-    Rewriting a page gives the same file, so a repeated task does no harm. Returns the number of pages.
-    """
+    """One .txt a page under root, in the page's folders or flat; returns the number of pages."""
     name = with_suffix("file_path", ".txt")
-    return _exported(results.select((name if mirror else with_suffix(base_name("file_path"), ".txt")).alias("name"), F.encode(F.coalesce("full_text", F.lit("")), "UTF-8").alias("data")), root)
+    return export(results.select((name if mirror else with_suffix(base_name("file_path"), ".txt")).alias("name"), F.encode(F.coalesce("full_text", F.lit("")), "UTF-8").alias("data")), root)
 
 
 def export_merged(merged: DataFrame, root: str) -> int:
     """<book>.txt under root for every row of merged(book, text)."""
-    return _exported(merged.select(F.concat("book", F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("data")), root)
+    return export(merged.select(F.concat("book", F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("data")), root)
 
 
 def export_archives(archives: DataFrame, root: str) -> int:
     """<book>_package.zip under root for every row of archives(book, archive)."""
-    return _exported(archives.select(F.concat("book", F.lit("_package.zip")).alias("name"), F.col("archive").alias("data")), root)
+    return export(archives.select(F.concat("book", F.lit("_package.zip")).alias("name"), F.col("archive").alias("data")), root)
 
 
-def _exported(files: DataFrame, root: str) -> int:
-    def run(batches):
-        import posixpath
-
-        import pandas as pd
-        from pyarrow import fs
+def export_dataset(books: DataFrame, texts: DataFrame, covers: DataFrame, root: str, limit: int = 1000) -> int:
+    """<slug>/<slug>.txt, <slug>/cover.png and <slug>/metadata.json of every book, and the manifest; how many files.
 
-        store, top = fs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
-        for pdf in batches:
-            for name, data in zip(pdf["name"], pdf["data"], strict=True):
-                at = posixpath.normpath(posixpath.join(top, name.replace("\\", "/").lstrip("/")))
-                if not at.startswith(top.rstrip("/") + "/"):
-                    raise ValueError(f"{name} leaves {root}")
-                store.create_dir(posixpath.dirname(at), recursive=True)
-                with store.open_output_stream(at) as f:
-                    f.write(data)
-            yield pd.DataFrame({"n": [len(pdf)]})
-
-    return files.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    texts(title, text) and covers(slug, cover) may lack books. Returns the number of files without the manifest.
+    """
+    slug = F.col("slug")
+    own = books.filter("slug is not null")
+    meta = own.select(F.concat(slug, F.lit("/metadata.json")).alias("name"), F.encode(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"}), "UTF-8").alias("data"))
+    text = own.select("slug", "title").join(texts, "title").select(F.concat(slug, F.lit("/"), slug, F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("data"))
+    cover = own.select("slug").join(covers, "slug").select(F.concat(slug, F.lit("/cover.png")).alias("name"), F.col("cover").alias("data"))
+    n = export(meta.union(text).union(cover), root)
+    export_manifest(books, f"{root.rstrip('/')}/library_manifest.json", limit)
+    return n
 
 
 def read_outputs(spark: SparkSession, root: str) -> DataFrame:
