@@ -149,19 +149,22 @@ class Progress(StreamingQueryListener):
         self.callback({"batch": batch, "rows": rows, "done": self.done, "rate": round(rate, 2), "seconds_left": left})
 
 
-def stream(spark: SparkSession, root: str, out: str, checkpoint: str, batch_size: int = 50, output: str = "both", more: list[Sink] = (), **options):
+def stream(spark: SparkSession, root: str, out: str, checkpoint: str, batch_size: int = 50, output: str = "both", more: list[Sink] = (), before: Callable[[int], None] | None = None, **options):
     """Digitise what is in root and not yet done, batch by batch; the checkpoint replays a batch that was cut off.
 
     The stream itself carries paths only; those of a batch, at most batch_size, are read as read_images() reads a folder,
     so that every format gives what it gives in a batch job; a file that is gone by then gives no result. A batch is
     computed once and feeds all sinks, also those of more; each writes under the batch's number, so a replay replaces and
-    never repeats. Returns the running query; stop() pauses after the batch, a new call goes on behind it.
+    never repeats. before is called with the number of each batch before it begins; what it raises ends the query, and a
+    new call begins with that batch. Returns the running query.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_GLOB).option("maxFilesPerTrigger", batch_size).load(root)
     every = [*sinks(out, output), *more]
 
     def write(batch: DataFrame, epoch: int) -> None:
+        if before:
+            before(epoch)
         paths = [r["path"] for r in batch.collect()]
         results = digitise(read_images(batch.sparkSession, root, paths=paths), **options).persist()
         try:
