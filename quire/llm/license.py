@@ -5,19 +5,23 @@ notice wrapped over lines is one paragraph. Words of capitals only keep their ca
 lower-cased; the features are the words and word pairs of a paragraph.
 
 Classes are the licence families, `unknown` (a notice of another licence) and other text. The model scores paragraphs
-that hold one of CUES; any other paragraph has no feature and is other text. Weights are fitted on the driver, by
+that hold CUE, in any case; any other paragraph has no feature and is other text. Weights are fitted on the driver, by
 proximal gradient steps with an L1 penalty, to generated notices (OPENERS x names in three casings, TEMPLATES, alone and
-within corpus text), notices of licences outside the families, and up to NEGATIVES corpus paragraphs that hold a cue and
-aren't notices (`looks_like_notice`). These are the confusing ones, as German prose with `mit` once was. The driver gets
-the n-grams they share with the notices, never texts.
+within corpus text), notices and opening sentences of licences outside the families, and up to NEGATIVES different corpus
+paragraphs that hold a cue and aren't notices (`looks_like_notice`). These are the confusing ones, as German prose with
+`mit` once was. The driver gets the n-grams they share with the notices, never texts.
+
+Templates are the names and opening sentences of the families, as sets of word pairs. A paragraph that holds a whole
+template gives its family a prior: BOOST-fold steps are added to its logit, as many as fit the left-out rows best.
 
 Calibration: in FOLDS rounds the names of one fold, a fold of the outside licences and one of the negatives are left
-out; from the logits of left-out rows come the temperature and the bar, the least probability that gives a family to at
-most 2 % of notices of licences the model has never seen. The final fit takes all rows. A paragraph that isn't other text
-is `unknown` unless its best family's probability reaches the bar and at least CONFIRM of the word pairs of one of the
-family's templates occur in it. A name of one word confirms nothing unless an opener's word stands before it.
+out of the fit; from the logits of left-out rows come the prior, the temperature and the bar, the least probability that
+gives a family to at most 2 % of notices of licences the model has never seen. The final fit takes all rows. A paragraph
+that isn't other text is `unknown` unless its best family's probability reaches the bar and at least CONFIRM of the word
+pairs of one of the family's templates occur in it. A name of one word confirms nothing unless an opener's word stands
+before it or `licensed` behind it, and `the` before it confirms without giving a prior.
 
-Plan: two scans, each with a search for CUES; no shuffle but the top NEGATIVES hashes, no Python.
+Plan: two scans, each with a search for CUE; no shuffle but the hashes of paragraphs with a cue, no Python.
 
 Edge cases: null or empty text has no paragraph; repeated rows are returned as often as they come; rows without doc_id
 keep it null; an empty corpus leaves the generated rows; very long texts are scored whole; of equal logits the family
@@ -34,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NEGATIVES, ROUNDS, RATE, LASSO, CONFIRM, FOLDS, UNSEEN, SEED = 2_000, 240, 2.0, 1e-4, 0.5, 4, 0.02, 3
+#: Priors that calibration chooses from, as logits.
+BOOSTS = (0.0, 1.0, 2.0, 3.0, 4.0, 6.0, 8.0)
 
 #: Public names of licences.
 NAMES = {
@@ -44,10 +50,10 @@ NAMES = {
     "lgpl": ("GNU Lesser General Public License", "GNU LGPL v2.1", "LGPL-3.0", "LGPLv3"),
     "agpl-3.0": ("GNU Affero General Public License", "AGPL-3.0", "GNU AGPL v3", "AGPLv3"),
     "mpl-2.0": ("Mozilla Public License, v. 2.0", "MPL-2.0", "Mozilla Public License 2.0", "MPL 2.0"),
-    "bsd": ("BSD 3-Clause License", "BSD license", "BSD-2-Clause", "New BSD License"),
+    "bsd": ("BSD 3-Clause License", "BSD license", "BSD-2-Clause", "New BSD License", "BSD"),
     "cc-by": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License", "CC-BY-4.0", "Creative Commons Attribution License"),
-    "cc-by-sa": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 License", "CC-BY-SA-3.0", "CC BY-SA"),
-    "cc-by-nc": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 License", "CC-BY-NC-4.0", "CC BY-NC"),
+    "cc-by-sa": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 License", "CC-BY-SA-3.0", "CC BY-SA", "Creative Commons Attribution-ShareAlike License"),
+    "cc-by-nc": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 License", "CC-BY-NC-4.0", "CC BY-NC", "Creative Commons Attribution-NonCommercial License"),
     "cc0": ("CC0 1.0 Universal", "CC0 Public Domain Dedication", "CC0-1.0", "the public domain under CC0"),
     "all-rights-reserved": ("All rights reserved", "All rights are reserved", "All rights reserved by the authors", "All other rights reserved"),
 }
@@ -63,12 +69,23 @@ TEMPLATES = {
     "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
 }
 #: Public names of licences outside the families, for the class `unknown` and its calibration.
-OUTSIDE = ("ISC License", "zlib License", "Eclipse Public License 2.0", "Boost Software License 1.0", "Artistic License 2.0", "European Union Public Licence 1.2", "SIL Open Font License 1.1", "Microsoft Public License", "Open Database License", "Academic Free License v3.0", "Common Development and Distribution License", "PostgreSQL License", "Python Software Foundation License", "Universal Permissive License", "Mulan Permissive Software License v2", "Acme Community License", "Zorbat Research License", "Foo Bar Evaluation License", "Standard Corpus Licence", "Example Data Use License 3")
-OPENERS = ("Licensed under {}.", "Released under the {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}.", "This file is available under the {}.", "Published under {}", "License: {}", "SPDX-License-Identifier: {}", "{}", "Copyright 2021 the authors, {}", "The text may be used under {}.", "Use of this software is governed by the {}.")
+OUTSIDE = ("ISC License", "zlib License", "Eclipse Public License 2.0", "Boost Software License 1.0", "Artistic License 2.0", "European Union Public Licence 1.2", "SIL Open Font License 1.1", "Microsoft Public License", "Open Database License", "Academic Free License v3.0", "Common Development and Distribution License", "PostgreSQL License", "Python Software Foundation License", "Universal Permissive License", "Mulan Permissive Software License v2", "Acme Community License", "Zorbat Research License", "Foo Bar Evaluation License", "Standard Corpus Licence", "Example Data Use License 3", "Open Data Commons Attribution License", "Open Government Licence", "Unlicense", "Blue Oak Model License 1.0.0")
+#: Public opening sentences of licences outside the families.
+OUTSIDE_TEXTS = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+)
+OPENERS = ("Licensed under {}.", "Released under the {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}.", "This file is available under the {}.", "Published under {}", "License: {}", "SPDX-License-Identifier: {}", "{}", "Copyright 2021 the authors, {}", "The text may be used under {}.", "Use of this software is governed by the {}.", "Content is available under the {}.", "The code is {} licensed.")
 #: Ordinary sentences with cues.
 ORDINARY = ("the driver lost his license after the accident", "copyright law in the public domain of science", "a license to operate the plant was granted by the city", "the redistribution of land among the poor", "the Apache and the Mozilla teams met at MIT", "permission is needed to enter the building", "this version is available under the counter", "a book published under her own name", "the album was released under the title of the work", "the state is governed by the law", "GNU is an antelope", "the fishing licence of version 2 and part 3", "creative commons of the village", "all licenses were revoked", "BSD and GPL are words of this text", "the rights reserved for members of the house")
-#: Parts of words without one of which a paragraph is other text, and with none a generated notice isn't used.
-CUES = ("icen", "ICEN", "GPL", "gpl", "MIT", "pache", "MPL", "BSD", "CC", "edistribut", "hereby granted", "reserved", "RESERVED")
+#: What a paragraph must hold in any case not to be other text (Java and Python); a generated notice without it isn't used.
+CUE = r"(?i)licen[cs]|\b[al]?gpl|\bmpl\b|\bbsd\b|\bcc(?:0|[ -]by\b)|apache|redistribut|hereby granted|\breserved\b|public domain|unencumbered|permitted to copy|express or implied|\b(?:under|identifier|the)[: ]{1,2}mit\b|\bmit/expat|(?-i:\bMIT\b)"
 FAMILIES = sorted(NAMES)
 UNKNOWN, OTHER = len(FAMILIES), len(FAMILIES) + 1
 #: Where a paragraph ends (Java and the regex module).
@@ -106,10 +123,7 @@ def _with(rows, keep: list[str], **more):
 
 
 def _cued(x):
-    out = x.contains(CUES[0])
-    for c in CUES[1:]:
-        out = out | x.contains(c)
-    return out
+    return x.rlike(CUE)
 
 
 def _clear(name: str) -> bool:
@@ -132,7 +146,8 @@ def templates() -> dict[str, list[list[str]]]:
             elif _clear(t):
                 lists.append(w)
             else:
-                lists += [[f"{words(o.split('{')[0])[-1].lower()} {w[0]}"] for o in OPENERS if o != "{}"]
+                before = [words(o.split("{")[0])[-1].lower() for o in OPENERS if not o.startswith("{") and not o.endswith("{} licensed.")]
+                lists += [*([f"{b} {w[0]}"] for b in before), [f"{w[0]} licensed"]]
         unique = []
         for x in lists:
             if x not in unique:
@@ -141,6 +156,11 @@ def templates() -> dict[str, list[list[str]]]:
     return out
 
 
+def strong(lists: list[list[str]]) -> list[list[str]]:
+    """Those of a family's lists that give a prior when all of one is there."""
+    return [x for x in lists if len(x) > 1 or not x[0].startswith("the ")]
+
+
 def match(found: set[str], lists: list[list[str]]) -> float:
     """The largest share of one of the lists in the lower-cased n-grams found."""
     low = {x.lower() for x in found}
@@ -167,11 +187,10 @@ def notices() -> list[tuple[str, int, int]]:
                 out.append((t := o.format(n), c, fold))
                 if i % 3 != 2:
                     out.append(((str.upper, str.lower)[i % 3](t), c, fold))
-    for f, ts in TEMPLATES.items():
-        for t in ts:
-            w = t.split()
-            out += [(x, FAMILIES.index(f), -1) for x in (t, t.upper(), " ".join(w[: len(w) * 2 // 3]), " ".join(w[len(w) // 3 :]))] * 4
-    return [x for x in out if any(c in x[0] for c in CUES)]
+    for c, fold, t in [*((FAMILIES.index(f), -1, t) for f, ts in TEMPLATES.items() for t in ts), *((UNKNOWN, i % FOLDS, t) for i, t in enumerate(OUTSIDE_TEXTS))]:
+        w = t.split()
+        out += [(x, c, fold) for x in (t, t.upper(), " ".join(w[: len(w) * 2 // 3]), " ".join(w[len(w) // 3 :]))] * 4
+    return [x for x in out if re.search(CUE, x[0])]
 
 
 def _softmax(z):
@@ -223,18 +242,26 @@ class Model:
             w, b = _fit(x[fold != f], y[fold != f])
             z[fold == f] = x[fold == f] @ w + b
         held = fold >= 0
+        whole = np.array([self.whole(r[0]) for r in rows], float)[held]
         z, yh = z[held], y[held]
-        scales = np.linspace(0.5, 4, 36)
-        self.temperature = float(scales[np.argmin([-np.log(_softmax(z / c)[np.arange(len(yh)), yh] + 1e-12).mean() for c in scales])])
+        weight = 1 / np.bincount(yh, minlength=OTHER + 1)[yh]  # classes weigh alike
+        loss = lambda b, c: -(weight * np.log(_softmax((z + b * whole) / c)[np.arange(len(yh)), yh] + 1e-12)).sum()
+        _, self.boost, self.temperature = min((loss(b, c), b, float(c)) for b in BOOSTS for c in np.linspace(0.5, 4, 36))
+        z = z + self.boost * whole
         p = _softmax(z / self.temperature)
         at = p.argmax(axis=1)
-        self.held_accuracy = float((at == yh).mean())
+        self.held_accuracy = float((at == yh)[yh < OTHER].mean())
         wrong = np.sort(p[yh == UNKNOWN, :UNKNOWN].max(axis=1) * (at[yh == UNKNOWN] < UNKNOWN))
         self.bar = max(float(wrong[int(np.ceil((1 - UNSEEN) * len(wrong))) - 1]) + 1e-9, 0.3)
         w, b = _fit(x, y)
         self.intercepts = b.astype(float).tolist()
         self.weights = {g: [round(float(v), 5) for v in w[i]] for g, i in number.items() if np.abs(w[i]).max() > 0}
 
+    def whole(self, found: set[str]) -> list[bool]:
+        """By class, whether a paragraph of these n-grams holds a whole template that gives a prior."""
+        low = {x.lower() for x in found}
+        return [*(any(low.issuperset(x) for x in strong(self.templates[f])) for f in FAMILIES), False, False]
+
 
 def vocabulary() -> dict[str, int]:
     """The n-grams of the generated notices, numbered."""
@@ -247,12 +274,13 @@ def paragraphs(text):
 
 
 def train(documents: DataFrame) -> Model:
-    """A model with negatives from up to NEGATIVES corpus paragraphs with a cue, those with the smallest hash."""
+    """A model with negatives from up to NEGATIVES different corpus paragraphs with a cue, those with the smallest hash."""
     text = F.col("text").cast("string")
     known = F.from_json(F.lit(json.dumps(sorted(vocabulary()))), "array<string>")
     cued = documents.filter(_cued(text)).select(F.explode(F.filter(paragraphs(text), _cued)).alias("p"))
     cued = cued.select(F.xxhash64("p").alias("h"), _words(F.col("p")).alias("w"))
-    rows = cued.select("h", F.array_sort(F.array_intersect(_grams(F.col("w")), known)).alias("g")).orderBy("h", "g").limit(NEGATIVES).collect()
+    cued = cued.select("h", F.array_sort(F.array_intersect(_grams(F.col("w")), known)).alias("g"))
+    rows = cued.dropDuplicates(["h"]).orderBy("h", "g").limit(NEGATIVES).collect()
     lists, seen = templates(), {}
     for r in rows:
         if not looks_like_notice(found := set(r["g"]), lists):
@@ -269,6 +297,7 @@ def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
     known = literal([*model.weights], "array<string>")
     compared = literal(sorted({p for lists in model.templates.values() for t in lists for p in t}), "array<string>")
     lists = literal(model.templates, "map<string,array<array<string>>>")
+    priors = literal([strong(model.templates[f]) for f in FAMILIES], "array<array<array<string>>>")
     start = F.array(*(F.lit(float(b)) for b in model.intercepts))
     none = F.array(*(F.lit(0.0) for _ in model.intercepts))
     names = F.array(*map(F.lit, [*FAMILIES, "unknown", "other"]))
@@ -281,7 +310,8 @@ def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
     step = F.transform(cued, lambda x: F.struct(x.alias("paragraph"), _words(x).alias("w")))
     step = _with(step, ["paragraph"], w=lambda s: _grams(s["w"]))
     step = _with(step, ["paragraph"], g=lambda s: F.array_intersect(s["w"], known), t=lambda s: F.array_intersect(F.transform(s["w"], F.lower), compared))
-    step = _with(step, ["paragraph", "t"], z=lambda s: logits(s["g"]))
+    step = _with(step, ["paragraph", "t"], z=lambda s: logits(s["g"]), whole=lambda s: F.transform(priors, lambda own: F.exists(own, lambda x: F.size(F.array_except(x, s["t"])) == 0)))
+    step = _with(step, ["paragraph", "t"], z=lambda s: F.zip_with(s["z"], s["whole"], lambda z, w: z + F.when(w, F.lit(model.boost)).otherwise(F.lit(0.0))))
     step = _with(step, ["paragraph", "t", "z"], top=lambda s: F.array_max(s["z"]))
     step = F.filter(step, lambda s: s["top"] > F.element_at(s["z"], -1))
     step = _with(step, ["paragraph", "t", "z", "top"], best=lambda s: F.array_max(F.slice(s["z"], 1, UNKNOWN)))

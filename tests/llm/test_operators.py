@@ -108,10 +108,14 @@ def license_rows(text, model):
 
     out = []
     for p in regex.split(license.BREAK, text) if text else []:
-        if not any(c in p for c in license.CUES):
+        if not re.search(license.CUE, p):
             continue
         g = license.grams(p)
         z = np.array(model.intercepts) + sum((np.array(model.weights[x]) for x in g if x in model.weights), np.zeros(len(model.intercepts)))
+        low = {x.lower() for x in g}
+        for k, f in enumerate(license.FAMILIES):
+            if any(set(x) <= low for x in model.templates[f] if len(x) > 1 or not x[0].startswith("the ")):
+                z[k] += model.boost
         if z.max() <= z[-1]:
             continue
         best = int(z[: license.UNKNOWN].argmax())
@@ -129,6 +133,8 @@ def test_licenses(spark):
         "x\nLicensed under the Apache License, Version 2.0.\ny": "apache-2.0", "word word\nReleased under the MIT License.": "mit", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0",
         "Licensed under the Apache License,\nVersion 2.0": "apache-2.0", WRAPPED_MIT: "mit", WRAPPED_GPL: "gpl-3.0", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:": "bsd", "All rights reserved.": "all-rights-reserved",
         "This text is licensed under the Zorblax Frobnicate License": "unknown", "Released under the Quux License.": "unknown", "LICENSED UNDER THE MIT LICENSE.": "mit",
+        "# SPDX-License-Identifier: MIT": "mit", "Licensed under the Open Data Commons Attribution License.": "unknown", "Content is available under the Creative Commons Attribution-ShareAlike License.": "cc-by-sa",
+        "published under cc by 4.0": "cc-by", "available under mit": "mit", "code is bsd licensed": "bsd", license.OUTSIDE_TEXTS[0]: "unknown", "This is free and unencumbered software released into the public domain.": "unknown",
         "the work of this version is under the hill": "", "Der Mann mit dem Hut kam mit.": "", "MIT": "", "ER!! KAM!! MIT!! DEM!! HUT!!": "", "Mit.": "", "he has a license to kill": "",
     }
     texts = [*want, *prose, *ODD, "Released under the MIT License.\n\n" + "Licensed under CC0-1.0.\n" * 3 + "word " * 30000]
@@ -141,7 +147,16 @@ def test_licenses(spark):
         assert [tuple(x)[:2] for x in r["licenses"]] == [x[:2] for x in brute]
         assert np.allclose([tuple(x)[2:] for x in r["licenses"]], [x[2:] for x in brute], atol=1e-9) if brute else True
         assert r["n_paragraphs"] == (len(__import__("regex").split(license.BREAK, t)) if t else 0)
-    assert model.held_accuracy > 0.5  # on names, licences and folds that the fit hasn't seen
+    assert model.held_accuracy > 0.85  # on names, licences and texts that the fit hasn't seen; the families' names are templates
+
+
+def test_license_negatives_are_different_paragraphs(spark, monkeypatch):
+    """One paragraph in many copies takes one place of the negatives."""
+    monkeypatch.setattr(license, "NEGATIVES", 3)
+    seen = []
+    monkeypatch.setattr(license, "Model", lambda negatives: seen.append(negatives))
+    license.train(documents(spark, ["a license to drive a car"] * 50 + ["the license was revoked", "he is licensed to fish"]))
+    assert len(seen[0]) == 3
 
 
 def test_license_edges(spark):
