@@ -253,7 +253,7 @@ def chat_context(spark, d):
     return assembly.chat_context(conversation_pages(spark, d)).select("book", F.md5("context").alias("digest"))
 
 
-@query("SELECT user_id, max_by(event_type, (ts, event_id)) AS last_message, max(ts) AS ts FROM events GROUP BY 1".replace("max_by(event_type, (ts, event_id))", "arg_max(event_type, (epoch_us(ts), event_id))"))
+@query("SELECT user_id, arg_max(event_type, (epoch_us(ts), event_id)) AS last_message, max(ts) AS ts FROM events GROUP BY 1")
 def latest_preview(spark, d):
     e = read(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
     return library.latest(e.select("user_id", "event_type", "ts", "at"), "user_id", "at").select("user_id", F.col("event_type").alias("last_message"), "ts")
@@ -439,7 +439,7 @@ def casing_and_thousands(spark, d):
     return read(spark, d, "part").select("p_partkey", t.capitalize("p_name").alias("capital"), t.is_upper("p_name").alias("is_upper"), t.thousands(F.col("p_partkey") * 1234567).alias("thousands"))
 
 
-@query("SELECT doc_id, (length(text) - length(replace(text, '.\\n', '')))::INTEGER // 3 AS hits, md5(replace(replace(text, '.', '<mark>.</mark>'), '$', '$')) AS marked FROM documents".replace("(length(text) - length(replace(text, '.\\n', '')))::INTEGER // 3", "(length(text) - length(replace(text, '$$', '')))::INTEGER // 2"))
+@query("SELECT doc_id, (length(text) - length(replace(text, '$$', '')))::INTEGER // 2 AS hits, md5(replace(text, '.', '<mark>.</mark>')) AS marked FROM documents")
 def search_metacharacters(spark, d):
     return read(spark, d, "documents").select("doc_id", t.search_count("text", "$$").alias("hits"), F.md5(t.highlight("text", ".")).alias("marked"))
 
@@ -464,11 +464,16 @@ def download_messages(spark, d):
     return read(spark, d, "pages").select("page_id", t.download_error(m).alias("message"), t.is_drive_url(url).alias("is_drive"), t.url_encode(F.concat("url", F.lit(" đ"))).alias("encoded"))
 
 
-@query("SELECT user_id AS task_id, count(*) AS n, max(current) AS current FROM (SELECT user_id, ts, event_id AS current, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 3600000000 ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1 GROUP BY 1".replace("ORDER BY ts, event_id) AS rn", "ORDER BY ts) AS rn").replace("max(current) AS current", "count(DISTINCT epoch_us(ts) // 3600000000) AS slots"))
+_BYTES = "CASE WHEN {0} < 1024 THEN printf('%.1f B', {0}) WHEN {0} < 1048576 THEN printf('%.1f KB', {0} / 1024) ELSE printf('%.1f MB', {0} / 1048576) END"
+
+
+@query(f"""WITH e AS (SELECT user_id AS task_id, ts, event_id, event_id * 1000::BIGINT AS current, CASE WHEN event_type = 'click' THEN event_id * 1000 ELSE 50000000 END::BIGINT AS total FROM events),
+s AS (SELECT *, row_number() OVER (PARTITION BY task_id, epoch_us(ts) // 3600000000, current = total ORDER BY ts, event_id) AS rn FROM e)
+SELECT task_id, ts, current, {_BYTES.format("current::DOUBLE")} || ' / ' || {_BYTES.format("total::DOUBLE")} AS message FROM s WHERE rn = 1""")
 def download_log(spark, d):
-    e = read(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1).cast("long").alias("current"), F.lit(2).cast("long").alias("total"))
-    shown = connectors.download_log(e, 3600.0)
-    return shown.groupBy("task_id").agg(F.count("*").alias("n"), F.count_distinct(F.floor(F.unix_micros("ts") / 3600000000)).alias("slots"))
+    i = F.col("event_id") * 1000
+    e = read(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), i.alias("current"), F.when(F.col("event_type") == "click", i).otherwise(F.lit(50_000_000)).alias("total"))
+    return connectors.download_log(e, 3600.0).select("task_id", "ts", "current", "message")
 
 
 @query("SELECT conv_id, list_distinct_ordered AS roles FROM (SELECT conv_id, string_agg(role, ',' ORDER BY first) AS list_distinct_ordered FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY 1, 2) GROUP BY 1)")
@@ -477,11 +482,12 @@ def ordered_dedupe(spark, d):
     return c.select("conv_id", F.array_join(t.ordered_distinct("r"), ",").alias("roles"))
 
 
-@query("SELECT user_id, event_id AS batch, value, round(value / (event_id % 5 + 1), 2) AS rate FROM events WHERE user_id = 1")
+@query("""WITH b AS (SELECT user_id AS run, event_id AS batch, round(value * 100)::BIGINT AS processed, event_id % 5 AS seconds FROM events),
+r AS (SELECT *, sum(processed) OVER w AS p, sum(seconds) OVER w AS s FROM b WINDOW w AS (PARTITION BY run ORDER BY batch))
+SELECT run, batch, processed, seconds, CASE WHEN seconds > 0 THEN round((processed / seconds)::DECIMAL(30, 8), 2)::DOUBLE ELSE 0.0::DOUBLE END AS rate, CASE WHEN s > 0 THEN round((p / s)::DECIMAL(30, 8), 2)::DOUBLE ELSE 0.0::DOUBLE END AS overall FROM r""")
 def batch_throughput(spark, d):
-    e = read(spark, d, "events").filter("user_id = 1")
-    b = e.select(F.col("event_id").alias("batch"), F.col("value").alias("processed"), (F.col("event_id") % 5 + 1).cast("double").alias("seconds"))
-    return ops.throughput(b).select(F.lit(1).cast("long").alias("user_id"), "batch", F.col("processed").alias("value"), "rate")
+    e = read(spark, d, "events")
+    return ops.throughput(e.select(F.col("user_id").alias("run"), F.col("event_id").alias("batch"), F.round(F.col("value") * 100).cast("long").alias("processed"), (F.col("event_id") % 5).alias("seconds")))
 
 
 @query(f"WITH {BOOKS}, l AS (SELECT total_pages, word_count FROM books WHERE is_public = 1 ORDER BY created_at DESC, id DESC LIMIT 50) SELECT count(*) AS books, sum(total_pages)::BIGINT AS pages, sum(word_count)::BIGINT AS words FROM l")

@@ -106,11 +106,12 @@ def fill_template(template, values: dict[str, Column]) -> Column:
 
 
 def format_bytes(n) -> Column:
-    """1024 steps with one decimal, up to TB."""
+    """1024 steps with one decimal, halves to the even digit, up to TB."""
     v, out = _c(n).cast("double"), F
+    shown = lambda x, unit: F.concat(F.format_string("%.1f", F.bround(x, 1)), F.lit(f" {unit}"))
     for i, unit in enumerate(("B", "KB", "MB", "GB")):
-        out = out.when(F.abs(v / 1024.0**i) < 1024, F.concat(F.format_string("%.1f", v / 1024.0**i), F.lit(f" {unit}")))
-    return out.otherwise(F.concat(F.format_string("%.1f", v / 1024.0**4), F.lit(" TB")))
+        out = out.when(F.abs(v / 1024.0**i) < 1024, shown(v / 1024.0**i, unit))
+    return out.otherwise(shown(v / 1024.0**4, "TB"))
 
 
 def drive_id(url) -> Column:

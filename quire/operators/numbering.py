@@ -20,3 +20,18 @@ def numbered(rows: DataFrame, order: str, top: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(order))
     out = rows.withColumn("_rank", rank).join(F.broadcast(starts), "_part").join(F.broadcast(top))
     return out.withColumn("id", F.col("top") + F.col("_before") + F.col("_rank")).drop("_part", "_before", "_rank", "top")
+
+
+def running(rows: DataFrame, key: str, order: str, **sums: str) -> DataFrame:
+    """rows with running totals name=column by key in order; a key's rows are dealt to ranges, so one key may have any number.
+
+    Only keys that span ranges have totals to carry over: at most one row a range, which is broadcast.
+    """
+    dealt = rows.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumn("_part", F.spark_partition_id())
+    dealt = staged(dealt, "running")
+    upto = Window.partitionBy("_part", key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(key, "_part").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    carried = parts.select(key, "_part", *(F.sum(f"_{n}").over(before).alias(f"_{n}") for n in sums)).filter(F.col(f"_{next(iter(sums))}").isNotNull())
+    out = dealt.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()}).join(F.broadcast(carried), [key, "_part"], "left")
+    return out.withColumns({n: F.col(n) + F.coalesce(f"_{n}", F.lit(0)) for n in sums}).drop("_part", *(f"_{n}" for n in sums))

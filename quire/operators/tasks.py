@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import book_of, percent
-from .numbering import numbered
+from .numbering import numbered, running
 
 
 def in_book(df: DataFrame, book: str | None) -> DataFrame:
@@ -137,7 +136,7 @@ def failed_report(tasks: DataFrame) -> DataFrame:
 
 
 def throughput(batches: DataFrame) -> DataFrame:
-    """batches(batch, processed, seconds) with pages a second of each batch and of all up to it."""
-    w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)  # one row a batch of a run
+    """batches(run, batch, processed, seconds) with pages a second of each batch and of its run up to it."""
     rate = lambda n, s: F.when(s > 0, F.round(n / s, 2)).otherwise(0.0)
-    return batches.withColumns({"rate": rate(F.col("processed"), F.col("seconds")), "overall": rate(F.sum("processed").over(w), F.sum("seconds").over(w))})
+    own = running(batches, "run", "batch", _processed="processed", _seconds="seconds")
+    return own.withColumns({"rate": rate(F.col("processed"), F.col("seconds")), "overall": rate(F.col("_processed"), F.col("_seconds"))}).drop("_processed", "_seconds")
