@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import base_name, book_of, natural_key, stem, suffix, with_suffix
 from ..operators.imaging import encode_png, orientation, picture, thumbnail
 from ..operators.staging import small_side, staged
-from .stores import Opener, export, known, listed, opened
+from .stores import Opener, export, export_joined, known, listed, opened
 
 #: File name endings of page images.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp", ".heic", ".heif")
@@ -301,6 +301,16 @@ def export_archives(archives: DataFrame, root: str) -> int:
     return export(archives.select(F.concat("book", F.lit("_package.zip")).alias("name"), F.col("archive").alias("data")), root)
 
 
+def export_books(pages: DataFrame, root: str, block: int | None = None) -> int:
+    """<book>.txt and <book>_package.zip under root for every book of pages(book, filename, text), however large."""
+    from ..operators.large_books import BLOCK, merged_blocks, paged, zip_blocks
+
+    numbered = paged(pages, block or BLOCK)
+    texts = merged_blocks(numbered).select(F.concat("book", F.lit(".txt")).alias("name"), "block", F.encode("text", "UTF-8").alias("data"))
+    zips = zip_blocks(numbered, block or BLOCK).select(F.concat("book", F.lit("_package.zip")).alias("name"), "block", "data")
+    return export_joined(texts, root) + export_joined(zips, root)
+
+
 def export_dataset(books: DataFrame, texts: DataFrame, covers: DataFrame, root: str, limit: int = 1000) -> int:
     """<slug>/<slug>.txt, <slug>/cover.png and <slug>/metadata.json of every book, and the manifest; how many files.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
 import re
 import uuid
@@ -65,6 +66,47 @@ def listed(spark: SparkSession, root: str, opener: Opener = opened) -> DataFrame
             return out
 
 
+def export_joined(blocks: DataFrame, root: str, opener: Opener = opened) -> int:
+    """Files under root from blocks(name, block, data), joined in order; returns how many.
+
+    Blocks are written apart, by as many tasks as there are; then one task a file passes them on as a stream, so that
+    neither a file nor its list of pages is ever in memory. Files appear whole, as those of export().
+    """
+    hidden = f".joined-{uuid.uuid4().hex}"
+    store, top = opener(root)
+    try:
+        export(blocks.select(F.format_string("%s/%015d", F.sha2("name", 256), "block").alias("name"), "data"), f"{root.rstrip('/')}/{hidden}", opener)
+
+        def join(batches):
+            import pandas as pd
+            from pyarrow import fs
+
+            for pdf in batches:
+                for name in pdf["name"]:
+                    store, top = opener(root)
+                    parts = posixpath.join(top, hidden, hashlib.sha256(name.encode()).hexdigest())
+                    to = posixpath.normpath(posixpath.join(top, name.lstrip("/")))
+                    if not to.startswith(top.rstrip("/") + "/"):
+                        raise ValueError(f"{name} leaves {root}")
+                    own = posixpath.join(top, hidden, uuid.uuid4().hex)
+                    with store.open_output_stream(own) as f:
+                        for part in sorted(i.path for i in store.get_file_info(fs.FileSelector(parts))):
+                            with store.open_input_stream(part) as source:
+                                while chunk := source.read(1 << 20):
+                                    f.write(chunk)
+                    store.create_dir(posixpath.dirname(to), recursive=True)
+                    store.move(own, to)
+                yield pd.DataFrame({"n": [len(pdf)]})
+
+        names = blocks.select("name").distinct()
+        return names.repartition("name").mapInPandas(join, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    finally:
+        from pyarrow import fs
+
+        if store.get_file_info(posixpath.join(top, hidden)).type != fs.FileType.NotFound:
+            store.delete_dir(posixpath.join(top, hidden))
+
+
 def export(files: DataFrame, root: str, opener: Opener = opened) -> int:
     """Files (name, data) under root, each from its first moment whole; returns how many there are.
 
