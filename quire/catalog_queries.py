@@ -201,8 +201,8 @@ def merge_book_text(spark, d):
     return assembly.merge_pages(conversation_pages(spark, d)).select("book", F.md5("text").alias("digest"))
 
 
-@query(f"""WITH {_PAGES}, z AS (SELECT *, coalesce(strlen(text), 0) + strlen(filename) + 32 AS size FROM n), u AS (SELECT *, sum(size) OVER (PARTITION BY book ORDER BY page_num) - size AS at FROM z)
-SELECT book, (at // 2000)::BIGINT AS block, md5(string_agg('=== [Trang ' || page_num || '/' || total_pages || '] ' || filename || ' ===' || chr(10) || chr(10) || trim(coalesce(text, '')) || chr(10) || chr(10), '' ORDER BY page_num)) AS digest FROM u GROUP BY 1, 2""")
+@query(f"""WITH {_PAGES}, z AS (SELECT *, coalesce(strlen(text), 0) + strlen(filename) + 32 AS size FROM n), u AS (SELECT *, sum(size) OVER (PARTITION BY book ORDER BY page_num) - size AS before FROM z)
+SELECT book, (before // 2000)::BIGINT AS block, md5(string_agg('=== [Trang ' || page_num || '/' || total_pages || '] ' || filename || ' ===' || chr(10) || chr(10) || trim(coalesce(text, '')) || chr(10) || chr(10), '' ORDER BY page_num)) AS digest FROM u GROUP BY 1, 2""")
 def merged_text_blocks(spark, d):
     return large_books.merged_blocks(large_books.paged(conversation_pages(spark, d), 2_000)).select("book", "block", F.md5("text").alias("digest"))
 
