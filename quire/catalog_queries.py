@@ -355,13 +355,70 @@ def retry_delays(spark, d):
     return read(spark, d, "pages").select("page_id", t.error_class(m).alias("kind"), t.retry_delay(m, i % 4).alias("delay"))
 
 
-@query()
-def reading_order(spark, d):
-    k = F.col("l_partkey") % 600
-    y = F.col("l_suppkey") % 900
+_BOXES = """b AS (SELECT l_orderkey // 8 AS page_id, l_orderkey || '-' || l_linenumber AS text, x0::DOUBLE AS x0, CASE WHEN l_linenumber = 7 THEN 900 ELSE x0 + 60 END::DOUBLE AS x1, (l_suppkey * 37 % 900)::DOUBLE AS y0, (l_suppkey * 37 % 900 + l_quantity)::DOUBLE AS y1
+ FROM (SELECT *, CASE WHEN l_orderkey // 8 % 2 = 0 THEN l_partkey % 2 * 450 + l_partkey % 300 ELSE l_partkey % 800 END AS x0 FROM lineitem))"""
+
+
+def boxes(spark, d):
+    """Lines of pages: on even ones in two columns with some lines across both, on odd ones anywhere."""
+    c = F.col
+    page = F.floor(c("l_orderkey") / 8)
+    x0 = F.when(page % 2 == 0, c("l_partkey") % 2 * 450 + c("l_partkey") % 300).otherwise(c("l_partkey") % 800)
+    x1, y = F.when(c("l_linenumber") == 7, 900).otherwise(x0 + 60), c("l_suppkey") * 37 % 900
     at = lambda x, y: F.array(x.cast("double"), y.cast("double"))
-    box = F.array(at(k, y), at(k + 300, y), at(k + 300, y + F.col("l_quantity")), at(k, y + F.col("l_quantity")))
-    return layout.sort_pages(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("string").alias("text"), box.alias("box")))
+    box = F.array(at(x0, y), at(x1, y), at(x1, y + c("l_quantity")), at(x0, y + c("l_quantity")))
+    return read(spark, d, "lineitem").select(page.alias("page_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("text"), box.alias("box"))
+
+
+@query(f"""WITH {_BOXES}, i AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY x0, x1, y0, y1, text) AS i, count(*) OVER p AS n, max(x1) OVER p AS w, max(y1) OVER p AS h FROM b WINDOW p AS (PARTITION BY page_id)),
+g AS (SELECT page_id, n, k, any_value(0.35::DOUBLE * w + k * (0.3::DOUBLE * w / 30)) AS s, count_if(x0 < 0.35::DOUBLE * w + k * (0.3::DOUBLE * w / 30) - 10 AND x1 > 0.35::DOUBLE * w + k * (0.3::DOUBLE * w / 30) + 10) AS crossing,
+ count_if(x1 <= 0.35::DOUBLE * w + k * (0.3::DOUBLE * w / 30) + 10) AS lefts FROM i, range(30) r(k) GROUP BY page_id, n, k),
+s AS (SELECT page_id, arg_min(s, crossing * 100 + k) AS s FROM g WHERE lefts >= 5 AND n - lefts - crossing >= 5 GROUP BY page_id, n HAVING min(crossing) <= greatest(3, 0.15::DOUBLE * n)),
+c AS (SELECT i.*, CASE WHEN s IS NULL THEN 0 WHEN x0 < s - 15 AND x1 > s + 15 THEN CASE WHEN (y0 + y1) / 2 < 0.25::DOUBLE * h THEN 0 WHEN (y0 + y1) / 2 > 0.85::DOUBLE * h THEN 3 WHEN (x0 + x1) / 2 < s THEN 1 ELSE 2 END WHEN x1 <= s + 15 THEN 1 ELSE 2 END AS part FROM i LEFT JOIN s USING (page_id)),
+o AS (SELECT *, least(y1, lag(y1) OVER v) - greatest(y0, lag(y0) OVER v) AS shared, least(y1 - y0, lag(y1 - y0) OVER v) AS low, row_number() OVER v AS r FROM c WINDOW v AS (PARTITION BY page_id, part ORDER BY y0, x0, i)),
+l AS (SELECT *, count_if(shared IS NULL OR NOT (shared > 0 AND shared / greatest(low, 1) > 0.35::DOUBLE)) OVER (PARTITION BY page_id, part ORDER BY r) AS line FROM o)
+SELECT page_id, text, (CASE WHEN n <= 2 THEN row_number() OVER (PARTITION BY page_id ORDER BY y0, i) ELSE row_number() OVER (PARTITION BY page_id ORDER BY part, line, x0, r) END - 1)::INTEGER AS place FROM l""")
+def reading_order(spark, d):
+    return layout.sort_pages(boxes(spark, d))
+
+
+@query(f"WITH {_BOXES} SELECT page_id, text, x0 AS xmin, x1 AS xmax, y0 AS ymin, y1 AS ymax FROM b")
+def box_bounds(spark, d):
+    return boxes(spark, d).select("page_id", "text", *layout.bounds(F.col("box")))
+
+
+_RESTORED = "CASE strip_accents(lower(x)) WHEN 'la' THEN 'là' WHEN 'the' THEN 'thế' WHEN 'in' THEN 'ìn' END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\S+|\\s+')) AS x, generate_subscripts(regexp_extract_all(text, '\\S+|\\s+'), 1) AS i FROM documents),
+r AS (SELECT doc_id, i, x, {_RESTORED} AS f FROM t)
+SELECT doc_id, md5(string_agg(CASE WHEN f IS NULL THEN x WHEN x = upper(x) AND x <> lower(x) THEN upper(f) WHEN left(x, 1) <> lower(left(x, 1)) THEN upper(left(f, 1)) || substr(f, 2) ELSE f END, '' ORDER BY i)) AS digest FROM r GROUP BY doc_id""")
+def restore_all_tokens(spark, d):
+    """Accented tokens too take the dictionary's form."""
+    df = read(spark, d, "documents").filter("text <> ''").select("doc_id", "text")
+    return fix.restore_diacritics(df, "text", ["là", "thế", "ìn", "lá"]).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("SELECT user_id, event_type, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS rank FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)")
+def report_ranks(spark, d):
+    n = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return library.rank_rows(n, "user_id", F.struct(-F.col("n"), F.col("event_type"))).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {BOOKS} SELECT id, '<h1>' || title || '</h1><p>' || coalesce(summary, '') || '</p><i>' || CASE WHEN artifact_code <> '' THEN artifact_code ELSE '' END || '</i>{{{{none}}}}' AS page FROM books")
+def book_templates(spark, d):
+    code = F.when(F.col("artifact_code") != "", F.col("artifact_code"))
+    return books(spark, d).select("id", t.fill_template(F.lit("<h1>{{title}}</h1><p>{{summary}}</p><i>{{code}}</i>{{none}}"), {"title": F.col("title"), "summary": F.col("summary"), "code": code}).alias("page"))
+
+
+@query(f"WITH {TASKS} SELECT book, least(n, 40) AS budget FROM (SELECT {_BOOK} AS book, count_if(status = 'PENDING')::BIGINT AS n FROM tasks GROUP BY 1)")
+def run_budgets(spark, d):
+    return ops.budgets(tasks(spark, d), 40)
+
+
+@query(f"WITH {BOOKS} SELECT id, slug, '' AS period, 0 AS views, title FROM books")
+def added_columns(spark, d):
+    return library.add_missing_columns(books(spark, d).select("id", "slug", "title"), {"period": F.lit(""), "views": F.lit(0), "title": F.lit("never")})
 
 
 @query(f"WITH {TASKS}, old AS (SELECT id, file_path, status FROM tasks WHERE status <> 'FAILED'), t AS (SELECT o.status, o.file_path FROM old o UNION ALL SELECT 'PENDING', file_path FROM tasks WHERE status = 'FAILED') SELECT {_BOOK} AS book, count(*) AS total, count_if(status = 'PENDING')::BIGINT AS pending, count_if(status = 'DONE')::BIGINT AS done FROM t GROUP BY 1")

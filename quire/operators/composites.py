@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.repair import restore_diacritics
 from ..functions.text import slugify, stem, summary, word_count
 from . import assembly, library, tasks
 
@@ -70,3 +71,12 @@ def retry_run(known: DataFrame, run, book: str | None = None, now: Column | None
     again = tasks.retry_failed(known, None, now)
     todo = tasks.pending(again.join(tasks.in_book(known.filter("status = 'FAILED'"), book).select("id"), "id", "left_semi"))
     return tasks.apply_results(again, run(todo), now)
+
+
+def restore_texts(texts: DataFrame, words: list[str]) -> tuple[DataFrame, Observation]:
+    """texts(..., text) with diacritics restored, and the counts of the same pass: once the frame is written, get has files
+    and changed."""
+    seen = Observation()
+    both = restore_diacritics(texts.withColumn("before", F.col("text")), "text", words)
+    counts = F.count("*").alias("files"), F.count_if(~F.col("text").eqNullSafe(F.col("before"))).alias("changed")
+    return both.observe(seen, *counts).drop("before"), seen

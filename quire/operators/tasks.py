@@ -53,6 +53,12 @@ def budget(tasks: DataFrame, most: int | None = None) -> int:
     return min(n, most) if most else n
 
 
+def budgets(tasks: DataFrame, most: int | None = None) -> DataFrame:
+    """(book, budget): budget() of every book."""
+    n = tasks.groupBy(book_of("file_path").alias("book")).agg(F.count_if(F.col("status") == "PENDING").alias("n"))
+    return n.select("book", (F.least("n", F.lit(most)) if most else F.col("n")).cast("long").alias("budget"))
+
+
 def claim(tasks: DataFrame, limit: int, book: str | None = None, now=None) -> tuple[DataFrame, DataFrame]:
     """The first PENDING rows by id, and the snapshot in which they are IN_PROGRESS; nothing for limit <= 0."""
     taken = pending(tasks, limit, book) if limit > 0 else pending(tasks, None, book).filter(F.lit(False))

@@ -320,3 +320,10 @@ def test_small_scalars(spark):
     df = spark.createDataFrame([("a/b.c/d.JPG", 1234567, "x y&z")], "p string, n long, q string")
     row = df.select(t.parent("p"), t.with_suffix("p", ".txt"), t.parent(F.lit("d")), t.with_suffix(F.lit("a.b/d"), ".txt"), t.thousands("n"), t.url_encode("q"), t.highlights(F.lit('["a", "b"]')), t.highlights(F.lit("no")), t.ordered_distinct(F.array(F.lit("b"), F.lit(""), F.lit("a"), F.lit("b")))).first()
     assert row[:] == ("a/b.c", "a/b.c/d.txt", ".", "a.b/d.txt", "1,234,567", "x%20y%26z", ["a", "b"], [], ["b", "a"])
+
+
+def test_restored_texts_are_counted_as_they_are_written(spark, tmp_path):
+    df = spark.createDataFrame([(1, "lich su"), (2, "khac"), (3, None), (4, "Lich"), (5, "")], "id int, text string")
+    out, seen = composites.restore_texts(df, ["lịch", "sử"])
+    out.write.parquet(str(tmp_path / "out"))
+    assert seen.get == {"files": 5, "changed": 2} and {r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"lịch sử", "khac", None, "Lịch", ""}
