@@ -6,8 +6,11 @@ away: two unit vectors with cosine t are sqrt(2 - 2 t) apart, so a link can't cr
 the centroids are. Cells are cut into home blocks and probe blocks of about BLOCK rows; one task multiplies one block
 pair, adds up each probe's links (copies weighed) and returns a spanning forest, never pairs.
 
-Centroids are fitted on up to SAMPLE classes with the smallest hash; every class is assigned. The number of centroids
-grows with the largest label up to CELLS_MOST; beyond that the blocks of a cell grow in number, not in size.
+Centroids are fitted on classes with the smallest hash, SAMPLE or two a cell; every class is assigned. The number of cells
+grows with the largest label, one for PER_CELL classes. More than FLAT cells come in two levels: a class's upper cell is that
+of the nearest upper centroid, its cell the nearest below it, and both levels are probed by their own bisectors. Centroids
+and sample have at most BYTES each, which is what goes to the driver and the tasks; only beyond that do cells grow, and then
+the blocks of a cell grow in number, not in size.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without label or vec_id,
 link with nothing and are kept (component_id is their own vec_id); vectors of unequal length don't link; repeated rows
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, smallest, spread_join, staged
 
-SAMPLE, ROUNDS, PER_CELL, CELLS_MOST, BLOCK, SEED = 20_000, 12, 4_096, 1_024, 2_048, 5
+SAMPLE, ROUNDS, PER_CELL, FLAT, BLOCK, SEED, BYTES = 20_000, 12, 4_096, 1_024, 2_048, 5, 256 << 20
 
 
 def _keyed(batches):
@@ -62,7 +65,27 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = SE
     return c
 
 
-def _assigned(centroids: dict[int, np.ndarray], chord: float):
+def fitted_cells(sample: np.ndarray, cells: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Upper centroids, and the centroids of the cells below each; one upper cell for all if they are few."""
+    if cells <= FLAT:
+        return sample[:1] * 0, [spherical_kmeans(sample, cells)]
+    top = spherical_kmeans(sample, int(np.ceil(np.sqrt(cells))))
+    at = (sample @ top.T).argmax(axis=1)
+    below = [sample[at == t] if (at == t).any() else top[t : t + 1] for t in range(len(top))]
+    return top, [spherical_kmeans(x, max(1, round(cells * len(x) / len(sample)))) for x in below]
+
+
+def _near(x: np.ndarray, c: np.ndarray, chord: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each row, and which ones' rows may lie within chord of it."""
+    s = x @ c.T
+    own = s.argmax(axis=1)
+    apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
+    near = s[np.arange(len(x)), own][:, None] - s <= (chord + 1e-9) * apart[own] + 1e-12
+    near[np.arange(len(x)), own] = True
+    return own, near
+
+
+def _assigned(centroids: dict[int, tuple[np.ndarray, list[np.ndarray]]], chord: float):
     def run(batches):
         for batch in batches:
             dims = np.array(batch.column("dim").to_pylist(), int)
@@ -71,14 +94,16 @@ def _assigned(centroids: dict[int, np.ndarray], chord: float):
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 x = np.frombuffer(b"".join([units[i] for i in at]), float).reshape(len(at), d)
-                c = centroids.get(int(d), x[:1] * 0)
-                s = x @ c.T
-                own = s.argmax(axis=1)
-                apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
-                near = s[np.arange(len(at)), own][:, None] - s <= (chord + 1e-9) * apart[own] + 1e-12
-                near[np.arange(len(at)), own] = True
-                i, j = np.nonzero(near)
-                row.append(at[i]), cell.append(j), home.append(own[i] == j)
+                top, below = centroids.get(int(d), (x[:1] * 0, [x[:1] * 0]))
+                upper, reached = _near(x, top, chord)
+                first = 0
+                for t, c in enumerate(below):
+                    some = np.flatnonzero(reached[:, t])
+                    if len(some):
+                        own, near = _near(x[some], c, chord)
+                        i, j = np.nonzero(near)
+                        row.append(at[some[i]]), cell.append(j + first), home.append((own[i] == j) & (upper[some[i]] == t))
+                    first += len(c)
             row, cell, home = (np.concatenate(v) if v else np.empty(0, int) for v in (row, cell, home))
             b = batch.take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(home.astype(bool))], [*b.schema.names, "cell", "home"])
@@ -131,13 +156,14 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98, per_cell: int =
     classes = full.groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit"))
     classes = staged(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
     most = classes.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("most")).collect()  # one row for each length of vectors
-    sample = classes.orderBy(F.xxhash64("key"), "key").select("dim", "unit").limit(SAMPLE).collect()
+    wanted = {r["dim"]: max(1, min(-(-r["most"] // per_cell), BYTES // (8 * r["dim"]))) for r in most}
+    rows_most = max(1, BYTES // (8 * max(wanted, default=1)))
+    sample = classes.orderBy(F.xxhash64("key"), "key").select("dim", "unit").limit(min(max(SAMPLE, 2 * max(wanted.values(), default=0)), rows_most)).collect()
     centroids = {}
-    for d, n in ((r["dim"], r["most"]) for r in most):
+    for d, cells in wanted.items():
         own = [r["unit"] for r in sample if r["dim"] == d]
         if own:
-            k = int(min(max(1, -(-n // per_cell)), CELLS_MOST))
-            centroids[d] = spherical_kmeans(np.frombuffer(b"".join(own), float).reshape(len(own), d), k)
+            centroids[d] = fitted_cells(np.frombuffer(b"".join(own), float).reshape(len(own), d), cells)
     near = classes.select("rid", "n", "label", "dim", "unit").mapInArrow(_assigned(centroids, float(np.sqrt(2 - 2 * least))), "rid long, n long, label long, dim int, unit binary, cell int, home boolean")
     near = staged(near, "cells")
     cell = ["label", "dim", "cell"]

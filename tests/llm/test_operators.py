@@ -212,7 +212,10 @@ def test_semi_markov_sums_and_best_path_by_enumeration():
     assert pii.decode(4, [found[c] for c in ok], [scores[c] for c in ok]) == [(found[c][0], found[c][1], pii.KINDS[k]) for c, k in best]
 
 
-def test_vectors_against_brute_force(spark):
+@pytest.mark.parametrize("flat", [vectors.FLAT, 3])
+def test_vectors_against_brute_force(spark, monkeypatch, flat):
+    """With cells of one level and of two."""
+    monkeypatch.setattr(vectors, "FLAT", flat)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(6, 16))
     x = np.vstack([base[rng.integers(6)] + rng.normal(size=16) * 0.13 for _ in range(150)] + [base[:1]] * 5)
@@ -502,6 +505,26 @@ def test_near_duplicates_of_ids_with_several_texts(spark):
     assert left == sorted({(i, t) for (i, t), m in zip(rows, least, strict=True) if i is None or i == m}, key=str)
 
 
+def test_two_levels_of_cells_lose_no_pair():
+    """Every linked pair shares a cell that is home to one of the two, whichever way it is looked at."""
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(150, 6)), 4, axis=0) + rng.normal(size=(600, 6)) * 0.08
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    top, below = vectors.fitted_cells(x[:300], 2_000)
+    assert len(top) == 45 and sum(map(len, below)) > 200
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"rid": list(range(600)), "dim": [6] * 600, "unit": [v.tobytes() for v in x]})
+    out = next(vectors._assigned({6: (top, below)}, float(np.sqrt(2 - 2 * 0.98)))([batch])).to_pydict()
+    homes = {r: c for r, c, h in zip(out["rid"], out["cell"], out["home"], strict=True) if h}
+    cells = {}
+    for r, c in zip(out["rid"], out["cell"], strict=True):
+        cells.setdefault(r, set()).add(c)
+    assert sorted(homes) == list(range(600)) and len(out["rid"]) < 600 * 60
+    a, b = np.nonzero(x @ x.T >= 0.98)
+    assert len(a) > 1_000 and all(homes[j] in cells[i] for i, j in zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_vectors_of_ids_with_several_vectors(spark):
     rng = np.random.default_rng(12)
     x, y = rng.normal(size=(2, 12))
