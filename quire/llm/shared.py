@@ -30,6 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_made: list[list[DataFrame]] = []
+
+
+@contextmanager
+def stages():
+    """The frames that are staged meanwhile, for discard() once what was made of them is written."""
+    own: list[DataFrame] = []
+    _made.append(own)
+    try:
+        yield own
+    finally:
+        _made.remove(own)
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage is cut and lost executors cost no recomputation."""
     spark = df.sparkSession
@@ -40,6 +54,8 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out.stage = path
+    for own in _made:
+        own.append(out)
     return out
 
 
