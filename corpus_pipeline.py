@@ -1,7 +1,8 @@
 """From raw documents to token ids: quality rules, near-duplicates, personal data, mixing, byte-pair encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder and reads
-it back as the next stage's docs. All stages but the last return the columns of documents.
+it back as the next stage's docs; what a stage staged on the way is deleted then, and its own input with it. All stages but
+the last return the columns of documents.
 
 Edge cases, in every stage: null text is empty (it fails the quality rules, so later stages rarely see any); a row without
 doc_id is judged, never linked, and drawn by its text in mixing; repeated rows of one doc_id and text leave near-dedup
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import bpe, minhash, mixing, pii, rules
 from quire.llm.queries import tokenizer
-from quire.llm.shared import discard, staged, table
+from quire.llm.shared import discard, staged, stages, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +51,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES[:-1]):
-        after = staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-        if i:
-            discard(docs)
+        with stages() as made:
+            after = staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        discard(*(m for m in made if m is not after), *([docs] if i else []))
         docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
