@@ -130,12 +130,13 @@ def _scored(order: int):
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """D1, D2, D3+ from the counts of counts."""
+    """D1, D2, D3+ from the counts of counts; 0.5 for one that these leave without a positive value, as small corpora do."""
     n = [0, *counts.agg(*(F.count_if(F.col("c") == i) for i in (1, 2, 3, 4))).first()]
     if not (n[1] and n[2]):
         return (0.5, 0.5, 0.5)
     y = n[1] / (n[1] + 2 * n[2])
-    return tuple(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.0), float(k)) if n[k] else 0.5 for k in (1, 2, 3))
+    found = [min(k - (k + 1) * y * n[k + 1] / n[k], float(k)) if n[k] else 0.5 for k in (1, 2, 3)]
+    return tuple(d if d > 0 else 0.5 for d in found)  # without a discount, what wasn't seen would have no probability
 
 
 def probabilities(seen: DataFrame, needed: DataFrame, order: int = ORDER) -> DataFrame:

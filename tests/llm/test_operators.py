@@ -76,9 +76,8 @@ def test_perplexity_equals_brute_force(spark):
     for k, c in counts.items():
         m = [sum(v == j for v in c.values()) for j in range(5)]
         y = m[1] / (m[1] + 2 * m[2]) if m[1] and m[2] else None
-        cut[k] = [0, *((0.5, 0.5, 0.5) if y is None else (min(max(j - (j + 1) * y * m[j + 1] / m[j], 0), j) if m[j] else 0.5 for j in (1, 2, 3)))] if y is None or len(m) > 4 else None
-        if y is not None:
-            m.append(0)
+        found = [0.0] * 3 if y is None else [min(j - (j + 1) * y * m[j + 1] / m[j], j) if m[j] else 0.0 for j in (1, 2, 3)]
+        cut[k] = [0, *(d if d > 0 else 0.5 for d in found)]
 
     def p(g):
         k = len(g)

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import mixing, pii, rules
 from quire.llm.queries import tokenizer
+from quire.llm.shared import shared_dir
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, gone string, copy int"
 
@@ -106,7 +108,10 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
         ids = t.encode(r["text"], add_special_tokens=False).ids
         want.append((r["doc_id"], len(ids), ids, hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     order = lambda r: (r[0] is None, r[0] or 0, r[3])
+    folder = re.sub("^file:/*", "/", shared_dir(spark))
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=order) == sorted(want, key=order)
+    assert [n.split("-")[2] for n in set(os.listdir(folder)) - before] == ["mixing"]  # what the last stage reads
 
 
 def test_pipeline_of_empty_tables(spark, tmp_path):
