@@ -5,7 +5,7 @@ notice wrapped over lines is one paragraph. Words of capitals only keep their ca
 lower-cased; the features are the words and word pairs of a paragraph.
 
 Classes are the licence families, `unknown` (a notice of another licence) and other text. The model scores paragraphs
-that hold CUE, in any case; any other paragraph has no feature and is other text. Weights are fitted on the driver, by
+that hold one of CUES, in any case; any other paragraph has no feature and is other text. Weights are fitted on the driver, by
 proximal gradient steps with an L1 penalty, to generated notices (OPENERS x names in three casings, TEMPLATES, alone and
 within corpus text), notices and opening sentences of licences outside the families, and up to NEGATIVES different corpus
 paragraphs that hold a cue and aren't notices (`looks_like_notice`). These are the confusing ones, as German prose with
@@ -21,7 +21,7 @@ that isn't other text is `unknown` unless its best family's probability reaches
 pairs of one of the family's templates occur in it. A name of one word confirms nothing unless an opener's word stands
 before it or `licensed` behind it, and `the` before it confirms without giving a prior.
 
-Plan: two scans, each with a search for CUE; no shuffle but the hashes of paragraphs with a cue, no Python.
+Plan: two scans, each with a search for CUES; no shuffle but the hashes of paragraphs with a cue, no Python.
 
 Edge cases: null or empty text has no paragraph; repeated rows are returned as often as they come; rows without doc_id
 keep it null; an empty corpus leaves the generated rows; very long texts are scored whole; of equal logits the family
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -84,8 +85,10 @@ OUTSIDE_TEXTS = (
 OPENERS = ("Licensed under {}.", "Released under the {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}.", "This file is available under the {}.", "Published under {}", "License: {}", "SPDX-License-Identifier: {}", "{}", "Copyright 2021 the authors, {}", "The text may be used under {}.", "Use of this software is governed by the {}.", "Content is available under the {}.", "The code is {} licensed.")
 #: Ordinary sentences with cues.
 ORDINARY = ("the driver lost his license after the accident", "copyright law in the public domain of science", "a license to operate the plant was granted by the city", "the redistribution of land among the poor", "the Apache and the Mozilla teams met at MIT", "permission is needed to enter the building", "this version is available under the counter", "a book published under her own name", "the album was released under the title of the work", "the state is governed by the law", "GNU is an antelope", "the fishing licence of version 2 and part 3", "creative commons of the village", "all licenses were revoked", "BSD and GPL are words of this text", "the rights reserved for members of the house")
-#: What a paragraph must hold in any case not to be other text (Java and Python); a generated notice without it isn't used.
-CUE = r"(?i)licen[cs]|\b[al]?gpl|\bmpl\b|\bbsd\b|\bcc(?:0|[ -]by\b)|apache|redistribut|hereby granted|\breserved\b|public domain|unencumbered|permitted to copy|express or implied|\b(?:under|identifier|the)[: ]{1,2}mit\b|\bmit/expat|(?-i:\bMIT\b)"
+#: Parts of lower-cased text, and of text as it is, without one of which a paragraph is other text; a generated notice
+#: with none isn't used.
+CUES = ("licen", "gpl", "bsd", "mpl 1", "mpl-1", "mpl 2", "mpl-2", "cc by", "cc-by", "cc0", "apache", "redistribut", "hereby granted", "reserved", "public domain", "unencumbered", "permitted to copy", "express or implied", "under mit", "the mit", "identifier mit", "identifier: mit", "mit/expat")
+CASED = ("MIT", "MPL")
 FAMILIES = sorted(NAMES)
 UNKNOWN, OTHER = len(FAMILIES), len(FAMILIES) + 1
 #: Where a paragraph ends (Java and the regex module).
@@ -122,8 +125,14 @@ def _with(rows, keep: list[str], **more):
     return F.transform(rows, lambda s: F.struct(*(s[c].alias(c) for c in keep), *(f(s).alias(c) for c, f in more.items())))
 
 
+def cued(text: str) -> bool:
+    low = text.lower()
+    return any(c in low for c in CUES) or any(c in text for c in CASED)
+
+
 def _cued(x):
-    return x.rlike(CUE)
+    low = F.lower(x)
+    return reduce(lambda a, b: a | b, [*(low.contains(c) for c in CUES), *(x.contains(c) for c in CASED)])
 
 
 def _clear(name: str) -> bool:
@@ -190,7 +199,7 @@ def notices() -> list[tuple[str, int, int]]:
     for c, fold, t in [*((FAMILIES.index(f), -1, t) for f, ts in TEMPLATES.items() for t in ts), *((UNKNOWN, i % FOLDS, t) for i, t in enumerate(OUTSIDE_TEXTS))]:
         w = t.split()
         out += [(x, c, fold) for x in (t, t.upper(), " ".join(w[: len(w) * 2 // 3]), " ".join(w[len(w) // 3 :]))] * 4
-    return [x for x in out if re.search(CUE, x[0])]
+    return [x for x in out if cued(x[0])]
 
 
 def _softmax(z):

@@ -107,7 +107,7 @@ def license_rows(text, model):
 
     out = []
     for p in regex.split(license.BREAK, text) if text else []:
-        if not re.search(license.CUE, p):
+        if not license.cued(p):
             continue
         g = license.grams(p)
         z = np.array(model.intercepts) + sum((np.array(model.weights[x]) for x in g if x in model.weights), np.zeros(len(model.intercepts)))
