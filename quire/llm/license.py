@@ -207,7 +207,32 @@ def _softmax(z):
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Sparse:
+    """Rows of ones at the given columns; a column of its own behind the last keeps every row from being empty."""
+
+    def __init__(self, rows: list[list[int]], columns: int):
+        rows = [[*r, columns] for r in rows]
+        sizes = np.array([len(r) for r in rows])
+        self.shape, self.rows = (len(rows), columns), rows
+        self.at = np.concatenate([np.array(r) for r in rows])
+        self.starts = np.cumsum(sizes) - sizes
+        order = np.argsort(self.at, kind="stable")
+        self.of = np.repeat(np.arange(len(rows)), sizes)[order]
+        self.present, self.firsts = np.unique(self.at[order], return_index=True)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.vstack([w, np.zeros((1, w.shape[1]), w.dtype)])[self.at], self.starts)
+
+    def transposed_times(self, e: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[1] + 1, e.shape[1]), e.dtype)
+        out[self.present] = np.add.reduceat(e[self.of], self.firsts)
+        return out[:-1]
+
+    def __getitem__(self, some: np.ndarray) -> Sparse:
+        return Sparse([self.rows[i][:-1] for i in np.flatnonzero(some)], self.shape[1])
+
+
+def _fit(x: Sparse, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and intercepts by accelerated proximal gradient steps; classes weigh alike, other text as all families."""
     k = OTHER + 1
     share = np.ones(k)
@@ -221,9 +246,9 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for r in range(ROUNDS):
         m = r / (r + 3)
         vw, vb = w + m * (w - past_w), b + m * (b - past_b)
-        e = ((_softmax(x @ vw + vb) - gold) * s[:, None]).astype(np.float32)
+        e = ((_softmax(x.times(vw) + vb) - gold) * s[:, None]).astype(np.float32)
         past_w, past_b = w, b
-        w = vw - RATE * (x.T @ e)
+        w = vw - RATE * x.transposed_times(e)
         w = np.sign(w) * np.maximum(np.abs(w) - RATE * LASSO, 0)
         b = vb - RATE * e.sum(axis=0)
     return w, b
@@ -242,14 +267,12 @@ class Model:
         context = [*(set(n) & number.keys() for n in negatives), *plain]
         rows = [(g, c, f) for g, c, f in made] + [(g | context[rng.integers(len(context))], c, f) for g, c, f in made]
         rows += [(g, OTHER, i % FOLDS) for i, g in enumerate(context)] + [(g, OTHER, -1) for g in plain]
-        x = np.zeros((len(rows), len(number)), np.float32)
-        for i, r in enumerate(rows):
-            x[i, [number[g] for g in r[0]]] = 1
+        x = Sparse([sorted(number[g] for g in r[0]) for r in rows], len(number))
         y, fold = (np.array([r[i] for r in rows]) for i in (1, 2))
         z = np.zeros((len(rows), OTHER + 1))
         for f in range(FOLDS):
             w, b = _fit(x[fold != f], y[fold != f])
-            z[fold == f] = x[fold == f] @ w + b
+            z[fold == f] = x[fold == f].times(w) + b
         held = fold >= 0
         whole = np.array([self.whole(r[0]) for r in rows], float)[held]
         z, yh = z[held], y[held]
