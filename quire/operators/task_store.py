@@ -159,7 +159,7 @@ class TaskStore:
 
     def retry_failed(self, book: str | None = None, now=None) -> int:
         """Sets FAILED tasks back to PENDING; how many."""
-        return self._changed(lambda tasks: ops.retry_failed(ops.in_book(tasks.filter("status = 'FAILED'"), book), None, now))[0]["rows"]
+        return self._changed(lambda tasks: ops.retry_failed(ops.in_book(tasks.filter("status = 'FAILED'"), book), now))[0]["rows"]
 
     def tidy(self, keep: int = 100) -> int:
         """Deletes the folders that neither one of the last keep versions names nor a running change may yet name."""

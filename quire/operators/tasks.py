@@ -91,7 +91,7 @@ def reset_hanging(tasks: DataFrame, book: str | None = None, now=None) -> DataFr
     return tasks.withColumns({"status": F.when(hanging, "PENDING").otherwise(F.col("status")), **_touched(tasks, hanging, now)})
 
 
-def retry_failed(tasks: DataFrame, book: str | None = None, now=None) -> DataFrame:
+def retry_failed(tasks: DataFrame, now=None, book: str | None = None) -> DataFrame:
     here = F.lit(True) if book is None else F.col("file_path").startswith(f"{book}/") | F.col("file_path").startswith(f"{book}\\")
     failed = (F.col("status") == "FAILED") & here
     return tasks.withColumns({**_touched(tasks, failed, now), "status": F.when(failed, "PENDING").otherwise(F.col("status")), "error_msg": F.when(failed, None).otherwise(F.col("error_msg"))})
