@@ -1,5 +1,6 @@
 """Every operator on documents: columns with the names that the code uses inside, and very long texts."""
 
+import functools
 import random
 
 import pytest
@@ -20,10 +21,11 @@ def corpus(spark, long=None):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame([(i, int(i % 4 > 0), int(i % 5 == 0)) for i in range(10)], LABELS)
 
 
+model = functools.cache(lambda: license.Model([]))
 OPERATORS = {
     "op1": lambda d, lab: kneser_ney.classify(d, lab),
     "op2": lambda d, lab: rules.judge(d, lab),
-    "op3": lambda d, lab: license.scan(d, license.Model([])).select("doc_id", "n_paragraphs", "families"),
+    "op3": lambda d, lab: license.scan(d, model()).select("doc_id", "n_paragraphs", "families"),
     "op4": lambda d, lab: pii.detect(d),
     "op6": lambda d, lab: minhash.near_duplicates(d),
     "op7": lambda d, lab: language.predict(d),

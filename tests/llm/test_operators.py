@@ -158,7 +158,8 @@ def test_license_negatives_are_different_paragraphs(spark, monkeypatch):
     assert len(seen[0]) == 3
 
 
-def test_license_edges(spark):
+def test_license_edges(spark, monkeypatch):
+    monkeypatch.setattr(license, "ROUNDS", 80)
     model = license.Model([])
     assert license.train(documents(spark, []).limit(0)).weights == model.weights
     assert license.scan(documents(spark, [""]).limit(0), model).count() == 0
