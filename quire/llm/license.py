@@ -131,8 +131,8 @@ def cued(text: str) -> bool:
 
 
 def _cued(x):
-    low = F.lower(x)
-    return reduce(lambda a, b: a | b, [*(low.contains(c) for c in CUES), *(x.contains(c) for c in CASED)])
+    any_of = lambda y, cues: reduce(lambda a, b: a | b, (y.contains(c) for c in cues))
+    return any_of(x, CASED) | F.exists(F.array(F.lower(x)), lambda low: any_of(low, CUES))  # lowered once, not for each cue
 
 
 def _clear(name: str) -> bool:
