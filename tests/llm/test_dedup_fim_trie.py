@@ -172,14 +172,14 @@ def conversations(spark, rows):
 
 def made_turns():
     rng = random.Random(3)
-    rows = [(c, t, rng.choice(["user", "bot"]), rng.choice(["hi", "yes", "né🙂", ""])) for c in range(0, 330) for t in range(rng.randint(1, 7))]
-    rows += [(c, t, "user", f"same {t}") for c in range(1000, 1090) for t in range(30)]  # copies
-    rows += [(2000 + c, t, "user", "one long" if t < 60 + 3 * c else "then") for c in range(5) for t in range(75)]  # a long shared path
+    rows = [(c, t, rng.choice(["user", "bot"]), rng.choice(["hi", "yes", "né🙂", ""])) for c in range(70, 230) for t in range(rng.randint(1, 7))]
+    rows += [(c, t, "user", f"same {t}") for c in range(1000, 1060) for t in range(20)]  # copies
+    rows += [(2000 + c, t, "user", "one long" if t < 30 + 3 * c else "then") for c in range(4) for t in range(45)]  # a long shared path
     rows += [(c, None, None, None) for c in (5, 5, 7, -3, -100, -199)] + [(None, 1, "user", "x"), (3, 0, "bot", "tie"), (3, 0, "user", "tie"), (3, 0, "user", "tie")]
     return rows + [(c, t, "user", "under zero") for c in (-101, -100, -150, 9_000_000_100, 9_000_000_101) for t in range(3)]
 
 
-@pytest.mark.parametrize("local", [20, 300, trie.LOCAL])
+@pytest.mark.parametrize("local", [25, trie.LOCAL])
 def test_prefix_trie_against_plain_python(spark, monkeypatch, local):
     """With all buckets split to the end, some, and none; ids of copies in several blocks."""
     monkeypatch.setattr(trie, "BLOCK", 7)
@@ -191,8 +191,8 @@ def test_prefix_trie_against_plain_python(spark, monkeypatch, local):
 def test_prefix_trie_of_many_children_and_few_rows(spark, monkeypatch):
     """Joins that can't broadcast; no conversation, one without turns of its own left."""
     monkeypatch.setattr(trie, "small_side", lambda df: df)
-    rows = made_turns()[:900]
-    assert sorted(map(tuple, trie.prefix_trie(conversations(spark, rows), 40).collect()), key=str) == plain_trie(rows)
+    rows = made_turns()[:300]
+    assert sorted(map(tuple, trie.prefix_trie(conversations(spark, rows), 150).collect()), key=str) == plain_trie(rows)
     assert trie.prefix_trie(conversations(spark, rows).limit(0)).count() == 0
     alone = [(101, 1, "user", "a")]
     assert [tuple(r) for r in trie.prefix_trie(conversations(spark, alone)).collect()] == plain_trie(alone)
