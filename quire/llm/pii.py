@@ -9,7 +9,8 @@ features are those of the whole span (digit groups, checksums, separators, domai
 Dynamic programming over the last LONGEST tokens chooses boundaries and kinds jointly, in time linear in the text and
 with 18 bytes a token of an island. Weights come from maximum likelihood (forward-backward over segmentations) on
 SENTENCES seeded synthetic sentences with and without personal data, since no table labels spans. A predicted span that
-meets a base span is dropped, so base spans stay as they are.
+meets a base span is dropped, so base spans stay as they are. n_email to n_phone count base spans, n_email_all to
+n_phone_all those that the field adds as well.
 
 Edge cases: null text is empty and has no spans; repeated rows are returned as often as they come; rows without doc_id
 keep it null; an empty table gives no rows; of equal scores the shorter path and the kind first in order win; other
@@ -437,6 +438,10 @@ def _join(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def _counts(spans) -> list[int]:
+    return [sum(s[0] == k for s in spans) for k in KINDS]
+
+
 def find(text: str, scorer: Scorer) -> tuple[list, list]:
     """Base spans and all spans of one text, each by kind and start."""
     base = base_spans(text)
@@ -450,18 +455,18 @@ def _found(w: Weights):
             rows = []
             for t in batch.column("text").to_pylist():
                 base, every = find(t or "", scorer)
-                rows.append((*(sum(s[0] == k for s in every) for k in KINDS), hashlib.sha256(_join(base).encode()).hexdigest(), _join(every)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                rows.append((*_counts(base), hashlib.sha256(_join(base).encode()).hexdigest(), _join(every), *_counts(every)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 10
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", *(f"n_{k}_all" for k in KINDS)])
 
     return run
 
 
 def detect(documents: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of documents(doc_id, text)."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and the counts of all spans for every row of documents(doc_id, text)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_found(train()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.mapInArrow(_found(train()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_email_all long, n_ip_all long, n_card_all long, n_phone_all long")
 
 
 def mask(text: str, spans) -> str:

@@ -389,6 +389,12 @@ def test_pii_finds_addresses_of_many_digits(spark):
     assert [r["spans"] for r in rows] == [f"ip:16:{16 + len(a)}" for a in full]
 
 
+def test_pii_counts_are_those_of_base_spans(spark):
+    rows = pii.detect(documents(spark, ["call (509) 555-6973 or write a.b@c.de", "dial +49 170 1234567 now", None])).orderBy("doc_id").collect()
+    assert rows[0]["spans"] == "email:29:37,phone:5:19" and [r["n_phone_all"] for r in rows] == [1, 1, 0]
+    assert [tuple(r[f"n_{k}"] for k in pii.KINDS) for r in rows] == [(1, 0, 0, 0), (0, 0, 0, 1), (0, 0, 0, 0)]
+
+
 def test_pii_long_numeric_texts_and_edges(spark):
     scorer = pii.Scorer(pii.train())
     zeros = "1." + "0" * 6000 + "7.1.1"
