@@ -105,13 +105,15 @@ def fill_template(template, values: dict[str, Column]) -> Column:
     return out
 
 
-def format_bytes(n) -> Column:
-    """1024 steps with one decimal, halves to the even digit, up to TB."""
+def format_bytes(n, largest: str = "TB") -> Column:
+    """1024 steps with one decimal, halves to the even digit, up to the largest unit."""
+    units = ("B", "KB", "MB", "GB", "TB")
+    last = units.index(largest)
     v, out = _c(n).cast("double"), F
     shown = lambda x, unit: F.concat(F.format_string("%.1f", F.bround(x, 1)), F.lit(f" {unit}"))
-    for i, unit in enumerate(("B", "KB", "MB", "GB")):
+    for i, unit in enumerate(units[:last]):
         out = out.when(F.abs(v / 1024.0**i) < 1024, shown(v / 1024.0**i, unit))
-    return out.otherwise(shown(v / 1024.0**4, "TB"))
+    return out.otherwise(shown(v / 1024.0**last, largest)) if last else shown(v, largest)
 
 
 def drive_id(url) -> Column:

@@ -250,17 +250,21 @@ def finish(spark: SparkSession, out: str) -> DataFrame:
     return whole.repartition("name").mapInPandas(join, "name string, size long, complete boolean")
 
 
-def download_log(events: DataFrame, every: float = 0.25) -> DataFrame:
-    """What is shown of events(task_id, ts, current, total): the first of each time slot, and the last one of a file."""
+def download_log(events: DataFrame, every: float = 0.25, largest: str = "TB") -> DataFrame:
+    """What is shown of events(task_id, ts, current, total): the first of each time slot, and the last one of a file.
+
+    Of events of one moment the one with the smallest current is first; sizes are told in units up to largest.
+    """
     slot = F.floor(F.unix_micros("ts") / int(every * 1_000_000))
     final = F.col("current") == F.col("total")
-    kept = events.withColumn("slot", slot).groupBy("task_id", "slot", F.coalesce(final, F.lit(False)).alias("final")).agg(F.min_by(F.struct("ts", "current", "total"), "ts").alias("e")).select("task_id", "e.*")
-    return kept.withColumn("percent", progress_percent("current", "total")).withColumn("message", F.concat(format_bytes("current"), F.lit(" / "), F.when(F.col("total").isNotNull(), format_bytes("total")).otherwise("---")))
+    kept = events.withColumn("slot", slot).groupBy("task_id", "slot", F.coalesce(final, F.lit(False)).alias("final")).agg(F.min_by(F.struct("ts", "current", "total"), F.struct("ts", F.isnull("current"), "current", "total")).alias("e")).select("task_id", "e.*")
+    told = F.concat(format_bytes("current", largest), F.lit(" / "), F.when(F.col("total").isNotNull(), format_bytes("total", largest)).otherwise("---"))
+    return kept.withColumn("percent", progress_percent("current", "total")).withColumn("message", told)
 
 
 def download_state(events: DataFrame) -> DataFrame:
-    """The latest event of each task."""
-    return events.groupBy("task_id").agg(F.max_by(F.struct(*(c for c in events.columns if c != "task_id")), "ts").alias("e")).select("task_id", "e.*")
+    """The latest event of each task; of one moment's the one with the largest current."""
+    return events.groupBy("task_id").agg(F.max_by(F.struct(*(c for c in events.columns if c != "task_id")), F.struct("ts", "current")).alias("e")).select("task_id", "e.*")
 
 
 def with_missing(local: DataFrame, wanted: DataFrame, connector: Connector) -> DataFrame:

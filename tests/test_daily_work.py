@@ -308,6 +308,24 @@ def test_connectors(spark, tmp_path):
     assert connectors.download_state(events).first()["current"] == 9
 
 
+def test_download_log_of_equal_times_and_large_files(spark):
+    at = datetime.datetime(2026, 1, 1)
+    events = spark.createDataFrame([("t", at, k * 2**30, 9 * 2**30) for k in (3, 1, 2)], "task_id string, ts timestamp, current long, total long")
+    for e in (events, events.orderBy("current"), events.orderBy(F.desc("current"))):
+        assert connectors.download_log(e).first()["message"] == "1.0 GB / 9.0 GB" and connectors.download_log(e, largest="MB").first()["message"] == "1024.0 MB / 9216.0 MB"
+        assert connectors.download_state(e).first()["current"] == 3 * 2**30
+
+
+def test_download_log_equals_its_sql_beyond_a_gigabyte(spark, tmp_path):
+    import duckdb
+    from quire import catalog_queries
+
+    sql = f"SELECT i * 97003 AS event_id, TIMESTAMP '2026-01-01' + INTERVAL (i // 9) HOUR AS ts, (i % 3)::BIGINT AS user_id, CASE WHEN i % 5 = 0 THEN 'click' ELSE 'view' END AS event_type FROM range(60) r(i) ORDER BY i % 7"
+    duckdb.sql(f"COPY ({sql}) TO '{tmp_path}/events.parquet'")
+    want = duckdb.sql(catalog_queries.ORACLE_SQL["download_log"].replace("FROM events)", f"FROM '{tmp_path}/events.parquet')")).fetchall()
+    assert sorted(map(tuple, catalog_queries.QUERIES["download_log"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_reading_order_is_stable(spark):
     box = [[0.0, 0.0], [9.0, 5.0]]
     rows = [(1, x, box) for x in "cab"] + [(2, "solo", box)]
