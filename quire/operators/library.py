@@ -163,9 +163,11 @@ def add_missing_columns(books: DataFrame, defaults: dict[str, Column]) -> DataFr
 
 def resolve_folders(books: DataFrame, folders: DataFrame) -> DataFrame:
     """(slug, folder): the folder named as the title, else the first whose slug is the book's."""
-    f = folders.select(F.col("folder"), slugify("folder").alias("slug"))
-    exact = books.select("slug", "title").join(folders.select("folder"), F.col("title") == F.col("folder")).select("slug", F.lit(0).alias("rank"), "folder")
-    close = books.select("slug").join(f, "slug").select("slug", F.lit(1).alias("rank"), "folder")
+    titles, names = books.select("slug", "title").distinct(), folders.select("folder").distinct()
+    exact = titles.join(names, F.col("title") == F.col("folder")).select("slug", F.lit(0).alias("rank"), "folder")
+    # One folder a slug before the join: copies of a slug would meet in pairs.
+    first = names.groupBy(slugify("folder").alias("slug")).agg(F.min("folder").alias("folder"))
+    close = titles.select("slug").distinct().join(first, "slug").select("slug", F.lit(1).alias("rank"), "folder")
     return exact.union(close).groupBy("slug").agg(F.min(F.struct("rank", "folder")).alias("b")).select("slug", F.col("b.folder").alias("folder"))
 
 

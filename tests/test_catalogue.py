@@ -188,3 +188,26 @@ def test_entry_without_the_optional_modules(monkeypatch):
 
     monkeypatch.setattr(importlib, "import_module", lambda name: (_ for _ in ()).throw(ModuleNotFoundError(name=name)))
     assert "task_stats_by_book" in e.queries() and not any(k.startswith("op") for k in e.queries())
+
+
+def joined_rows(df):
+    """The most rows that a join of df, which has been collected, gave."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif p.nodeName().endswith("QueryStage"):
+            todo.append(p.plan())
+        elif "Join" in p.nodeName():
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
+def test_folders_of_many_copies_are_not_paired(spark):
+    books = spark.createDataFrame([("a-b", "A b")] * 100 + [("x-y", "X y"), ("untitled", None), ("none", "none")], "slug string, title string")
+    folders = spark.createDataFrame([(x,) for x in ["A b!", "a B"] * 100 + ["X y", "X y!", None, "?"]], "folder string")
+    out = library.resolve_folders(books, folders)
+    assert sorted(map(tuple, out.collect())) == [("a-b", "A b!"), ("untitled", "?"), ("x-y", "X y")]
+    assert 0 < joined_rows(out) < 10
