@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import categorize, slugify, sqlite_like
 from .numbering import numbered
+from .staging import small_side
 
 #: Fixed value: the hall of books that have none.
 DEFAULT_HALL = "Khu Trưng Bày Chung"
@@ -58,14 +59,19 @@ def in_hall(artifacts: DataFrame, hall: str = "all") -> DataFrame:
 
 
 def find_duplicates(books: DataFrame, queries: DataFrame) -> DataFrame:
-    """Per row of queries(qid, title, source_id) the completed book of equal source, else of equal slug, else title."""
-    done = books.filter("status = 'COMPLETED'").select("id", "slug", F.col("title").alias("book_title"), F.col("source_id").alias("book_source"))
-    q = queries.withColumn("q_slug", slugify("title"))
-    first = q.filter("source_id <> ''").join(done, F.col("source_id") == F.col("book_source")).select("qid", F.lit(1).alias("rank"), "id")
-    second = q.join(done, F.col("q_slug") == F.col("slug")).select("qid", F.lit(2).alias("rank"), "id")
-    third = q.join(done, F.col("title") == F.col("book_title")).select("qid", F.lit(2).alias("rank"), "id")
-    best = first.union(second).union(third).groupBy("qid").agg(F.min(F.struct("rank", "id")).alias("b"))
-    return queries.select("qid").join(best, "qid", "left").select("qid", F.col("b.id").alias("duplicate_id"))
+    """Per qid of queries(qid, title, source_id) the completed book of equal source, else of equal slug or title.
+
+    Of several books the one with the smallest id; books are reduced to that before the joins, as copies would meet in pairs.
+    """
+    done = books.filter("status = 'COMPLETED'")
+    first = lambda c: done.groupBy(F.col(c).alias(f"_{c}")).agg(F.min("id").alias(f"of_{c}"))
+    q = queries.select("qid", slugify("title").alias("slug"), "title", "source_id")
+    # Many queries have no source: unless there are many sources, these rows are not shuffled by it.
+    of = q.join(small_side(first("source_id").filter("_source_id <> ''")), F.col("source_id") == F.col("_source_id"), "left")
+    for c in ("slug", "title"):
+        of = of.join(first(c), F.col(c) == F.col(f"_{c}"), "left")
+    found = of.groupBy("qid").agg(F.min("of_source_id").alias("source"), F.min(F.least("of_slug", "of_title")).alias("name"))
+    return found.select("qid", F.when(F.col("qid").isNotNull(), F.coalesce("source", "name")).alias("duplicate_id"))
 
 
 #: What a new book has where nothing is given.

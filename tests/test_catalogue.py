@@ -211,3 +211,12 @@ def test_folders_of_many_copies_are_not_paired(spark):
     out = library.resolve_folders(books, folders)
     assert sorted(map(tuple, out.collect())) == [("a-b", "A b!"), ("untitled", "?"), ("x-y", "X y")]
     assert 0 < joined_rows(out) < 10
+
+
+def test_duplicates_of_many_copies_are_not_paired(spark):
+    kind = "id long, slug string, title string, source_id string, status string"
+    books = spark.createDataFrame([(i, "a-b", "A b", f"s{i % 2}", "COMPLETED") for i in range(10, 110)] + [(1, "a-b", "A b", "s0", "NEW"), (5, "x-y", "old", "", "COMPLETED"), (6, "moved", "X y", "", "COMPLETED"), (7, "z", "Z", None, "COMPLETED")], kind)
+    asked = [(k, "A b", "s1") for k in range(100)] + [(100, "X y", ""), (101, "Z", None), (102, "none", "s0"), (103, "none", ""), (104, None, "no"), (105, "Z", ""), (105, "none", "s1")]
+    out = library.find_duplicates(books, spark.createDataFrame(asked, "qid long, title string, source_id string"))
+    assert sorted(map(tuple, out.collect())) == [*((k, 11) for k in range(100)), (100, 5), (101, 7), (102, 10), (103, None), (104, None), (105, 11)]
+    assert 0 < joined_rows(out) <= len(asked)
