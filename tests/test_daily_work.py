@@ -1,4 +1,5 @@
 import datetime
+import random
 import gzip
 import io
 import json
@@ -334,6 +335,73 @@ def test_reading_order_is_stable(spark):
         assert [r["text"] for r in layout.sort_pages(d).filter("page_id = 1").orderBy("place").collect()] == ["a", "b", "c"]
 
 
+def plain_order(boxes):
+    """The order of one page's sorted boxes by the rules, box by box."""
+    if len(boxes) <= 2:
+        return sorted(boxes, key=lambda x: x[2])
+    w, h, n = max(x[1] for x in boxes), max(x[3] for x in boxes), len(boxes)
+    best = None
+    for s in (0.35 * w + k * (0.3 * w / 30) for k in range(30)):
+        cross = sum(x[0] < s - 10 and x[1] > s + 10 for x in boxes)
+        left = sum(x[1] <= s + 10 for x in boxes)
+        if left >= 5 and n - left - cross >= 5 and (best is None or cross < best[0]):
+            best = cross, s
+    parts = [[], [], [], []]
+    for x in boxes:
+        if best is None or best[0] > max(3, 0.15 * n):
+            k = 0
+        elif x[0] < best[1] - 15 and x[1] > best[1] + 15:
+            y = (x[2] + x[3]) / 2
+            k = 0 if y < 0.25 * h else 3 if y > 0.85 * h else 1 if (x[0] + x[1]) / 2 < best[1] else 2
+        else:
+            k = 1 if x[1] <= best[1] + 15 else 2
+        parts[k].append(x)
+    out = []
+    for part in parts:
+        lines = []
+        for x in sorted(part, key=lambda x: (x[2], x[0])):
+            shared = lines and min(x[3], lines[-1][-1][3]) - max(x[2], lines[-1][-1][2])
+            if lines and shared > 0 and shared / max(min(x[3] - x[2], lines[-1][-1][3] - lines[-1][-1][2]), 1) > 0.35:
+                lines[-1].append(x)
+            else:
+                lines.append([x])
+        out += [x for line in lines for x in sorted(line, key=lambda x: x[0])]
+    return out
+
+
+def test_reading_order_of_pages_across_batches(spark):
+    rng, rows = random.Random(5), []
+    for page in [None, *range(1, 60)]:
+        for k in range(rng.choice((1, 2, 3, 12, 30, 45))):
+            x, y = rng.randint(0, 1) * 450 + rng.randint(0, 300), rng.randint(0, rng.choice((40, 900)))
+            rows.append((page, f"{page}-{k}", [[float(x), float(y)], [900.0 if rng.random() < 0.08 else x + 60.0, y + rng.randint(0, 50) + 0.0]]))
+    want = {}
+    for page, text, ((x0, y0), (x1, y1)) in rows:
+        want.setdefault(page, []).append((x0, x1, y0, y1, text))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = layout.sort_pages(spark.createDataFrame(rows, "page_id int, text string, box array<array<double>>")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got, key=str) == sorted(((page, x[4], k) for page, boxes in want.items() for k, x in enumerate(plain_order(sorted(boxes)))), key=str)
+
+
+def test_pages_are_laid_out_together():
+    """5,000 pages at once take less time than one by one."""
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 800, 150_000), rng.integers(0, 900, 150_000)
+    b = np.column_stack([x, x + 60, y, y + rng.integers(1, 50, len(x))]).astype(float)
+    page = np.repeat(np.arange(5_000), 30)
+    clock = __import__("time").perf_counter
+    began = clock()
+    layout.reading_places(b, page)
+    together = clock() - began
+    began = clock()
+    for k in range(500):
+        layout.reading_order(b[k * 30 : k * 30 + 30])
+    assert together < 10 * (clock() - began)
+
+
 def test_small_scalars(spark):
     df = spark.createDataFrame([("a/b.c/d.JPG", 1234567, "x y&z")], "p string, n long, q string")
     row = df.select(t.parent("p"), t.with_suffix("p", ".txt"), t.parent(F.lit("d")), t.with_suffix(F.lit("a.b/d"), ".txt"), t.thousands("n"), t.url_encode("q"), t.highlights(F.lit('["a", "b"]')), t.highlights(F.lit("no")), t.ordered_distinct(F.array(F.lit("b"), F.lit(""), F.lit("a"), F.lit("b")))).first()
